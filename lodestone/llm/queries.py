@@ -28,6 +28,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_starts(read_token_files(spark, path), sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import apply_plan, sampling_plan, word_count
     from .workspace import materialize
@@ -43,8 +55,17 @@ def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .polytope import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_exact_top_k": op2_exact_top_k,
+    "op3_simhash_near_dup": op3_simhash_near_dup,
+    "op10_embedding_near_dup": op10_embedding_near_dup,
     "op7_mix_sources": op7_mix_sources,
     "op8_pack_windows": op8_pack_windows,
 }

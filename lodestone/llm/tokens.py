@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,8 @@ from pyspark.sql import types as T
 from .workspace import prepare
 
 END_ID = 2
-_PLAIN = re.compile(r"([A-Za-z]+)([.,!|#*&%$]*)").fullmatch
+#: Words of letters up to U+00FF, then plain punctuation.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!|#*&%$]*)").fullmatch
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]").search
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -31,8 +33,9 @@ class WordEncoder(dict):
     """Words to their ids as little-endian 32-bit bytes; misses go to the tokenizer.
 
     Exact because the tokenizer drops white space and never joins across it: a text's ids are its
-    words' ids in a row.  For words of ASCII letters followed by plain punctuation the two parts are
-    split by the pre-tokenizer too, and letters are lower-cased by its normalizer.  Texts with the
+    words' ids in a row.  For words of letters up to U+00FF followed by plain punctuation the two parts are
+    split by the pre-tokenizer too, its normalizer does no more than lower the letters, and a word of letters
+    goes to the vocabulary's merges as it is, each byte standing for its character.  Texts with the
     separators U+001C..U+001F, which Python counts as white space and the tokenizer doesn't, are
     encoded whole.  The cache is bounded: it is emptied at ``limit`` words.
     """
@@ -43,6 +46,16 @@ class WordEncoder(dict):
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
 
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        self.byte_chars = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+    def letters(self, word: str) -> bytes:
+        """Ids of a lower-case word of letters."""
+        if not word.isascii():
+            word = "".join(map(self.byte_chars.__getitem__, word.encode()))
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(word)]).tobytes()
+
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -52,8 +65,9 @@ class WordEncoder(dict):
         m = _PLAIN(word)
         if m and m[2]:
             ids = self[m[1]] + self[m[2]]
-        elif m and not word.islower():
-            ids = self[word.lower()]
+        elif m:
+            lower = word.lower()
+            ids = self.letters(word) if word == lower else self[lower]
         else:
             ids = self.raw(word)
         self[word] = ids
@@ -83,11 +97,11 @@ def id_lists(parts: list[bytes]) -> pa.ListArray:
 
 
 def list_bytes(column: pa.ListArray) -> Iterator[bytes]:
-    """The little-endian bytes of each list of ids (null: none)."""
+    """The little-endian bytes of each list of ids; a null list has none."""
     ends = column.offsets.to_numpy()
     flat = column.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
-    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-        yield b"" if column[k].as_py() is None and a == b else flat[a:b].tobytes()
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield flat[a:b].tobytes()
 
 
 def write_token_files(

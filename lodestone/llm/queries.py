@@ -40,6 +40,34 @@ def op3_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_compact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .compaction import compacted
+    from .workspace import shared_dir
+
+    return compacted(table(spark, sf_dir, "documents"), shared_dir(spark, "shards"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal_data, joined
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import apply_plan, sampling_plan, word_count
     from .workspace import materialize
@@ -65,7 +93,11 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_simhash_near_dup": op3_simhash_near_dup,
+    "op9_personal_data": op9_personal_data,
     "op10_embedding_near_dup": op10_embedding_near_dup,
+    "op4_quality": op4_quality,
+    "op5_license_digests": op5_license_digests,
+    "op6_compact_shards": op6_compact_shards,
     "op7_mix_sources": op7_mix_sources,
     "op8_pack_windows": op8_pack_windows,
 }

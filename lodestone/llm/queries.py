@@ -102,4 +102,73 @@ QUERIES = {
     "op8_pack_windows": op8_pack_windows,
 }
 
-ORACLES: dict[str, str] = {}
+
+def _op2_sql() -> str:
+    return """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+def _op5_sql() -> str:
+    from .licenses import COPYRIGHT_LINE, LICENSES, RESERVED_LINE, SPELLINGS
+
+    def canonical(t: str) -> str:
+        out = f"translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        for form in (COPYRIGHT_LINE, RESERVED_LINE):
+            out = f"regexp_replace({out}, '{form}', '', 'g')"
+        for old, new in SPELLINGS:
+            out = f"replace({out}, '{old}', '{new}')"
+        return rf"trim(regexp_replace({out}, '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), ' ')"
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in LICENSES)
+    return f"""
+    WITH known AS (SELECT sha256({canonical("text")}) AS digest, min(license) AS license FROM (VALUES {known}) k(license, text) GROUP BY 1),
+    whole AS (SELECT doc_id, sha256({canonical("text")}) AS digest FROM documents),
+    lines AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+    hits AS (SELECT doc_id, sha256({canonical("lines.text")}) AS digest, known.license FROM lines JOIN known ON sha256({canonical("lines.line")}) = known.digest),
+    notices AS (SELECT doc_id, digest, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM hits GROUP BY ALL)
+    SELECT w.doc_id, w.digest, known.license, coalesce(notices.notices, '') AS notices FROM whole w LEFT JOIN known USING (digest) LEFT JOIN notices ON w.doc_id IS NOT DISTINCT FROM notices.doc_id AND w.digest = notices.digest"""
+
+
+def _op7_sql() -> str:
+    from .mixing import BUCKETS, FILLS
+
+    same = "IS NOT DISTINCT FROM"
+    steps = [
+        r"sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)",
+        "sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1)",
+        "w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM sums)",
+        "w2 AS (SELECT *, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], (k % 3 + 1)::BIGINT) AS wt, 3.0::DOUBLE * source_size AS cap FROM w)",
+        "w3 AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / wt, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(wt) OVER (ORDER BY cap / wt, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w2)",
+        "w4 AS (SELECT *, (SELECT lev FROM w3 WHERE lev * wt <= cap ORDER BY cap / wt, k LIMIT 1) AS level FROM w3)",
+        "tg AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * wt) END AS target FROM w4)",
+        "tr AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS ratio FROM tg)",
+        "tp AS (SELECT *, floor(ratio)::BIGINT AS sure, ratio - floor(ratio)::BIGINT AS p, target - floor(ratio)::BIGINT * source_size AS rest FROM tr)",
+        f"ru AS (SELECT s.*, t.* EXCLUDE source, (('0x' || substr(md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, ''), coalesce(s.source, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r}::DOUBLE AS u FROM sized s JOIN tp t ON s.source {same} t.source)",
+        "rq AS (SELECT *, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS q FROM ru)",
+        f"rr AS (SELECT *, q / (1 + q) AS rnk, floor(q / (1 + q) * {BUCKETS})::BIGINT AS bucket FROM rq)",
+        "bk AS (SELECT source, bucket, sum(size) AS n, first(rest) AS rest FROM rr WHERE rnk IS NOT NULL GROUP BY 1, 2)",
+        "bu AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM bk)",
+        "ed AS (SELECT source, min(bucket) AS edge, arg_min(upto - n, bucket) AS before FROM bu WHERE upto > rest GROUP BY 1)",
+        f"ins AS (SELECT rr.source, rnk, rest, before, before + sum(size) OVER (PARTITION BY rr.source ORDER BY rnk, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM rr JOIN ed ON rr.source {same} ed.source AND bucket = edge)",
+        "la AS (SELECT source, coalesce(max(rnk) FILTER (cum <= rest), -1) AS last, first(rest) - coalesce(max(cum) FILTER (cum <= rest), first(before)) AS gap FROM ins GROUP BY 1)",
+        f"ot AS (SELECT rr.source, size, rnk FROM rr JOIN ed ON rr.source {same} ed.source JOIN la ON rr.source {same} la.source WHERE rnk IS NOT NULL AND bucket >= edge AND rnk > last AND size > 0)",
+        "g0 AS (SELECT source, last, gap::DOUBLE AS gap, []::DOUBLE[] AS fill FROM la)",
+    ]
+    for k in range(FILLS):
+        steps += [
+            f"f{k} AS (SELECT ot.source, ot.size, ot.rnk, row_number() OVER (PARTITION BY ot.source ORDER BY abs(ot.size - gap), rnk) AS o FROM ot JOIN g{k} g ON ot.source {same} g.source WHERE abs(ot.size - gap) < gap AND NOT list_contains(fill, rnk))",
+            f"g{k + 1} AS (SELECT g.source, last, gap - coalesce(f.size, 0) AS gap, CASE WHEN f.rnk IS NULL THEN fill ELSE list_append(fill, f.rnk) END AS fill FROM g{k} g LEFT JOIN f{k} f ON g.source {same} f.source AND o = 1)",
+        ]
+    return f"""WITH {", ".join(steps)},
+    c AS (SELECT rr.*, sure + CASE WHEN rnk IS NOT NULL AND (edge IS NULL OR bucket < edge OR rnk <= last OR list_contains(fill, rnk)) THEN 1 ELSE 0 END AS copies
+          FROM rr LEFT JOIN ed ON rr.source {same} ed.source LEFT JOIN g{FILLS} g ON rr.source {same} g.source)
+    SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM c"""
+
+
+ORACLES: dict[str, str] = {"op2_exact_top_k": _op2_sql(), "op5_license_digests": _op5_sql(), "op7_mix_sources": _op7_sql()}

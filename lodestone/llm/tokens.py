@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import prepare
+from .workspace import prepare, settings
 
 END_ID = 2
 #: Words of letters up to U+00FF, then plain punctuation.
@@ -40,7 +40,7 @@ class WordEncoder(dict):
     encoded whole.  The cache is bounded: it is emptied at ``limit`` words.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -152,7 +152,7 @@ def write_token_files(
                 row, start = row + len(n), start + int(n.sum())
 
     out = src.mapInArrow(encode, schema).withColumn("part", F.spark_partition_id())
-    out.write.options(
+    writer = out.write.options(
         **{
             "compression": codec,
             "parquet.block.size": str(row_group_bytes),
@@ -162,7 +162,10 @@ def write_token_files(
             "parquet.enable.dictionary": str(encoding == "dictionary").lower(),
             "parquet.writer.version": "v2" if encoding == "delta" else "v1",
         }
-    ).parquet(path)
+    )
+    # Batches of few whole texts keep the buffers on both sides of the pipe small.
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows_per_batch * 4)):
+        writer.parquet(path)
 
 
 def read_token_files(spark, path: str, columns: list[str] | None = None) -> DataFrame:

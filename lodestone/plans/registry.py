@@ -2,5 +2,28 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QueryFn = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
+#: Operators of the inventory that a query exercises.
+COVERS: dict[str, str] = {}
+
+
+def query(name: str, covers: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
+    def add(fn: QueryFn) -> QueryFn:
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        QUERIES[name], COVERS[name] = fn, covers
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+from . import crawl, graph, knowledge, relational, retrieval, sqlsurface, streams, text, trace, versions  # noqa: E402, F401

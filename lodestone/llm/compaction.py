@@ -2,7 +2,8 @@
 
 Layout under the table's folder: ``data/<run>/...parquet`` shards, never changed once written, and
 ``manifest/v<number>`` with one row for each live shard.  A version is written beside and renamed into
-place; the rename fails if that version exists, so of two writers one wins and the other tries again.
+place by a rename that fails if that version exists, so of two writers one wins and the other tries
+again.  This needs a file system whose rename is atomic.
 Readers take the highest version and the shards it lists, whatever else lies in ``data``.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 import functools
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,9 @@ class ShardTable:
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.path).getFileSystem(conf)
+        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.path).toUri(), conf)
 
     def version(self) -> int:
         """The highest committed version; 0 before the first."""
@@ -44,10 +48,16 @@ class ShardTable:
         """Make ``live`` the version after ``base``; false if another writer was first."""
         beside = f"{self.path}/manifest/_{uuid.uuid4().hex}"
         live.coalesce(1).write.parquet(beside)
-        done = self._fs.rename(self._path(beside), self._path(f"{self.path}/manifest/v{base + 1:09d}")) if self.version() == base else False
-        if not done:
+        gateway = self.spark.sparkContext._gateway
+        plain = gateway.new_array(getattr(gateway.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            self._files.rename(self._path(beside), self._path(f"{self.path}/manifest/v{base + 1:09d}"), plain)
+        except Py4JJavaError as error:
             self._fs.delete(self._path(beside), True)
-        return done
+            if "FileAlreadyExistsException" not in error.java_exception.toString():
+                raise
+            return False
+        return True
 
     def _written(self, run: str) -> DataFrame:
         """Manifest rows of the shards that a run wrote; reads their footers and one column's sizes alone."""

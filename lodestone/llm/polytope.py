@@ -170,7 +170,7 @@ def near_duplicates(
 
 def _bucketed(classes: DataFrame, tables: int, hashes: int, probes: int, seed: int, tile: int, threshold: float) -> DataFrame:
     """``u, v, n`` of :func:`verify_groups` for all classes."""
-    dims = [r[0] for r in classes.select(F.size("vector").alias("d")).distinct().limit(64).collect()]
+    dims = [r[0] for r in classes.select(F.size("vector").alias("d")).distinct().collect()]
     parts = [_of_dim(classes.where(F.size("vector") == d), d, tables, hashes, probes, seed, tile, threshold) for d in sorted(dims)]
     if not parts:
         return classes.sparkSession.createDataFrame([], "u long, v long, n long")

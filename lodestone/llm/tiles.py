@@ -29,8 +29,23 @@ def meet_in_tiles(rows: DataFrame, *, radius: int = 0, tile: int = 2048, payload
     counts = rows.groupBy("k1", "k2", "lane").agg(F.count("*").alias("n"))
     groups = counts.groupBy("k1", "k2").agg(F.sum("n").alias("_total"), F.map_from_entries(F.collect_list(F.struct("lane", F.ceil(F.col("n") / tile).cast("long").alias("tiles")))).alias("_lanes")).where("_total > 1")
     groups = groups.withColumn("_lanes", F.when(F.col("_total") > tile, F.col("_lanes")))
-    met = rows.join(groups, ["k1", "k2"])
-    own = (F.shiftleft(F.col("lane").cast("long"), 32)) + F.pmod(F.xxhash64("node"), F.col("_lanes")[F.col("lane")])
+    return _dealt(rows.join(groups, ["k1", "k2"]), [c for c in rows.columns if c not in ("k1", "k2")], radius, payload)
+
+
+def meet_by_lane(rows: DataFrame, *, radius: int, tile: int, payload: DataFrame | None = None) -> DataFrame:
+    """Like :func:`meet_in_tiles`, for all rows as one group: ``rows`` has ``lane``, ``node`` and payload columns.
+
+    The driver sees the size of each lane, so lanes must be few (a logarithm, a bit count).
+    """
+    sizes = {r["lane"]: -(-r["n"] // tile) for r in rows.groupBy("lane").agg(F.count("*").alias("n")).collect()}
+    one = F.lit(0).cast("long")
+    lanes = F.create_map(*(x for k, v in sorted(sizes.items()) for x in (F.lit(k), F.lit(v).cast("long")))) if sizes else F.lit(None).cast("map<int,bigint>")
+    return _dealt(rows.select(one.alias("k1"), one.alias("k2"), *rows.columns).withColumn("_lanes", lanes), rows.columns, radius, payload)
+
+
+def _dealt(met: DataFrame, kept: list[str], radius: int, payload: DataFrame | None) -> DataFrame:
+    """Rows with ``_lanes`` (tiles by lane; null: one task) under each of their task keys, in order."""
+    own = F.shiftleft(F.col("lane").cast("long"), 32) + F.pmod(F.xxhash64("node"), F.col("_lanes")[F.col("lane")])
 
     def tiles_of(lane: F.Column) -> F.Column:
         salts = F.sequence(F.lit(0).cast("long"), F.col("_lanes")[lane] - 1)
@@ -41,7 +56,6 @@ def meet_in_tiles(rows: DataFrame, *, radius: int = 0, tile: int = 2048, payload
     pairs = F.transform(others, lambda o: F.struct(F.least(own, o).alias("ta"), F.greatest(own, o).alias("tb"), F.when(own <= o, 0).otherwise(1).alias("side")))
     alone = F.array(F.struct(F.lit(-1).cast("long").alias("ta"), F.lit(-1).cast("long").alias("tb"), F.lit(0).alias("side")))
     met = met.withColumn("_task", F.explode(F.when(F.col("_lanes").isNull(), alone).otherwise(pairs)))
-    kept = [c for c in rows.columns if c not in ("k1", "k2")]
     met = met.select("k1", "k2", "_task.ta", "_task.tb", "_task.side", *kept)
     if payload is not None:
         met = met.join(payload, "node")
@@ -93,7 +107,21 @@ class Forest:
                 return
             np.minimum.at(self.parent, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
 
+    def root(self, i: int) -> int:
+        """The first position of i's class; shortens the path to it."""
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def link(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        self.parent[max(a, b)] = min(a, b)
+
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         """A link from each position to the first of its class; these keep classes whole."""
+        while not np.array_equal(up := self.parent[self.parent], self.parent):
+            self.parent = up
         child = np.flatnonzero(self.parent != np.arange(len(self.parent)))
         return child, self.parent[child]

@@ -239,6 +239,31 @@ def test_fingerprint_links_in_tiles(spark, tile):
     assert [got.get(k, k) for k in range(len(fps))] == want
 
 
+@pytest.mark.parametrize("tile", [16, 4096])
+def test_similar_documents_equal_brute_force(spark, tile):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(400)]
+    base = [list(rng.choice(words, n)) for n in (*[60] * 12, *[200] * 12, *[700] * 4)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for k in (1, 2, 4, 9):
+            c = list(b)
+            for at in rng.choice(len(c), k, replace=False):
+                c[at] = "changed"
+            texts.append(" ".join(c))
+    texts += [texts[0].upper(), texts[3] + "  ", "", None, "a b", "A  B", "x " * 500, "x " * 400 + "y"]
+
+    def shingles(t):
+        w = WORD.findall((t or "").lower())
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    want = classes_of(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_df(spark, texts, **CLASHING), tile=tile, verify_tile=tile).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert simhash.similar_documents(docs_df(spark).limit(0)).count() == 0
+
+
 def test_components_of_paths_and_hubs(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(1000, 1300)] + [(7, 7), (None, 3), (1299, 1)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}

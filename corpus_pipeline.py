@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: the one with the smallest id, and one row of it."""
-    classes = materialize(simhash.near_duplicates(docs), "classes")
+    """One document of each near-duplicate class (five-word shingles, similarity 0.8 or more) stays: the one with the smallest id, and one row of it."""
+    classes = materialize(simhash.similar_documents(docs), "classes")
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")

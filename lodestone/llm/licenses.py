@@ -64,26 +64,38 @@ LICENSES = (
 #: A line that states a copyright holder: the word or sign, then a year or a sign.
 COPYRIGHT_LINE = r"(?m)^[^\n]*(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[12][0-9]{3})[^\n]*$"
 RESERVED_LINE = r"(?m)^[^\nA-Za-z0-9]*all rights reserved[^\nA-Za-z0-9]*$"
-NOT_WORD = r"[^a-z0-9\u0080-\U0010ffff]+"
+PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
-def canonical(text: F.Column) -> F.Column:
-    """Lower-case A-Z, without copyright lines, in one spelling, with runs of white space and ASCII punctuation as one blank."""
-    t = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE.replace(r"©", "©"), ""), RESERVED_LINE, "")
+def _canonical_line(line: F.Column) -> F.Column:
+    t = F.lower(line)
+    held = F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("(c)")) | F.contains(t, F.lit("©"))
+    t = F.when(held, F.regexp_replace(t, COPYRIGHT_LINE, "")).otherwise(t)
+    t = F.when(F.contains(t, F.lit("reserved")), F.regexp_replace(t, RESERVED_LINE, "")).otherwise(t)
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(t, "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", " "))
+    return F.trim(F.regexp_replace(t, PUNCTUATION, " "))
 
 
-def digest(text: F.Column) -> F.Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+def canonical_lines(text: F.Column) -> F.Column:
+    """Lines in lower case and one spelling, with runs of white space and ASCII punctuation as one blank; copyright lines are empty."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _canonical_line)
+
+
+def digest(canonical: F.Column) -> F.Column:
+    """Never null, so that a join needs no second look at it."""
+    return F.coalesce(F.sha2(canonical.cast("binary"), 256), F.lit(""))
+
+
+def whole(lines: F.Column) -> F.Column:
+    """The canonical text: its non-empty canonical lines with a blank between."""
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
 def known_digests(spark: SparkSession, licenses: tuple[tuple[str, str], ...] = LICENSES) -> DataFrame:
     """``license_digest, license``: one row for each known canonical text; as small as the list above."""
     known = spark.createDataFrame(list(licenses), "license string, text string")
-    return known.select(digest(F.col("text")).alias("license_digest"), "license").groupBy("license_digest").agg(F.min("license").alias("license"))
+    return known.select(digest(whole(canonical_lines(F.col("text")))).alias("license_digest"), "license").groupBy("license_digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, *, licenses: tuple[tuple[str, str], ...] = LICENSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,19 +103,17 @@ def scan_licenses(docs: DataFrame, *, licenses: tuple[tuple[str, str], ...] = LI
 
     ``digest`` is that of the whole canonical text, and ``license`` the known license with this digest
     (null: none).  ``notices`` lists, in order and joined by commas, the licenses whose whole text or notice is a line of
-    the document (empty: none); the lines go through the same lookup.  The table of known digests
+    the document (empty: none); the lines go through the same lookup.  A text is made canonical once,
+    line by line; only ids and digests are shuffled.  The table of known digests
     is the one broadcast side: its size is that of the fixed list.  A null text counts as empty and
     matches nothing; null ids are carried; repeated rows come out as often as they come in; an
     empty table gives no rows.
     """
     spark = docs.sparkSession
     known = F.broadcast(known_digests(spark, licenses))
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    whole = src.select("doc_id", digest(F.col("text")).alias("digest"))
-    lines = src.select(F.xxhash64("text").alias("_h"), "doc_id", F.col("text"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    hits = lines.select("doc_id", "text", digest(F.col("line")).alias("license_digest")).join(known, "license_digest")
-    notices = hits.select("doc_id", digest(F.col("text")).alias("digest"), "license").groupBy("doc_id", "digest").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
-    notices = notices.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "notices")
-    out = whole.join(known, F.col("digest") == F.col("license_digest"), "left")
-    out = out.join(notices, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-    return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
+    src = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col).cast("string")).alias("lines"))
+    lines = src.select("doc_id", digest(whole(F.col("lines"))).alias("digest"), F.posexplode("lines").alias("at", "line"))
+    met = lines.select("doc_id", "digest", "at", digest(F.col("line")).alias("license_digest")).join(known, "license_digest", "left")
+    rows = met.groupBy("doc_id", "digest").agg(F.count_if(F.col("at") == 0).alias("_rows"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
+    rows = rows.join(known.withColumnRenamed("license_digest", "digest"), "digest", "left")
+    return rows.select("doc_id", "digest", "license", "notices", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))).alias("_n")).drop("_n")

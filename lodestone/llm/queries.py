@@ -117,7 +117,7 @@ def _op5_sql() -> str:
     from .licenses import COPYRIGHT_LINE, LICENSES, RESERVED_LINE, SPELLINGS
 
     def canonical(t: str) -> str:
-        out = f"translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        out = f"lower(coalesce({t}, ''))"
         for form in (COPYRIGHT_LINE, RESERVED_LINE):
             out = f"regexp_replace({out}, '{form}', '', 'g')"
         for old, new in SPELLINGS:

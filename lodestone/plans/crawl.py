@@ -72,7 +72,7 @@ def raw_page_verdict(spark, sf_dir):
     return p.select("page_id", K.challenge(F.col("html")).alias("challenge"), K.raw_verdict(F.col("html")).alias("verdict"))
 
 
-_BODY = "CASE doc_id % 9 WHEN 0 THEN substr(text, 1, 8) WHEN 1 THEN substr(text, 1, 100) || '���' WHEN 2 THEN substr(text, 1, 60) || chr(1) || chr(2) || chr(3) WHEN 3 THEN substr(text, 1, 60) || chr(127) || chr(127) || chr(127) ELSE text END"
+_BODY = "CASE doc_id % 9 WHEN 0 THEN lang WHEN 1 THEN text || '���' WHEN 2 THEN text || chr(1) || chr(2) || chr(3) WHEN 3 THEN text || chr(127) || chr(127) || chr(127) ELSE text END"
 _N = lambda form: f"len(regexp_extract_all(t, '{form}'))"
 
 
@@ -86,8 +86,8 @@ _N = lambda form: f"len(regexp_extract_all(t, '{form}'))"
 def text_quality_verdict(spark, sf_dir):
     t = F.col("text")
     k = F.col("doc_id") % 9
-    head = lambda n, tail: F.concat(F.substring(t, 1, n), F.lit(tail))
-    body = F.when(k == 0, F.substring(t, 1, 8)).when(k == 1, head(100, "�" * 3)).when(k == 2, head(60, "\x01\x02\x03")).when(k == 3, head(60, "\x7f" * 3)).otherwise(t)
+    with_tail = lambda tail: F.concat(t, F.lit(tail))
+    body = F.when(k == 0, F.col("lang")).when(k == 1, with_tail("�" * 3)).when(k == 2, with_tail("\x01\x02\x03")).when(k == 3, with_tail("\x7f" * 3)).otherwise(t)
     d = load(spark, sf_dir, "documents").select("doc_id", body.alias("t"))
     return d.select("doc_id", K.text_verdict(F.col("t")).alias("verdict"), K.valid_content(F.col("t")).alias("valid"))
 

@@ -9,13 +9,13 @@ from ..sources.tables import load
 from .registry import query
 
 # A supplier leads to two others; step n of a plan of parts needs the steps at a half and a third of it.
-_EDGES = "edges AS (SELECT s_suppkey AS source, (s_suppkey * 2 + 1) % 64 AS target FROM supplier WHERE s_suppkey < 64 UNION SELECT s_suppkey, (s_suppkey * 3) % 64 FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey < 64)"
+_EDGES = "size AS (SELECT count(*) AS n FROM supplier), edges AS (SELECT s_suppkey AS source, (s_suppkey * 2 + 1) % n AS target FROM supplier, size UNION SELECT s_suppkey, (s_suppkey * 3) % n FROM supplier, size WHERE s_acctbal > 0)"
 
 
 def _edges(spark, sf_dir):
-    s = load(spark, sf_dir, "supplier").where("s_suppkey < 64")
-    k = F.col("s_suppkey")
-    return s.select(k.alias("source"), ((k * 2 + 1) % 64).alias("target")).union(s.where("s_suppkey % 5 = 0").select(k, (k * 3) % 64)).distinct()
+    s = load(spark, sf_dir, "supplier")
+    k, n = F.col("s_suppkey"), s.count()
+    return s.select(k.alias("source"), ((k * 2 + 1) % n).alias("target")).union(s.where("s_acctbal > 0").select(k, (k * 3) % n)).distinct()
 
 
 @query("graph_reachable", "G1", f"WITH RECURSIVE {_EDGES}, r(id) AS (SELECT 3::BIGINT UNION SELECT target FROM r JOIN edges ON source = id) SELECT id FROM r")
@@ -26,12 +26,12 @@ def graph_reachable(spark, sf_dir):
 @query("graph_reachable_sql", "G1 2.16 recursive", f"WITH RECURSIVE {_EDGES}, r(id) AS (SELECT 3::BIGINT UNION SELECT target FROM r JOIN edges ON source = id) SELECT id FROM r")
 def graph_reachable_sql(spark, sf_dir):
     _edges(spark, sf_dir).createOrReplaceTempView("graph_edges")
-    return spark.sql("WITH RECURSIVE r(id, depth) AS (SELECT 3L, 0 UNION ALL SELECT target, depth + 1 FROM r JOIN graph_edges ON source = id WHERE depth < 12) SELECT DISTINCT id FROM r")
+    return spark.sql("WITH RECURSIVE r(id, depth) AS (SELECT 3L, 0 UNION ALL SELECT target, depth + 1 FROM r JOIN graph_edges ON source = id WHERE depth < 14) SELECT DISTINCT id FROM r")
 
 
-@query("graph_duplicates", "G2", "SELECT c_nationkey::BIGINT AS id, count(*) AS n FROM customer WHERE c_custkey < 40 GROUP BY 1 HAVING count(*) > 1")
+@query("graph_duplicates", "G2", "SELECT c_nationkey::BIGINT AS id, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
 def graph_duplicates(spark, sf_dir):
-    return G.duplicate_ids(load(spark, sf_dir, "customer").where("c_custkey < 40").select(F.col("c_nationkey").cast("long").alias("id")))
+    return G.duplicate_ids(load(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("id")))
 
 
 @query("graph_next_nodes", "G3", "SELECT n_nationkey::BIGINT AS id, t::BIGINT AS next FROM (SELECT n_nationkey, n_nationkey % 3 AS k, unnest([n_nationkey + 1, n_nationkey + 2]) AS t FROM nation) WHERE k = 1 OR (k = 0 AND t = n_nationkey + 1) OR (k = 2 AND t = n_nationkey + 2)")
@@ -45,10 +45,10 @@ def graph_next_nodes(spark, sf_dir):
 def _steps(spark, sf_dir):
     k = F.col("p_partkey")
     deps = F.when(k > 1, F.array((k / 2).cast("long"), (k / 3).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return load(spark, sf_dir, "part").where("p_partkey < 120").select(k.alias("id"), F.array_distinct(deps).alias("deps"))
+    return load(spark, sf_dir, "part").select(k.alias("id"), F.array_distinct(deps).alias("deps"), "p_size")
 
 
-_NEEDS = "needs AS (SELECT p_partkey AS id, unnest([p_partkey // 2, p_partkey // 3]) AS dep FROM part WHERE p_partkey BETWEEN 2 AND 119)"
+_NEEDS = "needs AS (SELECT p_partkey AS id, unnest([p_partkey // 2, p_partkey // 3]) AS dep FROM part WHERE p_partkey > 1), done AS (SELECT p_partkey AS id FROM part WHERE p_size <= 40)"
 
 
 @query("plan_problems", "G4", "SELECT * FROM (VALUES ('unknown dependency', 3::BIGINT), ('duplicate', 7::BIGINT), ('cycle', 10::BIGINT), ('cycle', 11::BIGINT), ('cycle', 12::BIGINT)) v(problem, id)")
@@ -57,13 +57,13 @@ def plan_problems(spark, sf_dir):
     return G.plan_problems(spark.createDataFrame(rows, "id long, deps array<long>"))
 
 
-@query("plan_ready", "G5", f"WITH {_NEEDS}, steps AS (SELECT p_partkey AS id FROM part WHERE p_partkey < 120) SELECT id FROM steps WHERE id >= 40 AND id NOT IN (SELECT id FROM needs WHERE dep >= 40)")
+@query("plan_ready", "G5", f"WITH {_NEEDS} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT id FROM done) AND p_partkey NOT IN (SELECT id FROM needs WHERE dep NOT IN (SELECT id FROM done))")
 def plan_ready(spark, sf_dir):
     s = _steps(spark, sf_dir)
-    return G.ready_steps(s, s.where("id < 40").select("id"))
+    return G.ready_steps(s, s.where("p_size <= 40").select("id"))
 
 
-@query("plan_terminal", "G6", f"WITH {_NEEDS} SELECT p_partkey AS id FROM part WHERE p_partkey < 100 AND p_partkey NOT IN (SELECT dep FROM needs)")
+@query("plan_terminal", "G6", f"WITH {_NEEDS} SELECT id FROM done WHERE id NOT IN (SELECT dep FROM needs)")
 def plan_terminal(spark, sf_dir):
     s = _steps(spark, sf_dir)
-    return G.terminal_steps(s, s.where("id < 100").select("id"))
+    return G.terminal_steps(s, s.where("p_size <= 40").select("id"))

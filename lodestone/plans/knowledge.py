@@ -108,17 +108,17 @@ def note_facets(spark, sf_dir):
     return by("category", F.col("category")).unionByName(by("tag", F.explode("tags")))
 
 
-@query("prompt_listing", "P22 L5", f"{W} SELECT doc_id, collection FROM docs WHERE collection LIKE '%src1%' AND doc_id % 2 = 0 AND (user_id = 4 OR user_id IS NULL) ORDER BY doc_id DESC LIMIT 15")
+@query("prompt_listing", "P22 L5", f"{W} SELECT doc_id, collection FROM docs WHERE collection LIKE '%src1%' AND lang <> 'en' AND (user_id = 4 OR user_id IS NULL) ORDER BY doc_id DESC LIMIT 15")
 def prompt_listing(spark, sf_dir):
-    d = kb_documents(spark, sf_dir).where(F.col("collection").like("%src1%") & (F.col("doc_id") % 2 == 0) & ((F.col("user_id") == 4) | F.col("user_id").isNull()))
+    d = kb_documents(spark, sf_dir).where(F.col("collection").like("%src1%") & (F.col("lang") != "en") & ((F.col("user_id") == 4) | F.col("user_id").isNull()))
     return d.orderBy(F.col("doc_id").desc()).limit(15).select("doc_id", "collection")
 
 
-@query("null_safe_key", "P24", f"{W} SELECT a.doc_id, count(*) AS n FROM docs a JOIN docs b ON a.collection = b.collection AND a.user_id IS NOT DISTINCT FROM b.user_id WHERE a.doc_id < 30 GROUP BY 1")
+@query("null_safe_key", "P24", f"{W} SELECT a.doc_id, b.n FROM docs a JOIN (SELECT collection, user_id, count(*) AS n FROM docs GROUP BY 1, 2) b ON a.collection = b.collection AND a.user_id IS NOT DISTINCT FROM b.user_id")
 def null_safe_key(spark, sf_dir):
-    a, b = kb_documents(spark, sf_dir).where("doc_id < 30").alias("a"), kb_documents(spark, sf_dir).alias("b")
-    on = (F.col("a.collection") == F.col("b.collection")) & F.col("a.user_id").eqNullSafe(F.col("b.user_id"))
-    return a.join(b, on).groupBy("a.doc_id").agg(F.count("*").alias("n")).select("doc_id", "n")
+    d = kb_documents(spark, sf_dir)
+    n = d.groupBy(F.col("collection").alias("c"), F.col("user_id").alias("u")).agg(F.count("*").alias("n"))
+    return d.join(n, (F.col("collection") == F.col("c")) & F.col("user_id").eqNullSafe(F.col("u"))).select("doc_id", "n")
 
 
 @query("embedding_tables", "S4", f"WITH {SQL_EMB} SELECT model_tag, 'embeddings_' || model_tag AS table_name FROM emb GROUP BY 1")
@@ -133,10 +133,10 @@ def legacy_tag_fallback(spark, sf_dir):
     return c.join(F.broadcast(best), "p").select("doc_id", "model_tag")
 
 
-@query("nan_to_null", "S3", "SELECT event_id, CASE WHEN value > 30 THEN NULL ELSE value END AS value FROM events WHERE event_id < 200")
+@query("nan_to_null", "S3", "SELECT event_id, CASE WHEN value > 30 THEN NULL ELSE value END AS value FROM events")
 def nan_to_null(spark, sf_dir):
     v = F.when(F.col("value") > 30, F.lit(float("nan"))).otherwise(F.col("value"))
-    return load(spark, sf_dir, "events").where("event_id < 200").select("event_id", F.when(~F.isnan(v), v).alias("value"))
+    return load(spark, sf_dir, "events").select("event_id", F.when(~F.isnan(v), v).alias("value"))
 
 
 @query("sql_passthrough", "S6 S7", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1")
@@ -145,9 +145,9 @@ def sql_passthrough(spark, sf_dir):
     return files.read_sql(spark, None, "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_mktsegment")
 
 
-@query("line_range", "S13 C23", "SELECT doc_id, (k + 1)::INTEGER AS line_no, string_split(text, chr(10))[k + 1] AS line FROM documents, (VALUES (1), (2)) v(k) WHERE doc_id < 60 AND len(string_split(text, chr(10))) > k")
+@query("line_range", "S13 C23", "SELECT doc_id, (k + 1)::INTEGER AS line_no, string_split(text, chr(10))[k + 1] AS line FROM documents, (VALUES (1), (2)) v(k) WHERE len(string_split(text, chr(10))) > k")
 def line_range(spark, sf_dir):
-    return files.line_range(load(spark, sf_dir, "documents").where("doc_id < 60").select("doc_id", "text"), "text", 2, 3)
+    return files.line_range(load(spark, sf_dir, "documents").select("doc_id", "text"), "text", 2, 3)
 
 
 @query("parser_compatibility", "S17", "SELECT e AS extension, p AS parser FROM (VALUES ('txt', 'text'), ('md', 'text'), ('html', 'html'), ('csv', 'table'), ('json', 'json'), ('xlsx', 'workbook'), ('pdf', 'pdf')) v(e, p)")
@@ -285,13 +285,13 @@ def stable_id_list(spark, sf_dir):
 @query(
     "owned_or_shared",
     "D10 L18",
-    f"{W}, u AS (SELECT doc_id, 'owned' AS via, 0 AS p, n_chars FROM docs WHERE user_id = 2 UNION ALL SELECT doc_id, 'policy', 1, n_chars FROM docs WHERE lang = 'fr') SELECT doc_id, via FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p) = 1 ORDER BY coalesce(n_chars, 0) DESC, doc_id DESC LIMIT 50",
+    f"{W}, u AS (SELECT doc_id, 'owned' AS via, 0 AS p, n_chars FROM docs WHERE user_id = 2 UNION ALL SELECT doc_id, 'policy', 1, n_chars FROM docs WHERE lang = 'fr') SELECT doc_id, via FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p) = 1 ORDER BY coalesce(n_chars, 0) DESC, doc_id DESC",
 )
 def owned_or_shared(spark, sf_dir):
     d = kb_documents(spark, sf_dir)
     u = d.where("user_id = 2").select("doc_id", "n_chars", F.lit("owned").alias("via"), F.lit(0).alias("p")).unionByName(d.where("lang = 'fr'").select("doc_id", "n_chars", F.lit("policy").alias("via"), F.lit(1).alias("p")))
     first = u.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("p"))).where("rn = 1")
-    return first.orderBy(F.coalesce("n_chars", F.lit(0)).desc(), F.col("doc_id").desc()).limit(50).select("doc_id", "via")
+    return first.orderBy(F.coalesce("n_chars", F.lit(0)).desc(), F.col("doc_id").desc()).select("doc_id", "via")
 
 
 # Scalars --------------------------------------------------------------------------------------------
@@ -363,9 +363,9 @@ def canonical_hashes(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", S.step_hash("step", F.col("props")).alias("digest"))
 
 
-@query("json_depths", "C21", "SELECT event_id, 1::INTEGER AS depth FROM events WHERE event_id < 500")
+@query("json_depths", "C21", "SELECT event_id, 1::INTEGER AS depth FROM events")
 def json_depths(spark, sf_dir):
-    return load(spark, sf_dir, "events").where("event_id < 500").select("event_id", S.json_depth("props").alias("depth"))
+    return load(spark, sf_dir, "events").select("event_id", S.json_depth("props").alias("depth"))
 
 
 @query("utf8_prefixes", "2.11 utf8", None)

@@ -25,13 +25,13 @@ _STATUS = "CASE WHEN coalesce(chunks, 0) = 0 THEN 'pending' WHEN coalesce(embedd
 @query(
     "kb_doc_status",
     "J2 A30 2.11 conditional",
-    f"""{WE}, c AS (SELECT doc_id, (1 + n_chars // 2000)::BIGINT AS chunks FROM docs WHERE doc_id % 10 <> 0), e AS (SELECT doc_id, 1 + doc_id % 3 AS embedded FROM emb), l AS (SELECT doc_id, quality FROM labels)
+    f"""{WE}, c AS (SELECT doc_id, (1 + n_chars // 2000)::BIGINT AS chunks FROM docs WHERE lang <> 'de'), e AS (SELECT doc_id, 1 + doc_id % 3 AS embedded FROM emb), l AS (SELECT doc_id, quality FROM labels)
     SELECT doc_id, coalesce(chunks, 0) AS chunks, coalesce(embedded, 0) AS embedded, CASE WHEN quality = 0 THEN 'failed' ELSE {_STATUS} END AS status
     FROM docs FULL JOIN c USING (doc_id) FULL JOIN e USING (doc_id) FULL JOIN l USING (doc_id)""",
 )
 def kb_doc_status(spark, sf_dir):
     d = kb_documents(spark, sf_dir)
-    c = d.where("doc_id % 10 <> 0").select("doc_id", F.expr("1 + n_chars div 2000").alias("chunks"))
+    c = d.where("lang <> 'de'").select("doc_id", F.expr("1 + n_chars div 2000").alias("chunks"))
     e = kb_embeddings(spark, sf_dir).select("doc_id", (1 + F.col("doc_id") % 3).alias("embedded"))
     lab = load(spark, sf_dir, "labels").select("doc_id", "quality")
     both = d.select("doc_id").join(c, "doc_id", "full").join(e, "doc_id", "full").join(lab, "doc_id", "full")
@@ -89,12 +89,12 @@ def kb_latest_per_group(spark, sf_dir):
 @query(
     "best_link_per_model",
     "J8 L9",
-    "SELECT p_partkey, (SELECT l_orderkey FROM lineitem WHERE l_partkey = p_partkey ORDER BY (l_returnflag = 'R') DESC, l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 1) AS best FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) AND p_partkey < 300",
+    "SELECT p_partkey, l_orderkey AS best FROM part JOIN (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY (l_returnflag = 'R') DESC, l_extendedprice DESC, l_orderkey, l_linenumber) AS rn FROM lineitem) ON l_partkey = p_partkey WHERE rn = 1",
 )
 def best_link_per_model(spark, sf_dir):
     at = Window.partitionBy("l_partkey").orderBy((F.col("l_returnflag") == "R").desc(), F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber")
-    li = load(spark, sf_dir, "lineitem").where("l_partkey < 300").withColumn("rn", F.row_number().over(at)).where("rn = 1")
-    return load(spark, sf_dir, "part").where("p_partkey < 300").join(li, F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", F.col("l_orderkey").alias("best"))
+    li = load(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(at)).where("rn = 1")
+    return load(spark, sf_dir, "part").join(li, F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", F.col("l_orderkey").alias("best"))
 
 
 @query(

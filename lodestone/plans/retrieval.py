@@ -102,12 +102,12 @@ def rerank_rrf(spark, sf_dir):
 @query(
     "rerank_mapping",
     "J17 U5",
-    """WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS n FROM conversations WHERE conv_id < 4),
+    """WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS n FROM conversations),
     t AS (SELECT role, position, row_number() OVER (PARTITION BY role ORDER BY position) AS n FROM (VALUES ('assistant', 0), ('user', 1), ('assistant', 2)) v(role, position))
     SELECT conv_id, turn, r.role AS text, position FROM r LEFT JOIN t USING (role, n)""",
 )
 def rerank_mapping(spark, sf_dir):
-    results = load(spark, sf_dir, "conversations").where("conv_id < 4").select("conv_id", "turn", F.col("role").alias("text"))
+    results = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("text"))
     texts = spark.createDataFrame([("assistant", 0), ("user", 1), ("assistant", 2)], "text string, position int")
     return R.map_reranked(texts, results, key=["conv_id", "turn"]).select("conv_id", "turn", "text", "position")
 
@@ -127,11 +127,11 @@ def note_search(spark, sf_dir):
 @query(
     "render_context",
     "R13",
-    f"""WITH {SQL_DOCS}, t AS (SELECT substr(text, 1, 40) AS text, row_number() OVER (ORDER BY doc_id) AS rank, 1.0 / doc_id AS score FROM docs WHERE doc_id BETWEEN 1 AND 5)
+    f"""WITH {SQL_DOCS}, l AS (SELECT doc_id, text, 1.0 / (1 + n_chars) AS score FROM docs ORDER BY n_chars, doc_id LIMIT 5), t AS (SELECT text, row_number() OVER (ORDER BY round(score, 12) DESC, doc_id) AS rank, score FROM l)
     SELECT string_agg('[' || rank || '] (score ' || printf('%.4f', score::DOUBLE) || ')' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM t""",
 )
 def render_context(spark, sf_dir):
-    d = kb_documents(spark, sf_dir).where("doc_id between 1 and 5").select(F.substring("text", 1, 40).alias("text"), "doc_id", (1.0 / F.col("doc_id")).alias("score"))
+    d = kb_documents(spark, sf_dir).orderBy("n_chars", "doc_id").limit(5).select("text", "doc_id", (1.0 / (1 + F.col("n_chars"))).alias("score"))
     return R.render_context(R.ranked(d, key=["doc_id"]), with_metadata=True)
 
 

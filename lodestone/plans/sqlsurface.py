@@ -27,7 +27,7 @@ same("sql_pricing_summary", "aggregates", f"SELECT l_returnflag, l_linestatus, r
 same("sql_star_join", "inner", f"SELECT n_name, round(sum({REVENUE}), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name", "customer orders lineitem supplier nation region")
 same("sql_left_outer", "left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY c_custkey", "customer orders")
 same("sql_right_outer", "right", "SELECT n_name, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name", "supplier nation")
-same("sql_full_outer", "full", "SELECT coalesce(a.k, b.k) AS k, a.n AS orders, b.n AS customers FROM (SELECT o_custkey % 40 AS k, count(*) AS n FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1) a FULL OUTER JOIN (SELECT c_custkey % 50 AS k, count(*) AS n FROM customer GROUP BY 1) b ON a.k = b.k", "orders customer")
+same("sql_full_outer", "full", "SELECT coalesce(a.k, b.k) AS k, a.n AS orders, b.n AS customers FROM (SELECT o_custkey % 40 AS k, count(*) AS n FROM orders GROUP BY 1) a FULL OUTER JOIN (SELECT c_custkey % 50 AS k, count(*) AS n FROM customer GROUP BY 1) b ON a.k = b.k", "orders customer")
 same("sql_cross", "cross", "SELECT r_name, s.n FROM region CROSS JOIN (SELECT count(*) AS n FROM nation) s", "region nation")
 same("sql_semi_anti", "semi anti exists", "SELECT 'with' AS kind, count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) UNION ALL SELECT 'without', count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", "customer orders")
 same("sql_theta", "theta", "SELECT count(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal", "supplier")
@@ -39,7 +39,7 @@ same("sql_filter_clause", "filter", "SELECT o_orderpriority, count(*) FILTER (WH
 same("sql_scalar_subquery", "correlated", "SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT avg(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)", "part")
 same("sql_set_operations", "union intersect except", "SELECT 'i' AS op, k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'e', k FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'u', k FROM (SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region)", "customer supplier nation region")
 same("sql_set_all", "intersect all except all", "SELECT 'e' AS op, k FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT 'i', k FROM (SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier)", "customer supplier")
-same("sql_windows", "rank dense_rank ntile lag lead", "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, lag(o_orderkey) OVER k AS before, lead(o_orderkey, 2) OVER k AS after, first_value(o_orderkey) OVER k AS first, ntile(4) OVER k AS q FROM orders WHERE o_custkey < 100 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderstatus), k AS (PARTITION BY o_custkey ORDER BY o_orderkey)", "orders", "SELECT o_orderkey, cast(rank() OVER w AS bigint) AS r, cast(dense_rank() OVER w AS bigint) AS d, lag(o_orderkey) OVER k AS before, lead(o_orderkey, 2) OVER k AS after, first_value(o_orderkey) OVER k AS first, cast(ntile(4) OVER k AS bigint) AS q FROM orders WHERE o_custkey < 100 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderstatus), k AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+same("sql_windows", "rank dense_rank ntile lag lead", "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, lag(o_orderkey) OVER k AS before, lead(o_orderkey, 2) OVER k AS after, first_value(o_orderkey) OVER k AS first, ntile(4) OVER k AS q FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderstatus), k AS (PARTITION BY o_custkey ORDER BY o_orderkey)", "orders", "SELECT o_orderkey, cast(rank() OVER w AS bigint) AS r, cast(dense_rank() OVER w AS bigint) AS d, lag(o_orderkey) OVER k AS before, lead(o_orderkey, 2) OVER k AS after, first_value(o_orderkey) OVER k AS first, cast(ntile(4) OVER k AS bigint) AS q FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderstatus), k AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 same("sql_frames", "rows and range frames", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS s3, count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS near FROM events", "events")
 same("sql_distinct_on_percentiles", "percentile mode", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY o_orderpriority", "orders", "SELECT o_orderpriority, round(percentile(o_totalprice, 0.5), 4) AS median, round(percentile(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY o_orderpriority")
 same("sql_lateral", "lateral", "SELECT r_name, x.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name LIMIT 2) x", "region nation")
@@ -66,9 +66,9 @@ def sql_join_hints(spark, sf_dir):
     return both.join(o.hint("shuffle_hash"), o.o_custkey == c.c_custkey).groupBy("n_name").agg(F.count("*").alias("n"))
 
 
-@query("sql_as_of", "2.16 as-of", "SELECT e.event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'signup' AND (p.ts, p.event_id) <= (e.ts, e.event_id)) AS signup_id FROM events e WHERE e.event_type = 'purchase' AND e.user_id < 60".replace("max(p.event_id)", "arg_max(p.event_id, (p.ts, p.event_id))"))
+@query("sql_as_of", "2.16 as-of", "SELECT e.event_id, p.event_id AS signup_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') p ON p.user_id = e.user_id AND p.ts <= e.ts")
 def sql_as_of(spark, sf_dir):
-    e = load(spark, sf_dir, "events").where("user_id < 60")
+    e = load(spark, sf_dir, "events")
     out = R.as_of(e.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), e.where("event_type = 'signup'").select("user_id", "ts", "event_id"), by=["user_id"], on="ts", tie="event_id")
     return out.select("event_id", F.col("right_event_id").alias("signup_id"))
 
@@ -89,7 +89,7 @@ def sql_udf_registry(spark, sf_dir):
     return spark.sql("SELECT n_nationkey, cast(twice(length(n_name)) AS bigint) AS twice, part FROM nation, LATERAL split_parts(n_name, 'A')")
 
 
-@query("sql_dataframe_windows", "W1 2.5", "SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM lineitem WHERE l_orderkey < 2000")
+@query("sql_dataframe_windows", "W1 2.5", "SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM lineitem")
 def sql_dataframe_windows(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
-    return load(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", F.round(F.sum("l_quantity").over(w), 2).alias("running"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.sum("l_quantity").over(w), 2).alias("running"))

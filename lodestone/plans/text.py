@@ -50,17 +50,17 @@ def chunk_token_packing(spark, sf_dir):
     return C.chunk_documents(load(spark, sf_dir, "documents"), 128, 16, strategy="token")
 
 
-@query("markdown_sections", "C8", "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS section, role || turn AS title, trim(replace(substr(text, 1, 60), chr(10), ' '), ' ') AS body FROM conversations")
+@query("markdown_sections", "C8", "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS section, role || turn AS title, trim(replace(text, chr(10), ' '), ' ') AS body FROM conversations")
 def markdown_sections(spark, sf_dir):
-    part = F.concat(F.lit("# "), "role", F.col("turn").cast("string"), F.lit("\n"), F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")))
+    part = F.concat(F.lit("# "), "role", F.col("turn").cast("string"), F.lit("\n"), F.replace("text", F.lit("\n"), F.lit(" ")))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"])
     docs = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(ordered, "\n").alias("text"))
     return C.markdown_sections(docs, key="conv_id")
 
 
-@query("media_context", "C10 W5 T13", "WITH c AS (SELECT conv_id, turn, CASE WHEN turn = 1 THEN '| a | b |' ELSE replace(substr(text, 1, 50), '|', '/') END AS chunk FROM conversations) SELECT conv_id, turn, CASE WHEN turn = 1 THEN concat_ws(chr(10), lag(right(chunk, 5)) OVER w, chunk, lead(substr(chunk, 1, 7)) OVER w) ELSE chunk END AS enriched FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("media_context", "C10 W5 T13", "WITH c AS (SELECT conv_id, turn, CASE WHEN turn = 1 THEN '| a | b |' ELSE replace(text, '|', '/') END AS chunk FROM conversations) SELECT conv_id, turn, CASE WHEN turn = 1 THEN concat_ws(chr(10), lag(right(chunk, 5)) OVER w, chunk, lead(substr(chunk, 1, 7)) OVER w) ELSE chunk END AS enriched FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def media_context(spark, sf_dir):
-    chunk = F.when(F.col("turn") == 1, "| a | b |").otherwise(F.replace(F.substring("text", 1, 50), F.lit("|"), F.lit("/")))
+    chunk = F.when(F.col("turn") == 1, "| a | b |").otherwise(F.replace("text", F.lit("|"), F.lit("/")))
     c = load(spark, sf_dir, "conversations").select("conv_id", "turn", chunk.alias("chunk"))
     return C.media_context(c, before=5, after=7, key="conv_id", order="turn").select("conv_id", "turn", "enriched")
 

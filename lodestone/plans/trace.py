@@ -29,10 +29,10 @@ def trace_pairing(spark, sf_dir):
     "trace_stats",
     "A11 A12 A18 J10 T17",
     f"""{W} SELECT count(*) AS events, count(*) FILTER (phase = 'end') AS total_calls, count(*) FILTER (phase = 'start' AND ts >= TIMESTAMP '2024-01-30') AS today_calls, count(DISTINCT task_id) FILTER (phase = 'end') AS completed,
-    count(DISTINCT task_id) AS total, round(100.0::DOUBLE * count(DISTINCT task_id) FILTER (phase = 'end') / count(DISTINCT task_id), 1) AS success_rate FROM trace WHERE task_id IN (SELECT c_custkey FROM customer WHERE c_nationkey % 2 = 0)""",
+    count(DISTINCT task_id) AS total, round(100.0::DOUBLE * count(DISTINCT task_id) FILTER (phase = 'end') / count(DISTINCT task_id), 1) AS success_rate FROM trace WHERE task_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
 )
 def trace_stats(spark, sf_dir):
-    own = load(spark, sf_dir, "customer").where("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("task_id"))
+    own = load(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("task_id"))
     e, end = trace_events(spark, sf_dir).join(own, "task_id", "left_semi"), F.col("phase") == "end"
     done, total = F.count_distinct(F.when(end, F.col("task_id"))), F.count_distinct("task_id")
     today = (F.col("phase") == "start") & (F.col("ts") >= F.expr("TIMESTAMP_NTZ '2024-01-30'"))

@@ -10,18 +10,18 @@ from .registry import query
 
 W = f"WITH {SQL_DOCS}"
 WE = f"WITH {SQL_DOCS}, {SQL_EMB}"
-BASE = "b AS (SELECT doc_id, collection, lang, n_chars FROM docs WHERE doc_id % 3 <> 0)"
-CHANGES = "c AS (SELECT doc_id, 'new' AS collection, lang, n_chars + 1 AS n_chars, 0 AS o FROM docs WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'last', lang, n_chars + 2, 1 FROM docs WHERE doc_id % 10 = 0)"
+BASE = "b AS (SELECT doc_id, collection, lang, n_chars FROM docs WHERE lang <> 'fr')"
+CHANGES = "c AS (SELECT doc_id, 'new' AS collection, lang, n_chars + 1 AS n_chars, 0 AS o FROM docs WHERE lang IN ('fr', 'de') UNION ALL SELECT doc_id, 'last', lang, n_chars + 2, 1 FROM docs WHERE collection IN ('src1', 'src5'))"
 
 
 def _base(spark, sf_dir):
-    return kb_documents(spark, sf_dir).where("doc_id % 3 <> 0").select("doc_id", "collection", "lang", "n_chars")
+    return kb_documents(spark, sf_dir).where("lang <> 'fr'").select("doc_id", "collection", "lang", "n_chars")
 
 
 def _changes(spark, sf_dir):
     d = kb_documents(spark, sf_dir)
     one = lambda rows, name, o: rows.select("doc_id", F.lit(name).alias("collection"), "lang", (F.col("n_chars") + o + 1).alias("n_chars"), F.lit(o).alias("o"))
-    return one(d.where("doc_id % 2 = 0"), "new", 0).unionByName(one(d.where("doc_id % 10 = 0"), "last", 1))
+    return one(d.where("lang IN ('fr', 'de')"), "new", 0).unionByName(one(d.where("collection IN ('src1', 'src5')"), "last", 1))
 
 
 _LAST = "l AS (SELECT * EXCLUDE o FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY o DESC) = 1)"
@@ -53,14 +53,14 @@ def _tables(spark, sf_dir):
     return {"embeddings": kb_embeddings(spark, sf_dir).select("doc_id"), "chunks": kb_documents(spark, sf_dir).select("doc_id"), "documents": kb_documents(spark, sf_dir).select("doc_id"), "parses": load(spark, sf_dir, "labels").select("doc_id")}
 
 
-@query("cascade_preview", "M8 M9 M10", "SELECT step::INTEGER AS step, t AS \"table\", n FROM (SELECT 0 AS step, 'embeddings' AS t, count(*) FILTER (vec_id % 4 = 1) AS n FROM embeddings UNION ALL SELECT 1, 'chunks', count(*) FILTER (doc_id % 4 = 1) FROM documents UNION ALL SELECT 2, 'parses', count(*) FILTER (doc_id % 4 = 1) FROM labels UNION ALL SELECT 3, 'documents', count(*) FILTER (doc_id % 4 = 1) FROM documents)")
+@query("cascade_preview", "M8 M9 M10", "SELECT step::INTEGER AS step, t AS \"table\", n FROM (SELECT 0 AS step, 'embeddings' AS t, count(*) FILTER (vec_id = 7) AS n FROM embeddings UNION ALL SELECT 1, 'chunks', count(*) FILTER (doc_id = 7) FROM documents UNION ALL SELECT 2, 'parses', count(*) FILTER (doc_id = 7) FROM labels UNION ALL SELECT 3, 'documents', count(*) FILTER (doc_id = 7) FROM documents)")
 def cascade_preview(spark, sf_dir):
-    return V.cascade_plan(_tables(spark, sf_dir), F.col("doc_id") % 4 == 1)
+    return V.cascade_plan(_tables(spark, sf_dir), F.col("doc_id") == 7)
 
 
-@query("cascade_execute", "M8 M9 M10", "SELECT 'documents' AS t, count(*) AS n FROM documents UNION ALL SELECT 'chunks', count(*) FROM documents WHERE doc_id % 4 <> 1 UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id % 4 <> 1")
+@query("cascade_execute", "M8 M9 M10", "SELECT 'documents' AS t, count(*) AS n FROM documents UNION ALL SELECT 'chunks', count(*) FROM documents WHERE doc_id <> 7 UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id <> 7")
 def cascade_execute(spark, sf_dir):
-    left = V.cascade(_tables(spark, sf_dir), F.col("doc_id") % 4 == 1, "chunk", confirm=True, preview=False)
+    left = V.cascade(_tables(spark, sf_dir), F.col("doc_id") == 7, "chunk", confirm=True, preview=False)
     parts = [left[t].agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), "n") for t in ("documents", "chunks", "embeddings")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -73,10 +73,10 @@ def version_candidates(spark, sf_dir):
 
 
 def _templates(spark, sf_dir):
-    return load(spark, sf_dir, "conversations").where("conv_id < 50").select(F.concat(F.lit("t"), (F.col("conv_id") % 50).cast("string")).alias("name"), (F.col("turn") + 1).alias("version"), (F.col("turn") == 0).alias("is_latest"), F.col("role").alias("template"))
+    return load(spark, sf_dir, "conversations").select(F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("name"), (F.col("turn") + 1).alias("version"), (F.col("turn") == 0).alias("is_latest"), F.col("role").alias("template"))
 
 
-_T = "t AS (SELECT 't' || (conv_id % 50)::VARCHAR AS name, turn + 1 AS version, turn = 0 AS is_latest, role AS template FROM conversations WHERE conv_id < 50)"
+_T = "t AS (SELECT 't' || conv_id::VARCHAR AS name, turn + 1 AS version, turn = 0 AS is_latest, role AS template FROM conversations)"
 
 
 @query("template_next_version", "A29", f"WITH {_T} SELECT name, version, CASE WHEN name = 't3' THEN false ELSE is_latest END AS is_latest, template FROM t UNION ALL SELECT 't3', coalesce(max(version), 0) + 1, true, 'new' FROM t WHERE name = 't3'")
@@ -95,16 +95,17 @@ def schema_evolution(spark, sf_dir):
     return V.add_string_columns(V.cast_owner(d), ["config_hash"])
 
 
-@query("snapshot_restore", "M21", f"{W}, {BASE} SELECT * FROM b WHERE collection <> 'src1' UNION ALL SELECT doc_id, collection, 'xx', n_chars FROM docs WHERE collection = 'src1' AND doc_id % 2 = 0")
+@query("snapshot_restore", "M21", f"{W}, {BASE} SELECT * FROM b WHERE collection <> 'src1' UNION ALL SELECT doc_id, collection, 'xx', n_chars FROM docs WHERE collection = 'src1' AND lang = 'en'")
 def snapshot_restore(spark, sf_dir):
-    snap = kb_documents(spark, sf_dir).where("collection = 'src1' AND doc_id % 2 = 0").select("doc_id", "collection", F.lit("xx").alias("lang"), "n_chars")
+    snap = kb_documents(spark, sf_dir).where("collection = 'src1' AND lang = 'en'").select("doc_id", "collection", F.lit("xx").alias("lang"), "n_chars")
     return V.restore(_base(spark, sf_dir), snap, ["doc_id"], F.col("collection") == "src1")
 
 
-@query("unique_names", "M26", "SELECT w AS wanted, CASE w WHEN 'n' THEN 'n 3' WHEN 'Q' THEN 'Q' END AS name FROM (VALUES ('n'), ('Q')) v(w)")
+@query("unique_names", "M26", "SELECT w AS wanted, CASE WHEN lower(w) IN (SELECT lower(n_name) FROM nation) THEN w || ' 2' ELSE w END AS name FROM (SELECT lower(n_name) AS w FROM nation UNION SELECT r_name FROM region)")
 def unique_names(spark, sf_dir):
-    names = load(spark, sf_dir, "conversations").where("conv_id = 0").select(F.when(F.col("turn") == 0, "N").otherwise("n 2").alias("name"))
-    return V.unique_name(names, spark.createDataFrame([("n",), ("Q",)], "wanted string"))
+    n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
+    wanted = n.select(F.lower("n_name").alias("wanted")).union(r.select("r_name")).distinct()
+    return V.unique_name(n.select(F.col("n_name").alias("name")), wanted)
 
 
 @query("latest_row_lease", "M15 ST9", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) < TIMESTAMP '2024-01-30' AS expired FROM events GROUP BY 1")

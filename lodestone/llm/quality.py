@@ -89,7 +89,7 @@ def classify_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row for each document: ``doc_id, host, path, p_document, p_site, p_quality, keep``.
+    """One row for each document: ``doc_id, host, path, p_document, p_site, p_quality, kept``.
 
     1. Evidence of the document: a logistic regression on features of its whole text, fitted on at
        most ``max_train_rows`` labelled documents (those with the smallest hash of their id, so the
@@ -135,4 +135,4 @@ def classify_quality(
     out = out.withColumn("p_site", bound(of_path))
     odds = _logit(bound(own)) + _logit(F.col("p_site")) - float(np.log(prior / (1 - prior)))
     out = out.withColumn("p_quality", 1 / (1 + F.exp(-odds)))
-    return out.select("doc_id", "host", "path", "p_document", "p_site", "p_quality", (F.col("p_quality") >= threshold - 1e-9).alias("keep"))
+    return out.select("doc_id", "host", "path", "p_document", "p_site", "p_quality", (F.col("p_quality") >= threshold - 1e-9).alias("kept"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import json
+import operator
 import re
 
 import pandas as pd
@@ -153,20 +155,30 @@ def to_timestamp(c: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(c), F.timestamp_seconds(c.try_cast("double")))
 
 
-_MATH = re.compile(r"[0-9.eE+\-*/%(), ]*|[A-Za-z_]+")
 #: Functions that a formula may use.
 MATH = {"sqrt", "sin", "cos", "tan", "exp", "log", "log10", "abs", "floor", "ceil", "pow", "round"}
+_ARITHMETIC = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod, ast.Pow: F.pow}
 
 
 def formula(text: str) -> Column:
-    """Arithmetic over numbers and the named functions; ``**`` is a power, anything else an error."""
-    if not re.fullmatch(r"[0-9A-Za-z_.+\-*/%(), ]+", text) or any(n not in MATH and not re.fullmatch("[eE]", n) for n in re.findall(r"[A-Za-z_]+", text)):
+    """Arithmetic over numbers and the named functions, as a double; anything else is an error."""
+
+    def build(node: ast.AST) -> Column:
+        if isinstance(node, ast.Constant) and isinstance(node.value, int | float) and not isinstance(node.value, bool):
+            return F.lit(float(node.value))
+        if isinstance(node, ast.BinOp) and type(node.op) in _ARITHMETIC:
+            return _ARITHMETIC[type(node.op)](build(node.left), build(node.right))
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub | ast.UAdd):
+            return -build(node.operand) if isinstance(node.op, ast.USub) else build(node.operand)
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in MATH and not node.keywords:
+            return F.call_function(node.func.id, *map(build, node.args))
         raise ValueError("not a formula")
-    text = re.sub(r"\*\*", "^", text)
-    atom = r"(?:[0-9.]+|\([^()]*\))"
-    while m := re.search(rf"({atom})\s*\^\s*({atom})", text):
-        text = text[: m.start()] + f"pow({m[1]}, {m[2]})" + text[m.end() :]
-    return F.expr(re.sub(r"(?<![\w.])(\d+)(?![\w.])", r"\1D", text))
+
+    try:
+        tree = ast.parse(text.strip(), mode="eval")
+    except SyntaxError:
+        raise ValueError("not a formula") from None
+    return build(tree.body)
 
 
 def find_replace(c: Column, pattern: str, replacement: str, *, regex: bool = False, ignore_case: bool = False) -> tuple[Column, Column]:

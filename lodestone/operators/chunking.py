@@ -82,19 +82,21 @@ def pack_units(units: Sequence[str], size: int, overlap: int, length=lambda u: l
     """
     out: list[list[str]] = []
     group: list[str] = []
-    fresh = False
+    total = 0
     for u in units:
         n = length(u)
-        if group and sum(map(length, group)) + n > size:
-            if fresh:
-                out.append(group)
-            carry: list[str] = []
-            while group and sum(map(length, carry)) + length(group[-1]) <= overlap:
-                carry.insert(0, group.pop())
-            group = carry if sum(map(length, carry)) + n <= size else []
+        if group and total + n > size:
+            out.append(group)
+            carry, held = [], 0
+            for before in reversed(group):
+                if held + length(before) > overlap:
+                    break
+                carry.insert(0, before)
+                held += length(before)
+            group, total = (carry, held) if held + n <= size else ([], 0)
         group.append(u)
-        fresh = True
-    return [*out, group] if group and fresh else out
+        total += n
+    return [*out, group] if group else out
 
 
 def recursive_chunks(text: str, size: int, overlap: int = 0, separators: Sequence[str] = SEPARATORS, protect: bool = True) -> list[str]:
@@ -142,7 +144,7 @@ def markdown_sections(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     upto = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("section", F.sum(is_head.cast("int")).over(upto)).withColumn("_h", is_head)
     body = F.transform(F.sort_array(F.collect_list(F.when(~F.col("_h"), F.struct("n", "line")))), lambda x: x["line"])
-    out = lines.groupBy(key, "section").agg(F.max(F.when(F.col("_h"), F.regexp_extract("line", head, 1))).alias("title"), F.trim(F.array_join(body, "\n")).alias("body"))
+    out = lines.groupBy(key, "section").agg(F.max(F.when(F.col("_h"), F.regexp_extract("line", head, 1))).alias("title"), F.regexp_replace(F.array_join(body, "\n"), r"^\s+|\s+$", "").alias("body"))
     return out.where("title is not null or body <> ''")
 
 

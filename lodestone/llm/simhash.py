@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .tiles import KEYS, Forest, meet_by_lane, meet_in_tiles, whole_groups
-from .workspace import materialize, prepare
+from .workspace import ids_side, materialize, prepare
 
 SEED = 42
 #: Shingles hashed at a time: bounds the memory for a very long text.
@@ -146,10 +146,6 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, shingle: int = 3, id_co
     return found.join(by_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Ids up to this number are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
-
-
 def word_shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles of so many words (fewer words: the whole sequence)."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -216,12 +212,13 @@ def _candidates(table: pa.Table, edges: np.ndarray, radii: tuple[int, int]) -> I
             yield a, b, i[near], j[near]
 
 
-def _with_partner(table: pa.Table, edges: np.ndarray, radii: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    hit = np.zeros(table.num_rows, bool)
+def _candidate_links(table: pa.Table, edges: np.ndarray, radii: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Links ``u, v`` that keep together the nodes that candidates connect within each task key."""
+    node, forest = table.column("node").to_numpy(), Forest(table.num_rows)
     for a, _, i, j in _candidates(table, edges, radii):
-        hit[a + i] = True
-        hit[a + j] = True
-    yield pa.RecordBatch.from_arrays([pa.array(np.unique(table.column("node").to_numpy()[hit]))], names=["node"])
+        forest.join(a + i, a + j)
+    i, j = forest.edges()
+    yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["u", "v"])
 
 
 def _verified(table: pa.Table, edges: np.ndarray, radii: tuple[int, int], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -247,8 +244,9 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int =
     verified on the shingles themselves.  Texts that link have numbers of distinct shingles within the
     factor ``similarity``, so tiles are made by that number on a log scale and only neighbours meet,
     and within a tile pair population counts that differ by more than the radius are skipped.  First the
-    texts with any candidate are found, then only their shingles are fetched and verified; a pair already
-    in one class isn't verified again.  The radii are wide for the similarity: of random texts changed to
+    components of the candidates are found; no link can leave one.  Then the shingles of texts with candidates are
+    fetched and travel once each, to their component (a large one is split into tiles), and pairs are verified
+    there; a pair already in one class isn't verified again.  The radii are wide for the similarity: of random texts changed to
     a similarity of 0.80..0.84, one pair in some hundreds is outside them, and fewer of more similar ones.
 
     Equal texts (but for A-Z case and white space) are one class by their digest.  Null and empty texts are
@@ -259,10 +257,9 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int =
     lane = F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
     nodes = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("size").alias("size")).where("node is not null").select("digest", "node", "fp", "fp2", lane.alias("lane")), "sketch-nodes")
     rows = nodes.select("lane", "node", "fp", "fp2")
-    partner = meet_by_lane(rows, radius=1, tile=tile).mapInArrow(lambda batches: whole_groups(batches, lambda t, e: _with_partner(t, e, radii)), "node long")
-    partner = materialize(partner.distinct(), "sketch-partners")
-    n = partner.count()
-    ids = F.broadcast(partner) if n <= BROADCAST_IDS else partner
+    loose = meet_by_lane(rows, radius=1, tile=tile).mapInArrow(lambda batches: whole_groups(batches, lambda t, e: _candidate_links(t, e, radii)), "u long, v long")
+    groups = materialize(connected_components(loose), "sketch-groups")
+    ids = ids_side(groups.select("node"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(ids, "node", "left_semi")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +269,8 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int =
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([word_shingles(x.as_py(), words).tobytes() for x in piece.column(1)], pa.binary())], names=["node", "shingles"])
 
     sets = materialize(texts.mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
-    some = materialize(rows.join(ids, "node", "left_semi").select("lane", "node", "fp", "fp2"), "sketch-candidates")
-    met = meet_by_lane(some, radius=1, tile=verify_tile, payload=sets)
+    some = rows.join(groups, "node").select(F.col("component").alias("k1"), F.lit(0).cast("long").alias("k2"), "lane", "node", "fp", "fp2")
+    met = meet_in_tiles(materialize(some, "sketch-candidates"), radius=1, tile=verify_tile, payload=sets)
     links = met.mapInArrow(lambda batches: whole_groups(batches, lambda t, e: _verified(t, e, radii, similarity)), "u long, v long")
     classes = connected_components(links)
     by_digest = nodes.join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> None:
@@ -41,6 +42,15 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to this number (some 32 MB as a hash table of longs) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def ids_side(ids: DataFrame) -> DataFrame:
+    """A written table of one long column as a join side: broadcast where its rows, counted here, are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings for the writes within; names with __ for the dots."""

@@ -376,7 +376,7 @@ def test_quality_learns_and_shrinks(spark, sf_dir):
     held = labels.where("doc_id % 3 = 0")
     got = quality.classify_quality(docs, labels.where("doc_id % 3 <> 0")).join(held, "doc_id").toPandas()
     good, bad = got[got.quality == 1], got[got.quality == 0]
-    assert good.keep.mean() > 0.97 and (~bad.keep).mean() > 0.9
+    assert good.kept.mean() > 0.97 and (~bad.kept).mean() > 0.9
 
 
 def test_quality_sites(spark):
@@ -394,7 +394,7 @@ def test_quality_sites(spark):
     assert got[1000].p_site < got[0].p_site < got[2000].p_site
     assert all(r.p_quality is not None for r in got.values())
     none = quality.classify_quality(df, labels.limit(0)).collect()
-    assert len(none) == len(rows) and all(r.keep for r in none)
+    assert len(none) == len(rows) and all(r.kept for r in none)
     assert quality.classify_quality(df.limit(0), labels).count() == 0
 
 

@@ -11,24 +11,26 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, packing, pii, quality, simhash
 from lodestone.llm.queries import table, tokenizer_path
-from lodestone.llm.workspace import materialize
+from lodestone.llm.workspace import ids_side, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     verdicts = quality.classify_quality(docs, table(spark, sf_dir, "labels"))
-    rejected = verdicts.where("not keep").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    rejected = materialize(verdicts.where("not kept").select("doc_id").distinct(), "rejected")
+    return docs.join(ids_side(rejected), "doc_id", "left_anti").select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class (five-word shingles, similarity 0.8 or more) stays: the one with the smallest id, and one row of it."""
     classes = materialize(simhash.similar_documents(docs), "classes")
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    gone = materialize(classes.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    kept = docs.join(ids_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialize(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(ids_side(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(ids_side(repeated), "doc_id", "left_anti").unionByName(again).select(*docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

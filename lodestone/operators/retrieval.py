@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -46,32 +47,34 @@ def vector_top_k(df: DataFrame, query: Sequence[float], k: int, *, key: Sequence
     return rows.orderBy("distance", *key).limit(check_top_k(k))
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[ \t\n\r]+"), lambda w: w != "")
+def term_count(lowered: Column, term: str) -> Column:
+    """Occurrences of a term as a whole word between white space."""
+    return F.regexp_count(lowered, F.lit(rf"{re.escape(term)}(?![^ \t\n\r])(?<![^ \t\n\r]{re.escape(term)})"))
 
 
 def bm25(df: DataFrame, terms: Sequence[str], *, text: str = "text", where: Column | None = None) -> DataFrame:
-    """Rows with any of the terms and their ``raw`` BM25 score.
+    """Rows and their ``raw`` BM25 score; zero where no term occurs.
 
     Counts only the query's terms, so no tokens are exploded and nothing is shuffled: one pass
     for lengths and document frequencies (one row), one to score.
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
     rows = df if where is None else df.where(where)
-    rows = rows.withColumn("_w", words(F.col(text))).withColumn("_len", F.size("_w"))
-    count = lambda term: F.size(F.filter("_w", lambda w: w == term))
-    tf = [count(t) for t in terms]
+    tf = [F.col(f"_tf{k}") for k in range(len(terms))]
+    counts = {f"_tf{k}": term_count(F.lower(text), t) for k, t in enumerate(terms)}
+    rows = rows.withColumns(counts | {"_len": F.regexp_count(text, F.lit(r"[^ \t\n\r]+"))})
     stats = rows.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *(F.count_if(c > 0).alias(f"df{k}") for k, c in enumerate(tf))).first()
     total = F.lit(0.0)
     for k, c in enumerate(tf):
         idf = math.log(1 + (stats["n"] - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5))
         total = total + F.lit(idf) * c * (K1 + 1) / (c + K1 * (1 - B + B * F.col("_len") / F.lit(stats["avg"] or 1.0)))
-    return rows.withColumn("raw", total).drop("_w", "_len").where("raw > 0")
+    return rows.withColumn("raw", total).drop("_len", *counts)
 
 
 def text_top_k(df: DataFrame, terms: Sequence[str], k: int, *, key: Sequence[str], text: str = "text", where: Column | None = None) -> DataFrame:
     scored = bm25(df, terms, text=text, where=where).withColumn("score", sparse_score(F.col("raw")))
-    return scored.orderBy(F.round("raw", 9).desc(), *key).limit(check_top_k(k))
+    # Rows without a term come last, so they can go after the cut; before it, the counts would be computed twice.
+    return scored.orderBy(F.round("raw", 9).desc(), *key).limit(check_top_k(k)).where("raw > 0")
 
 
 def substring_top_k(df: DataFrame, needle: str, k: int, *, key: Sequence[str], text: str = "text", where: Column | None = None) -> DataFrame:

@@ -173,7 +173,7 @@ def _majority(h: np.ndarray) -> int:
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, digest`` (of the lowered words), ``fp``, ``fp2`` (of runs of two words) and ``size`` (distinct shingles) of whole texts."""
+    """``doc_id, digest`` (of the lowered words), ``fp``, ``fp2`` (of distinct runs of three and of two words) and ``size`` (distinct shingles) of whole texts."""
     prepare(docs.sparkSession)
 
     def sketch(text: str) -> tuple[bytes, int, int, int]:
@@ -181,7 +181,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
         if not w:
             return hashlib.md5(b"").digest(), 0, 0, 1
         h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in w), "<u8", len(w))
-        return hashlib.md5(b" ".join(w)).digest(), fingerprint(text), _majority(_combined(h, 2)), len(np.unique(_combined(h, words)))
+        return hashlib.md5(b" ".join(w)).digest(), _majority(np.unique(_combined(h, 3))), _majority(np.unique(_combined(h, 2))), len(np.unique(_combined(h, words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,7 +239,7 @@ def _verified(table: pa.Table, edges: np.ndarray, radii: tuple[int, int], simila
 def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, radii: tuple[int, int] = (16, 13), tile: int = 32_768, verify_tile: int = 1024) -> DataFrame:
     """``doc_id, component_id``: classes of texts whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``.
 
-    Candidates are pairs whose fingerprints of three-word shingles are at most ``radii[0]`` bits apart
+    Candidates are pairs whose fingerprints of distinct three-word shingles are at most ``radii[0]`` bits apart
     and those of two-word shingles at most ``radii[1]``, found by comparing tiles; each link is then
     verified on the shingles themselves.  Texts that link have numbers of distinct shingles within the
     factor ``similarity``, so tiles are made by that number on a log scale and only neighbours meet,

@@ -264,6 +264,25 @@ def test_similar_documents_equal_brute_force(spark, tile):
     assert simhash.similar_documents(docs_df(spark).limit(0)).count() == 0
 
 
+def jaccard_classes(texts, words=5, similarity=0.8):
+    grams = lambda w: {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+    sets = [grams(WORD.findall((t or "").lower())) for t in texts]
+    return classes_of(len(texts), lambda i, j: len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]))
+
+
+def test_similar_documents_with_repeated_lines(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for n, line, times in [*[(300, 10, 5)] * 8, *[(300, 10, 10)] * 8, *[(1000, 50, 5)] * 4]:
+        text, more = " ".join(rng.choice(words, n)), " ".join(rng.choice(words, line))
+        texts += [text, text + "\n" + "\n".join([more] * times)]
+    want = jaccard_classes(texts)
+    assert want == [k - k % 2 for k in range(len(texts))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_df(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
 def test_components_of_paths_and_hubs(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(1000, 1300)] + [(7, 7), (None, 3), (1299, 1)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}

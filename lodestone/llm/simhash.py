@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,35 +165,39 @@ def _combined(h: np.ndarray, words: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(31))
 
 
-def _majority(h: np.ndarray) -> int:
-    """The bits that are set in over half of the hashes."""
-    counts = np.zeros(64, np.int64)
-    for a in range(0, len(h), 4096):
-        counts += np.unpackbits(h[a : a + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(h), bitorder="little").tobytes(), "little")
+def sketch_bits(size: int) -> int:
+    """Bits of a text's parity sketch: a power of two, at least 0.7 for each distinct shingle up to 16,384."""
+    return 1 << min(14, max(8, (7 * size // 10 - 1).bit_length()))
+
+
+def parity_sketch(h: np.ndarray) -> bytes:
+    """Whether the number of the distinct hashes that fall on each bit is odd.
+
+    Two sketches of like length differ in no more bits than the sets have hashes that are in one of them alone.
+    """
+    bits = sketch_bits(len(h))
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, digest`` (of the lowered words), ``fp``, ``fp2`` (of distinct runs of three and of two words) and ``size`` (distinct shingles) of whole texts."""
+    """``doc_id, digest`` (of the lowered words), ``sketch`` and ``size`` (distinct shingles) of whole texts."""
     prepare(docs.sparkSession)
 
-    def sketch(text: str) -> tuple[bytes, int, int, int]:
+    def sketch(text: str) -> tuple[bytes, bytes, int]:
         w = text.encode("utf-8", "surrogatepass").lower().split()
-        if not w:
-            return hashlib.md5(b"").digest(), 0, 0, 1
-        h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in w), "<u8", len(w))
-        return hashlib.md5(b" ".join(w)).digest(), _majority(np.unique(_combined(h, 3))), _majority(np.unique(_combined(h, 2))), len(np.unique(_combined(h, words)))
+        h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in w or [b""]), "<u8")
+        h = np.unique(_combined(h, words))
+        return hashlib.md5(b" ".join(w)).digest(), parity_sketch(h), len(h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 piece = b.slice(at, 512)
-                digests, fp, fp2, sizes = zip(*(sketch(x or "") for x in piece.column(1).to_pylist()), strict=True)
-                signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests, pa.binary()), signed(fp), signed(fp2), pa.array(sizes, pa.int64())], names=["doc_id", "digest", "fp", "fp2", "size"])
+                digests, sketches, sizes = zip(*(sketch(x or "") for x in piece.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "digest", "sketch", "size"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, digest binary, fp long, fp2 long, size long")
+    return src.mapInArrow(run, "doc_id long, digest binary, sketch binary, size long")
 
 
 def _tasks(table: pa.Table, edges: np.ndarray) -> Iterator[tuple[int, int, int, bool]]:
@@ -202,28 +207,75 @@ def _tasks(table: pa.Table, edges: np.ndarray) -> Iterator[tuple[int, int, int,
         yield int(a), int(b) if same[a] else int(a + (side[a:b] == 0).sum()), int(b), bool(same[a])
 
 
-def _candidates(table: pa.Table, edges: np.ndarray, radii: tuple[int, int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Start and end of each task key's rows with positions in it of pairs whose two fingerprints are both within their radius."""
-    fp, fp2 = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2"))
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) made as short as so many words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _close_in(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray | None, similarity: float, block: int = 64, span: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in x and y (None: pairs within x) of sketches and sizes that allow the similarity.
+
+    Sets of sizes p and q with a Jaccard similarity of s or more differ in at most (p + q)(1 - s)/(1 + s)
+    elements, and their sketches in no more bits, so no such pair is left out.
+    """
+    ox = np.argsort(nx, kind="stable")
+    oy = ox if y is None else np.argsort(ny, kind="stable")
+    sx, sy = nx[ox], (nx if y is None else ny)[oy]
+    x, y = (np.ascontiguousarray(v.T) for v in (x[ox], (x if y is None else y)[oy]))
+    within, share = oy is ox, (1 - similarity) / (1 + similarity)
+    for a in range(0, len(sx), block):
+        b = min(a + block, len(sx))
+        lo, hi = np.searchsorted(sy, sx[a] * similarity - 1e-6, "left"), np.searchsorted(sy, sx[b - 1] / similarity + 1e-6, "right")
+        for c in range(max(lo, a) if within else lo, hi, span):
+            d = min(c + span, hi)
+            far = np.bitwise_count(x[0, a:b, None] ^ y[0, None, c:d]).astype(np.uint16)
+            for k in range(1, len(x)):
+                far += np.bitwise_count(x[k, a:b, None] ^ y[k, None, c:d])
+            i, j = np.nonzero(far <= share * float(sx[b - 1] + sy[d - 1]) + 1e-6)
+            if not len(i):
+                continue
+            n, m = sx[a + i], sy[c + j]
+            fits = (far[i, j] <= share * (n + m) + 1e-6) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
+            i, j = a + i[fits], c + j[fits]
+            if within:
+                i, j = i[j > i], j[j > i]
+            if len(i):
+                yield ox[i], oy[j]
+
+
+def _candidates(table: pa.Table, edges: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Start of each task key's rows with positions in it of pairs that may be as similar."""
+    size, sketch = table.column("size").to_numpy(), table.column("sketch").to_pylist()
+    wide = np.fromiter((len(v) // 8 for v in sketch), np.int64, len(sketch))
     for a, cut, b, same in _tasks(table, edges):
-        for i, j in _links_in(fp[a:cut], None if same else fp[cut:b], radii[0]):
-            j = j if same else j + cut - a
-            near = np.bitwise_count(fp2[a + i] ^ fp2[a + j]) <= radii[1]
-            yield a, b, i[near], j[near]
+        rows = {int(w): np.flatnonzero(wide[a:b] == w) for w in np.unique(wide[a:b])}
+        words = {w: np.frombuffer(b"".join(sketch[a + k] for k in at), "<u8").reshape(len(at), w) for w, at in rows.items()}
+        for v, w in itertools.product(rows, rows):
+            p, q = (slice(None), slice(None)) if same else (rows[v] < cut - a, rows[w] >= cut - a)
+            if same and v > w or not len(rows[v][p]) or not len(rows[w][q]):
+                continue
+            n = min(v, w)
+            one, other = rows[v][p], rows[w][q]
+            alone = same and v == w
+            for i, j in _close_in(_folded(words[v][p], n), size[a + one], None if alone else _folded(words[w][q], n), None if alone else size[a + other], similarity):
+                yield a, one[i], other[j]
 
 
-def _candidate_links(table: pa.Table, edges: np.ndarray, radii: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+def _candidate_links(table: pa.Table, edges: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
     """Links ``u, v`` that keep together the nodes that candidates connect within each task key."""
     node, forest = table.column("node").to_numpy(), Forest(table.num_rows)
-    for a, _, i, j in _candidates(table, edges, radii):
+    for a, i, j in _candidates(table, edges, similarity):
         forest.join(a + i, a + j)
     i, j = forest.edges()
     yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["u", "v"])
 
 
-def _verified(table: pa.Table, edges: np.ndarray, radii: tuple[int, int], similarity: float) -> Iterator[pa.RecordBatch]:
+def _verified(table: pa.Table, edges: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
     node, sets, forest = table.column("node").to_numpy(), table.column("shingles"), Forest(table.num_rows)
-    for a, _, i, j in _candidates(table, edges, radii):
+    for a, i, j in _candidates(table, edges, similarity):
         for x, y in zip((a + i).tolist(), (a + j).tolist(), strict=True):
             if forest.root(x) == forest.root(y):
                 continue
@@ -236,18 +288,17 @@ def _verified(table: pa.Table, edges: np.ndarray, radii: tuple[int, int], simila
     yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["u", "v"])
 
 
-def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, radii: tuple[int, int] = (16, 13), tile: int = 32_768, verify_tile: int = 1024) -> DataFrame:
+def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, tile: int = 32_768, verify_tile: int = 1024) -> DataFrame:
     """``doc_id, component_id``: classes of texts whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``.
 
-    Candidates are pairs whose fingerprints of distinct three-word shingles are at most ``radii[0]`` bits apart
-    and those of two-word shingles at most ``radii[1]``, found by comparing tiles; each link is then
-    verified on the shingles themselves.  Texts that link have numbers of distinct shingles within the
-    factor ``similarity``, so tiles are made by that number on a log scale and only neighbours meet,
-    and within a tile pair population counts that differ by more than the radius are skipped.  First the
+    Candidates are pairs whose parity sketches (:func:`parity_sketch`) and numbers of distinct shingles allow that
+    similarity, found by comparing tiles; each link is then verified on the shingles themselves.  The sketches bound
+    how far two sets differ, so no pair is lost, wherever the texts differ: they only save work.  Texts that link have
+    numbers of distinct shingles within the factor ``similarity``, so tiles are made by that number on a log scale and only
+    neighbours meet, and within a tile pair sizes too far apart are skipped.  First the
     components of the candidates are found; no link can leave one.  Then the shingles of texts with candidates are
     fetched and travel once each, to their component (a large one is split into tiles), and pairs are verified
-    there; a pair already in one class isn't verified again.  The radii are wide for the similarity: of random texts changed to
-    a similarity of 0.80..0.84, one pair in some hundreds is outside them, and fewer of more similar ones.
+    there; a pair already in one class isn't verified again.
 
     Equal texts (but for A-Z case and white space) are one class by their digest.  Null and empty texts are
     equal.  Rows with a null id get their class if another row with an id has their text.
@@ -255,9 +306,9 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int =
     """
     found = materialize(_sketches(docs, words), "sketches")
     lane = F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
-    nodes = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("size").alias("size")).where("node is not null").select("digest", "node", "fp", "fp2", lane.alias("lane")), "sketch-nodes")
-    rows = nodes.select("lane", "node", "fp", "fp2")
-    loose = meet_by_lane(rows, radius=1, tile=tile).mapInArrow(lambda batches: whole_groups(batches, lambda t, e: _candidate_links(t, e, radii)), "u long, v long")
+    nodes = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("size").alias("size")).where("node is not null").select("digest", "node", "sketch", "size", lane.alias("lane")), "sketch-nodes")
+    rows = nodes.select("lane", "node", "sketch", "size")
+    loose = meet_by_lane(rows, radius=1, tile=tile).mapInArrow(lambda batches: whole_groups(batches, lambda t, e: _candidate_links(t, e, similarity)), "u long, v long")
     groups = materialize(connected_components(loose), "sketch-groups")
     ids = ids_side(groups.select("node"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(ids, "node", "left_semi")
@@ -269,9 +320,9 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int =
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([word_shingles(x.as_py(), words).tobytes() for x in piece.column(1)], pa.binary())], names=["node", "shingles"])
 
     sets = materialize(texts.mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
-    some = rows.join(groups, "node").select(F.col("component").alias("k1"), F.lit(0).cast("long").alias("k2"), "lane", "node", "fp", "fp2")
+    some = rows.join(groups, "node").select(F.col("component").alias("k1"), F.lit(0).cast("long").alias("k2"), "lane", "node", "sketch", "size")
     met = meet_in_tiles(materialize(some, "sketch-candidates"), radius=1, tile=verify_tile, payload=sets)
-    links = met.mapInArrow(lambda batches: whole_groups(batches, lambda t, e: _verified(t, e, radii, similarity)), "u long, v long")
+    links = met.mapInArrow(lambda batches: whole_groups(batches, lambda t, e: _verified(t, e, similarity)), "u long, v long")
     classes = connected_components(links)
     by_digest = nodes.join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return found.join(by_digest, "digest", "left").select("doc_id", "component_id")

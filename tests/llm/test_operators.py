@@ -283,6 +283,27 @@ def test_similar_documents_with_repeated_lines(spark):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_candidates_lose_no_similar_pair():
+    """Appended and replaced blocks, whose shingles of every length differ alike."""
+    import pyarrow as pa
+
+    rng, sets, pairs = np.random.default_rng(10), [], []
+    while len(pairs) < 400:
+        n = int(rng.integers(20, 2500))
+        a, new = (rng.integers(0, 1 << 63, k).astype("<u8") for k in (n, int(rng.integers(max(2, n // 12), n // 4 + 2))))
+        at = int(rng.integers(0, n - len(new)))
+        b = np.concatenate([a, new]) if len(pairs) % 2 else np.concatenate([a[:at], new, a[at + len(new) :]])
+        a, b = (np.unique(simhash._combined(x, 5)) for x in (a, b))
+        both = len(np.intersect1d(a, b))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [a, b]
+    n = len(sets)
+    columns = {k: [0] * n for k in ("k1", "k2", "ta", "tb", "side")} | {"node": list(range(n)), "size": [len(x) for x in sets], "sketch": [simhash.parity_sketch(x) for x in sets]}
+    found = {(min(x, y), max(x, y)) for a, i, j in simhash._candidates(pa.table(columns), np.array([0, n]), 0.8) for x, y in zip((a + i).tolist(), (a + j).tolist(), strict=True)}
+    assert set(pairs) <= found and len(found) < 1.1 * len(pairs)
+
+
 def test_components_of_paths_and_hubs(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(1000, 1300)] + [(7, 7), (None, 3), (1299, 1)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}

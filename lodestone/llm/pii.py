@@ -7,7 +7,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,38 +131,78 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return src.mapInArrow(run, f"doc_id long, key binary, places array<{_PLACE}>")
 
 
-def count_patterns(docs: DataFrame, wanted: list[str], text_col: str = "text") -> DataFrame:
-    """``pattern, total``: how often each wanted pattern occurs in the whole texts, whatever stands in it."""
+class _Hashes(dict):
+    """Words' 64-bit hashes, remembered for a bounded number of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def _pattern_bits(form: int, a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Where in a filter of so many bits (a power of two) patterns of two words' hashes lie."""
+    x = (a * np.uint64(0xBF58476D1CE4E5B9)) ^ ((b + np.uint64(form)) * np.uint64(0x94D049BB133111EB))
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(32))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _pattern_filter(patterns: DataFrame) -> np.ndarray:
+    """A bit table that has a bit of each pattern: 16 bits a pattern, up to 8 MB whatever their number."""
+    bits = 1 << min(26, max(18, (16 * patterns.count() - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            found = []
+            for p in batch.column(0).to_pylist():
+                words = p[2:].split(" ")
+                a, b = (np.array([hashes[w]], np.uint64) for w in (words[0], words[-1]))
+                found.append(int(_pattern_bits(int(p[0]), a, b, bits)[0]))
+            yield pa.RecordBatch.from_pydict({"bit": pa.array(found, pa.int64())})
+
+    placed = patterns.mapInArrow(run, "bit long").groupBy(F.shiftright("bit", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits"))
+    table = np.zeros(bits // 8, np.uint8)
+    for r in placed.collect():
+        table[r.block * 4096 : (r.block + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return table
+
+
+def count_patterns(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
+    """``pattern, total``: how often each of ``patterns`` (a written table of one column) occurs in the whole texts, whatever stands in it.
+
+    Workers count what passes a bit table of the patterns, so some rows are of other patterns: join with the wanted ones.
+    """
     prepare(docs.sparkSession)
-    known = frozenset(wanted)
+    table = _pattern_filter(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = frozenset(p[2:] for p in known if p[0] == "1")
-        two = frozenset(tuple(p[2:].split(" ")) for p in known if p[0] == "2")
-        around = frozenset(tuple(p[2:].split(" ")) for p in known if p[0] == "3")
         total: Counter = Counter()
+        hashes = _Hashes()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = (text or "").lower().split()
-                total.update(f"1 {w}" for w in words if w in one)
-                if two:
-                    total.update(f"2 {p[0]} {p[1]}" for p in zip(words, words[1:], strict=False) if p in two)
-                if around:
-                    total.update(f"3 {p[0]} {p[1]}" for p in zip(words, words[2:], strict=False) if p in around)
-            if len(total) > 100_000:
-                yield pa.RecordBatch.from_pydict({"pattern": list(total), "n": list(total.values())})
-                total = Counter()
+                h = np.fromiter(map(hashes.__getitem__, words), "<u8", len(words))
+                for form, apart in ((1, 0), (2, 1), (3, 2)):
+                    at = _pattern_bits(form, h[: max(0, len(h) - apart)], h[apart:], len(table) * 8)
+                    for k in np.flatnonzero(table[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
+                        total[f"{form} {words[k]} {words[k + apart]}" if apart else f"1 {words[k]}"] += 1
+                if len(total) > 100_000:
+                    yield pa.RecordBatch.from_pydict({"pattern": list(total), "n": list(total.values())})
+                    total = Counter()
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pattern string, n long")
     return counted.groupBy("pattern").agg(F.sum("n").alias("total"))
 
 
-def bootstrap(docs: DataFrame, scanned: DataFrame, *, rounds: int = 3, min_instances: int = 3, min_confidence: float = 0.6, smoothing: float = 1.0, max_patterns: int = 20_000, text_col: str = "text") -> DataFrame:
+def bootstrap(docs: DataFrame, scanned: DataFrame, *, rounds: int = 3, min_instances: int = 3, min_confidence: float = 0.6, smoothing: float = 1.0, text_col: str = "text") -> DataFrame:
     """``token, kind`` of identifiers that only their contexts give away.
 
     Patterns are induced by the seeds: those in which at least ``min_instances`` distinct seeds of a
-    kind stand, the ``max_patterns`` with most seeds.  All their occurrences in the corpus are
+    kind stand, however many they are.  All their occurrences in the corpus are
     counted, so a pattern made of everyday words has a low confidence.  Then, in rounds over the graph of
     patterns and instances: a pattern's confidence is the summed score of what stands in it over its
     occurrences plus ``smoothing``; an unseen instance's score is the noisy-or of the confidences of
@@ -169,11 +211,11 @@ def bootstrap(docs: DataFrame, scanned: DataFrame, *, rounds: int = 3, min_insta
     at = scanned.select("key", F.explode("places").alias("p")).select("p.kind", "p.token", "p.seed", F.explode("p.patterns").alias("pattern"))
     graph = materialize(at.groupBy("pattern", "kind", "token", "seed").agg(F.count("*").alias("n")), "pattern-graph")
     induced = graph.where("seed").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_instances)
-    induced = materialize(induced.orderBy(F.col("seeds").desc(), "pattern", "kind").limit(max_patterns), "patterns")
-    wanted = [r[0] for r in induced.select("pattern").distinct().collect()]
-    if not wanted:
+    induced = materialize(induced, "patterns")
+    if induced.isEmpty():
         return graph.select("token", "kind").limit(0)
-    totals = materialize(count_patterns(docs, wanted, text_col), "pattern-totals")
+    wanted = materialize(induced.select("pattern").distinct(), "wanted-patterns")
+    totals = materialize(count_patterns(docs, wanted, text_col).join(wanted, "pattern", "left_semi"), "pattern-totals")
     graph = materialize(graph.join(induced.select("pattern", "kind"), ["pattern", "kind"]).join(totals, "pattern"), "pattern-graph")
     score = graph.select("token", "kind", "seed", F.col("seed").cast("double").alias("score")).distinct()
     for _ in range(rounds):

@@ -399,6 +399,15 @@ def test_personal_data_discovers_by_context(spark):
     assert pii.find_personal_data(docs_df(spark).limit(0)).count() == 0
 
 
+def test_personal_data_scores_all_patterns(spark):
+    """More contexts with four seeds each than 20,000 patterns, and one with three."""
+    mail = lambda k: f"m{k}@host.example.org"
+    texts = [" . ".join(f"a{k} b{k} {mail(4 * k + j)} c{k}" for k in range(at, at + 100) for j in range(4)) for at in range(0, 7000, 100)]
+    texts += [f"zebra crossing {mail(90_000 + k)} stripes" for k in range(3)] + ["zebra crossing someone@localhost stripes"]
+    got = {r.doc_id: r for r in pii.find_personal_data(docs_df(spark, texts)).where("doc_id >= 70").collect()}
+    assert [(s["start"], s["end"], s["kind"]) for s in got[73].spans] == [(15, 32, "email")]
+
+
 def test_personal_data_digest(spark, sf_dir):
     rows = queries.op9_personal_data(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in queries.table(spark, sf_dir, "documents").collect()}

@@ -25,8 +25,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]").search
 #: What may be an identifier that the detectors miss: a number of six digits or more, or a name at a host.
 HINT = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,64}|(?<![A-Za-z0-9])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){5,18}(?![A-Za-z0-9])")
+TOKEN = re.compile(r"\w{1,64}|[^\w\s]{1,64}").findall
 SPACE = " \t\n\r\x0b\x0c"
-WORD_BEFORE = 64
+WORD_LENGTH = 64
 
 
 def luhn(digits: str) -> bool:
@@ -76,20 +77,38 @@ def hint_kind(token: str) -> str:
     return "card" if sum(c.isdigit() for c in token) >= 14 else "phone"
 
 
-def patterns_at(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a place: the word before, the two words before, the words on both sides."""
-    before = text[max(0, start - 2 * WORD_BEFORE) : start].lower().split()[-2:]
-    after = text[end : end + WORD_BEFORE].lower().split()[:1]
+def tokens_of(text: str, spans: list[tuple[int, int]]) -> tuple[list[str], list[int]]:
+    """The lowered words and runs of punctuation of a text, each place (spans by start; overlapping ones are one) being one token; where each span's is."""
+    tokens, at, free, k = [], [], 0, 0
+    while k < len(spans):
+        start, end, first = spans[k][0], spans[k][1], k
+        while k < len(spans) and (k == first or spans[k][0] < end):
+            end, k = max(end, spans[k][1]), k + 1
+        tokens += TOKEN(text[free:start].lower())
+        at += [len(tokens)] * (k - first)
+        tokens.append("".join(text[start:end].lower().split())[:WORD_LENGTH])
+        free = end
+    return tokens + TOKEN(text[free:].lower()), at
+
+
+def patterns_at(tokens: list[str], k: int) -> list[str]:
+    """Lexical patterns of a place: the token before, the two before, those on both sides."""
     out = []
-    if before:
-        out.append(f"1 {before[-1]}")
-        if len(before) == 2:
-            out.append(f"2 {before[0]} {before[1]}")
-        if after:
-            out.append(f"3 {before[-1]} {after[0]}")
+    if k:
+        out.append(f"1 {tokens[k - 1]}")
+        if k > 1:
+            out.append(f"2 {tokens[k - 2]} {tokens[k - 1]}")
+        if k + 1 < len(tokens):
+            out.append(f"3 {tokens[k - 1]} {tokens[k + 1]}")
     return out
 
 
+def places_in(text: str) -> list[tuple[int, int, str, bool]]:
+    """``start, end, kind, seed`` of the fixed detectors' spans and the hints, by start."""
+    spans = base_spans(text)
+    return sorted([(a, b, k, True) for a, b, k in spans] + [(a, b, k, False) for a, b, k in hints(text, spans)], key=lambda x: x[:2])
+
+
 def hints(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
     """Places that look like identifiers and overlap no span."""
     taken, k = sorted((a, b) for a, b, _ in spans), 0
@@ -116,9 +135,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     place = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("token", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
 
     def places(text: str) -> list[dict]:
-        spans = base_spans(text)
-        both = [(a, b, k, True) for a, b, k in spans] + [(a, b, k, False) for a, b, k in hints(text, spans)]
-        return [{"start": a, "end": b, "kind": k, "token": text[a:b].lower(), "seed": s, "patterns": patterns_at(text, a, b)} for a, b, k, s in both]
+        found = places_in(text)
+        if not found:
+            return []
+        tokens, at = tokens_of(text, [x[:2] for x in found])
+        rank = KINDS.index
+        made = [{"start": a, "end": b, "kind": k, "token": text[a:b].lower(), "seed": s, "patterns": patterns_at(tokens, i)} for (a, b, k, s), i in zip(found, at, strict=True)]
+        return sorted(made, key=lambda p: (not p["seed"], p["start"], rank(p["kind"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,6 +196,7 @@ def _pattern_filter(patterns: DataFrame) -> np.ndarray:
 def count_patterns(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
     """``pattern, total``: how often each of ``patterns`` (a written table of one column) occurs in the whole texts, whatever stands in it.
 
+    The texts are cut into tokens as :func:`scan` does it, so a place in a pattern is one of the pattern's occurrences.
     Workers count what passes a bit table of the patterns, so some rows are of other patterns: join with the wanted ones.
     """
     prepare(docs.sparkSession)
@@ -183,7 +207,7 @@ def count_patterns(docs: DataFrame, patterns: DataFrame, text_col: str = "text")
         hashes = _Hashes()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = (text or "").lower().split()
+                words, _ = tokens_of(text or "", [x[:2] for x in places_in(text or "")])
                 h = np.fromiter(map(hashes.__getitem__, words), "<u8", len(words))
                 for form, apart in ((1, 0), (2, 1), (3, 2)):
                     at = _pattern_bits(form, h[: max(0, len(h) - apart)], h[apart:], len(table) * 8)

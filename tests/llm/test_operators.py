@@ -408,6 +408,23 @@ def test_personal_data_scores_all_patterns(spark):
     assert [(s["start"], s["end"], s["kind"]) for s in got[73].spans] == [(15, 32, "email")]
 
 
+def test_personal_data_in_touching_contexts(spark):
+    seeds = [f"write (tel=+1 (404) 555-{1000 + k}); thanks" for k in range(30)]
+    texts = [*seeds, "write (tel=555-0199); thanks", *[f"tel words <card {k}>" for k in range(9)]]
+    df = docs_df(spark, texts)
+    got = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    assert [(s["start"], s["end"], s["kind"]) for s in got[30].spans] == [(11, 19, "phone")]
+    odd = ["mail:jo@host.org,jo@host.org", "+1 (404) 555-1000 +1 4111 1111 1111 1111 (x@y.org)", "İ tel.5550199.5550198 " * 3, "x" * 300 + "@y.z " + "q" * 200 + " 555-0199 " + "!" * 100]
+    df = docs_df(spark, texts + odd * 3)
+    at = pii.scan(df).select(F.explode("places").alias("p")).select("p.kind", F.explode("p.patterns").alias("pattern"))
+    n = {}
+    for r in at.groupBy("pattern", "kind").count().collect():
+        n[r.pattern] = max(r["count"], n.get(r.pattern, 0))
+    wanted = spark.createDataFrame([(p,) for p in n], "pattern string")
+    totals = {r.pattern: r.total for r in pii.count_patterns(df, wanted).collect()}
+    assert all(totals[p] >= k for p, k in n.items())
+
+
 def test_personal_data_digest(spark, sf_dir):
     rows = queries.op9_personal_data(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in queries.table(spark, sf_dir, "documents").collect()}

@@ -64,6 +64,28 @@ def test_encoder_at_every_space_and_separator():
         assert small.document(t) == truth_ids(enc.tokenizer, t).tobytes()
 
 
+def test_encoder_in_spans(monkeypatch):
+    """Spans cut within texts, tables too small for a span, and pieces over 16 bytes."""
+    enc = tokens.encoder(queries.tokenizer_path())
+    texts = [*TEXTS, "it's o'clock 'said 're 'r 'LL x's'm .'s '' ' s", "Ünïted ÷ × États-Unis ÀÖØ ßÿ µm ²³", "İstanbul ﬁne “quoted” naïve", "w" * 40 + " " + "antidisestablishmentarianism " * 5, "a\u0301 é", "12 3.5", "<|endoftext|>"]
+    want = [truth_ids(enc.tokenizer, t).tobytes() for t in texts]
+    import pyarrow as pa
+
+    for span, limit in ((1 << 20, 1000), (64, 1000), (1 << 20, 9), (48, 3)):
+        monkeypatch.setattr(tokens, "SPAN", span)
+        small = tokens.WordEncoder(queries.tokenizer_path(), limit=limit)
+        for _ in range(2):
+            assert small.documents(pa.array(texts, pa.string())) == want
+            assert small.documents(pa.array(["", *texts], pa.string()).slice(1)) == want
+
+
+def test_encoder_of_another_tokenizer():
+    enc = tokens.encoder(queries.tokenizer_path("byte_bpe_50k.json"))
+    assert not enc.by_piece
+    for t in [*TEXTS, "A  b's\n\n1999 É"]:
+        assert enc.document(t) == truth_ids(enc.tokenizer, t).tobytes()
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files_round_trip(spark, tok, encoding):
     df = docs_df(spark, **CLASHING).unionByName(docs_df(spark, TEXTS[:1], first=None or 0, **CLASHING)).repartition(3)

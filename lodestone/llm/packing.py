@@ -151,11 +151,13 @@ def pack_documents(
         enc = encoder(tokenizer_path)
         packer = Packer(window, pool_windows, TaskContext.get().partitionId() << 33)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc, enc.document(text.as_py(), end_id))
-                if len(packer.out) >= 512:
-                    yield rows(packer.out)
-                    packer.out = []
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                for doc, ids in zip(piece.column(0).to_pylist(), enc.documents(piece.column(1), end_id), strict=True):
+                    packer.add(doc, ids)
+                    if len(packer.out) >= 512:
+                        yield rows(packer.out)
+                        packer.out = []
         packer.finish()
         if packer.out:
             yield rows(packer.out)

@@ -33,3 +33,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"links did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def least_reachable(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """``nodes`` (``node, least``, ...) with ``component_id``: the smallest id of a node's class, null if no row of the class has an id."""
+    linked = nodes.join(classes, "node")
+    of_class = linked.groupBy("component").agg(F.min("least").alias("_least"))
+    by_node = linked.select("node", "component").join(of_class, "component").select("node", "_least")
+    return nodes.join(by_node, "node", "left").withColumn("component_id", F.coalesce("_least", "least")).drop("_least", "least")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .tiles import KEYS, Forest, meet_by_lane, meet_in_tiles, whole_groups
-from .workspace import ids_side, materialize, prepare
+from .components import connected_components, least_reachable
+from .tiles import KEYS, Forest, meet_in_tiles, whole_groups
+from .workspace import KEY_ROWS, ids_side, materialize, prepare, spread_join
 
 SEED = 42
+#: Rows of a band's value that are all candidates of each other, without a look at their sketches.
+FEW = 8
+#: Bands of a text's shingle set that candidates may share.
+BANDS = 32
 #: Shingles hashed at a time: bounds the memory for a very long text.
 SHINGLES = 1 << 17
 
@@ -131,25 +136,24 @@ def fingerprint_links(nodes: DataFrame, *, radius: int = 2, tile: int = 2048) ->
     return met.mapInArrow(lambda batches: whole_groups(batches, lambda t, e: link_groups(t, e, radius)), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", tile: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", tile: int = 2048, heavy: int = KEY_ROWS) -> DataFrame:
     """One row for each document: ``doc_id, fingerprint, component_id``.
 
-    Copies share a fingerprint, which stands for them by its smallest id, so they are never paired;
+    Copies share a fingerprint, which stands for them, so they are never paired;
     classes are the components of the links between distinct fingerprints.  A null or empty text, or one of white space,
-    has the fingerprint zero and links like any other.  Rows with a null id get their class if
-    another row with an id has their fingerprint or links to it, else null.  Repeated rows come out
+    has the fingerprint zero and links like any other.  Rows with a null id link like others; a class's id is the smallest
+    that one of its rows has, null if none has one.  Repeated rows come out
     as often as they come in; an empty table gives no rows.
     """
     found = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    nodes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "fingerprint-nodes")
-    classes = connected_components(fingerprint_links(nodes, radius=radius, tile=tile))
-    by_fp = nodes.join(classes, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return found.join(by_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("_rows")).withColumn("node", F.col("fp")), "fingerprint-nodes")
+    classes = materialize(connected_components(fingerprint_links(nodes.select("node", "fp"), radius=radius, tile=tile)), "fingerprint-classes")
+    by_fp = least_reachable(nodes, classes).select("fp", "_rows", "component_id")
+    return spread_join(found, by_fp, "fp", heavy).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles of so many words (fewer words: the whole sequence)."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def word_shingles(w: list[bytes], words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of so many of a text's words (fewer words: the whole sequence)."""
     grams = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else iter([b" ".join(w)])
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), "<u8"))
 
@@ -179,25 +183,51 @@ def parity_sketch(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, digest`` (of the lowered words), ``sketch`` and ``size`` (distinct shingles) of whole texts."""
+def sketch_bands(h: np.ndarray, similarity: float, bands: int = BANDS) -> tuple[list[int], list[int]]:
+    """Keys of a text's bands, as level and value, from its distinct hashes.
+
+    At a level the hashes are dealt over so many parts (a power of two); a band is one of the first ``bands`` parts, and its value the
+    exclusive-or of the hashes in it: a wide parity sketch.  Sets agree on a band if their hashes in it are the same.
+    Parts hold some 2.5 to 5 hashes, so sets with a Jaccard similarity of 0.8 agree on a band that isn't empty
+    with a probability of 0.37 or more, and miss all 32 in fewer than one of a million cases.  A text has the level of its size and those of the sizes
+    down to the factor ``similarity``, so that texts that may link share one.
+    """
+    levels, values = [], []
+    for level in range(_level(len(h) * similarity, bands), _level(len(h), bands) + 1):
+        part = (h >> np.uint64(24)) & np.uint64((1 << level) - 1)
+        at = np.flatnonzero(part < bands)
+        order = at[np.argsort(part[at], kind="stable")]
+        if len(order):
+            edges = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
+            levels += (level * bands + part[order[edges]].astype(np.int64)).tolist()
+            values += np.bitwise_xor.reduceat(h[order], edges).view(np.int64).tolist()
+    return levels, values
+
+
+def _level(size: float, bands: int) -> int:
+    return max((bands - 1).bit_length(), math.ceil(math.log2(max(size, 1.0) / 5 - 1e-9)) if size > 5 else 0)
+
+
+def _sketches(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, digest`` (of the lowered words), ``sketch``, ``size`` (distinct shingles) and ``levels, values`` of the bands of whole texts."""
     prepare(docs.sparkSession)
 
-    def sketch(text: str) -> tuple[bytes, bytes, int]:
+    def sketch(text: str) -> tuple[bytes, bytes, int, list[int], list[int]]:
         w = text.encode("utf-8", "surrogatepass").lower().split()
         h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in w or [b""]), "<u8")
         h = np.unique(_combined(h, words))
-        return hashlib.md5(b" ".join(w)).digest(), parity_sketch(h), len(h)
+        return hashlib.md5(b" ".join(w)).digest(), parity_sketch(h), len(h), *sketch_bands(h, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 piece = b.slice(at, 512)
-                digests, sketches, sizes = zip(*(sketch(x or "") for x in piece.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "digest", "sketch", "size"])
+                digests, sketches, sizes, levels, values = zip(*(sketch(x or "") for x in piece.column(1).to_pylist()), strict=True)
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (levels, values)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "digest", "sketch", "size", "levels", "values"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, digest binary, sketch binary, size long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, "doc_id long, digest binary, sketch binary, size long, levels array<long>, values array<long>")
 
 
 def _tasks(table: pa.Table, edges: np.ndarray) -> Iterator[tuple[int, int, int, bool]]:
@@ -265,10 +295,14 @@ def _candidates(table: pa.Table, edges: np.ndarray, similarity: float) -> Iterat
 
 
 def _candidate_links(table: pa.Table, edges: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links ``u, v`` that keep together the nodes that candidates connect within each task key."""
-    node, forest = table.column("node").to_numpy(), Forest(table.num_rows)
-    for a, i, j in _candidates(table, edges, similarity):
-        forest.join(a + i, a + j)
+    """Links ``u, v`` that keep together the nodes that candidates connect within each task key; a key with few rows is linked as a whole."""
+    node, forest, size = table.column("node").to_numpy(), Forest(table.num_rows), np.diff(edges)
+    few = (size <= FEW) & (table.column("ta").to_numpy()[edges[:-1]] < 0)
+    rows = np.flatnonzero(np.repeat(few, size))
+    forest.join(rows, np.repeat(edges[:-1], size)[rows])
+    for k in np.flatnonzero(~few).tolist():
+        for _, i, j in _candidates(table.slice(edges[k], size[k]), np.array([0, size[k]]), similarity):
+            forest.join(edges[k] + i, edges[k] + j)
     i, j = forest.edges()
     yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["u", "v"])
 
@@ -288,41 +322,50 @@ def _verified(table: pa.Table, edges: np.ndarray, similarity: float) -> Iterator
     yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["u", "v"])
 
 
-def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, tile: int = 32_768, verify_tile: int = 1024) -> DataFrame:
+def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = 4096, verify_tile: int = 1024, heavy: int = KEY_ROWS) -> DataFrame:
     """``doc_id, component_id``: classes of texts whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``.
 
-    Candidates are pairs whose parity sketches (:func:`parity_sketch`) and numbers of distinct shingles allow that
-    similarity, found by comparing tiles; each link is then verified on the shingles themselves.  The sketches bound
-    how far two sets differ, so no pair is lost, wherever the texts differ: they only save work.  Texts that link have
-    numbers of distinct shingles within the factor ``similarity``, so tiles are made by that number on a log scale and only
-    neighbours meet, and within a tile pair sizes too far apart are skipped.  First the
+    Candidates share a band of their shingle sets (:func:`sketch_bands`).  Within a band's value, tiles are compared by exclusive-or
+    and bit counts of parity sketches (:func:`parity_sketch`), which bound how far two sets differ; tiles are made by the
+    number of distinct shingles on a log scale, only neighbours meet, and pairs of sizes too far apart are skipped.
+    Each link is then verified on the shingles themselves.  Bands miss fewer than one of a million pairs at a
+    similarity of 0.8 and fewer above it; the sketches miss none.  First the
     components of the candidates are found; no link can leave one.  Then the shingles of texts with candidates are
     fetched and travel once each, to their component (a large one is split into tiles), and pairs are verified
     there; a pair already in one class isn't verified again.
 
     Equal texts (but for A-Z case and white space) are one class by their digest.  Null and empty texts are
-    equal.  Rows with a null id get their class if another row with an id has their text.
-    The comparison is quadratic in the distinct texts of a size class, in parallel.
+    equal.  Rows with a null id link like others; a class's id is the smallest that one of its rows has, null if none has one.
     """
-    found = materialize(_sketches(docs, words), "sketches")
+    found = materialize(_sketches(docs, words, similarity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     lane = F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
-    nodes = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("size").alias("size")).where("node is not null").select("digest", "node", "sketch", "size", lane.alias("lane")), "sketch-nodes")
-    rows = nodes.select("lane", "node", "sketch", "size")
-    loose = meet_by_lane(rows, radius=1, tile=tile).mapInArrow(lambda batches: whole_groups(batches, lambda t, e: _candidate_links(t, e, similarity)), "u long, v long")
+    # A class of equal texts has the number of its first row; its other columns are the same in all rows.
+    firsts = found.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("_rows"))
+    nodes = materialize(firsts, "sketch-nodes")
+    kept = found.join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
+    kept = materialize(kept.select(F.col("row").alias("node"), "doc_id", "size", lane.alias("lane"), "sketch", "levels", "values"), "sketch-firsts")
+    bands = kept.select("node", "lane", F.explode(F.arrays_zip("levels", "values")).alias("b")).select(F.col("b.levels").alias("k1"), F.col("b.values").alias("k2"), "lane", "node")
+    sketches = kept.select("node", "size", "sketch")
+    met = meet_in_tiles(materialize(bands, "sketch-bands"), radius=1, tile=tile, payload=sketches)
+    loose = met.mapInArrow(lambda batches: whole_groups(batches, lambda t, e: _candidate_links(t, e, similarity)), "u long, v long")
     groups = materialize(connected_components(loose), "sketch-groups")
-    ids = ids_side(groups.select("node"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(ids, "node", "left_semi")
+    wanted = materialize(nodes.join(groups.select("node"), "node").select("node", "digest", "least"), "shingles-wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    ids = ids_side(wanted.select(F.col("least").alias("_id")).distinct())
+    texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                piece = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([word_shingles(x.as_py(), words).tobytes() for x in piece.column(1)], pa.binary())], names=["node", "shingles"])
+                some = [(x or "").encode("utf-8", "surrogatepass").lower().split() for x in b.column(0).slice(at, 256).to_pylist()]
+                digests, sets = [hashlib.md5(b" ".join(w)).digest() for w in some], [word_shingles(w, words).tobytes() for w in some]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
-    sets = materialize(texts.mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
-    some = rows.join(groups, "node").select(F.col("component").alias("k1"), F.lit(0).cast("long").alias("k2"), "lane", "node", "sketch", "size")
+    sets = texts.mapInArrow(shingled, "digest binary, shingles binary").join(wanted, "digest").select("node", "shingles")
+    sets = materialize(sets.dropDuplicates(["node"]), "shingle-sets")
+    some = kept.join(groups, "node").select(F.col("component").alias("k1"), F.lit(0).cast("long").alias("k2"), "lane", "node", "size", "sketch")
     met = meet_in_tiles(materialize(some, "sketch-candidates"), radius=1, tile=verify_tile, payload=sets)
     links = met.mapInArrow(lambda batches: whole_groups(batches, lambda t, e: _verified(t, e, similarity)), "u long, v long")
-    classes = connected_components(links)
-    by_digest = nodes.join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return found.join(by_digest, "digest", "left").select("doc_id", "component_id")
+    classes = materialize(connected_components(links), "similar-classes")
+    by_digest = least_reachable(nodes, classes).select("digest", "_rows", "component_id")
+    return spread_join(found.select("doc_id", "digest"), by_digest, "digest", heavy).select("doc_id", "component_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, least_reachable
 from .tiles import Forest, meet_in_tiles, whole_groups
-from .workspace import materialize, prepare
+from .workspace import KEY_ROWS, materialize, prepare, spread_join
 
 #: Verified pairs looked at together.
 PAIRS = 1 << 16
@@ -70,18 +71,48 @@ class CrossPolytope:
         return out
 
 
-def _unit(table: pa.Table, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<f8").reshape(-1, dim)
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    """Rows (finite, not zero) over their norms; scaled by their largest component first, so nothing overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def keyed_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """``vec_id, key, label, dim, unit``: the digest of label and vector, and the unit vector's bytes; null where a row compares with none."""
+    prepare(vectors.sparkSession)
+    src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
+                labels, lists, n = piece.column("label").to_pylist(), piece.column("vector"), piece.num_rows
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)  # null components become NaN
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                keys, units = [None] * n, [None] * n
+                for d in np.unique(sizes[sizes > 0]).tolist():
+                    rows = np.flatnonzero(sizes == d)
+                    x = flat[ends[rows][:, None] + np.arange(d)] + 0.0
+                    fine = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                    rows, x = rows[fine], x[fine]
+                    for r, own, unit in zip(rows.tolist(), x, unit_vectors(x) if len(x) else x, strict=True):
+                        if labels[r] is not None:
+                            keys[r], units[r] = hashlib.md5(labels[r].encode("utf-8", "surrogatepass") + b"\0" + own.tobytes()).digest(), unit.tobytes()
+                yield pa.RecordBatch.from_arrays([piece.column("vec_id"), pa.array(keys, pa.binary()), piece.column("label"), pa.array(sizes, pa.int32()), pa.array(units, pa.binary())], names=["vec_id", "key", "label", "dim", "unit"])
+
+    return src.mapInArrow(run, "vec_id long, key binary, label string, dim int, unit binary")
+
+
 def verify_groups(table: pa.Table, edges: np.ndarray, dim: int, tables: int, probes: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """Links that keep classes whole (``u, v``, n null) and link counts (``u``, v null, n) of each task key.
 
     A pair that meets in several buckets counts in the first table, and there the least code, that both
-    have.
+    have.  Buckets are of a label's hash; pairs whose labels differ are left out.
     """
-    unit, node = _unit(table, dim), table.column("node").to_numpy()
+    unit, node = np.frombuffer(b"".join(table.column("unit").to_pylist()), "<f8").reshape(-1, dim), table.column("node").to_numpy()
+    label = table.column("label").combine_chunks().dictionary_encode()
+    label = (label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy()
     copies, side = table.column("copies").to_numpy(), table.column("side").to_numpy()
     codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), "<i8").reshape(-1, tables, probes)
     t_of, code_of = table.column("tbl").to_numpy(), table.column("code").to_numpy()
@@ -105,6 +136,8 @@ def verify_groups(table: pa.Table, edges: np.ndarray, dim: int, tables: int, pro
         forest, base = Forest(b - a), a if whole[a] else cut
         for at in range(a, cut, 1024):
             near = unit[at : min(at + 1024, cut)] @ unit[base:b].T >= threshold
+            if label[a] != label[b - 1] or (label[a:b] != label[a]).any():
+                near &= label[at : min(at + 1024, cut), None] == label[None, base:b]
             i, j = np.nonzero(near)
             i, j = i + at, j + base
             if whole[a]:
@@ -133,45 +166,41 @@ def near_duplicates(
     probes: int = 4,
     seed: int = 7,
     tile: int = 1024,
+    heavy: int = KEY_ROWS,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
 ) -> DataFrame:
     """One row for each vector: ``vec_id, n_links, component_id, kept``.
 
-    Compares vectors with equal labels (null: with none).  Equal vectors of a label form one class
-    by an aggregation and are never paired; classes are hashed, meet in the buckets of all probes, and
+    Compares vectors with equal labels (null: with none; labels are compared as strings).  Equal vectors of a label form one class
+    by their digest and are never paired; classes are hashed, meet in the buckets of all probes, and
     every pair that meets is verified by its cosine in double precision.  Hot buckets are split into tiles.
     Links are counted, not listed; a spanning set of them finds the components.
 
     Vectors that are null, empty, zero, or hold null or non-finite components have no links and are
     their own component, as are rows with a null label.  Vectors of different lengths aren't
-    compared.  A null id is kept with its link count and its component is that of its class.
-    Repeated rows count as vectors of their own.  An empty table gives no rows.
+    compared.  A null id is kept with its link count and links like others.
+    Rows that repeat an id count as vectors of their own, each with its own links, whether their vectors are equal or not.  An empty table gives no rows.
     """
-    prepare(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = rows.withColumn("_fine", F.coalesce(fine & F.col("label").isNotNull(), F.lit(False)))
-    classes = rows.where("_fine").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    # A class's number is its least id; classes without one get negative numbers from their vectors.
-    classes = classes.withColumn("node", F.coalesce("least", -1 - F.abs(F.xxhash64("label", "vector") % F.lit(1 << 62))))
-    classes = materialize(classes, "vector-classes")
-    found = _bucketed(classes, tables, hashes, probes, seed, tile, threshold)
-    found = materialize(found, "vector-links")
-    counts = found.where("n is not null").groupBy("u").agg(F.sum("n").alias("_n"))
-    parts = connected_components(found.where("v is not null").select("u", "v"))
-    by_class = classes.join(counts, F.col("node") == F.col("u"), "left").drop("u").join(parts, "node", "left")
-    by_class = by_class.select(F.col("label").alias("_label"), F.col("vector").alias("_vector"), (F.coalesce("_n", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "least").alias("_component"))
-    out = rows.join(by_class, F.col("_fine") & (F.col("label") == F.col("_label")) & (F.col("vector") == F.col("_vector")), "left")
-    component = F.coalesce(F.col("_component"), F.col("vec_id"))
+    found = materialize(keyed_vectors(vectors, id_col, vector_col, label_col), "vector-keys")
+    classes = found.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("_rows"), *(F.first(c).alias(c) for c in ("label", "dim", "unit")))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    links = _bucketed(classes.withColumnRenamed("_rows", "copies"), tables, hashes, probes, seed, tile, threshold)
+    links = materialize(links, "vector-links")
+    counts = links.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("_n"))
+    parts = materialize(connected_components(links.where("v is not null").select("u", "v")), "vector-components")
+    by_class = least_reachable(classes.select("node", "key", "least", "_rows"), parts).join(counts, "node", "left")
+    by_class = by_class.select("key", "_rows", (F.coalesce("_n", F.lit(0)) + F.col("_rows") - 1).alias("_links"), F.col("component_id").alias("_component"))
+    out = spread_join(found.select("vec_id", "key"), by_class, "key", heavy)
+    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("_component"))
     return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def _bucketed(classes: DataFrame, tables: int, hashes: int, probes: int, seed: int, tile: int, threshold: float) -> DataFrame:
     """``u, v, n`` of :func:`verify_groups` for all classes."""
-    dims = [r[0] for r in classes.select(F.size("vector").alias("d")).distinct().collect()]
-    parts = [_of_dim(classes.where(F.size("vector") == d), d, tables, hashes, probes, seed, tile, threshold) for d in sorted(dims)]
+    dims = [r[0] for r in classes.select("dim").distinct().collect()]
+    parts = [_of_dim(classes.where(F.col("dim") == d), d, tables, hashes, probes, seed, tile, threshold) for d in sorted(dims)]
     if not parts:
         return classes.sparkSession.createDataFrame([], "u long, v long, n long")
     out = parts[0]
@@ -188,18 +217,18 @@ def _of_dim(classes: DataFrame, dim: int, tables: int, hashes: int, probes: int,
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 piece = b.slice(at, 2048)
-                x = piece.column("vector").flatten().to_numpy().reshape(-1, dim)
+                x = np.frombuffer(b"".join(piece.column("unit").to_pylist()), "<f8").reshape(-1, dim)
                 codes = lsh.codes(x).reshape(-1, tables * probes)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("label_key"), piece.column("node"), piece.column("copies"), pa.array([r.tobytes() for r in np.ascontiguousarray(x, "<f8")], pa.binary()), pa.array([r.tobytes() for r in codes.astype("<i8")], pa.binary()), pa.array(list(codes), pa.list_(pa.int64()))],
-                    names=["label_key", "node", "copies", "vector", "codes", "each"],
+                    [*(piece.column(c) for c in ("label_key", "label", "node", "copies", "unit")), pa.array([r.tobytes() for r in codes.astype("<i8")], pa.binary()), pa.array(list(codes), pa.list_(pa.int64()))],
+                    names=["label_key", "label", "node", "copies", "unit", "codes", "each"],
                 )
 
-    hashed = classes.select(F.xxhash64("label").alias("label_key"), "node", "copies", "vector").mapInArrow(hash_all, "label_key long, node long, copies long, vector binary, codes binary, each array<long>")
+    hashed = classes.select(F.xxhash64("label").alias("label_key"), "label", "node", "copies", "unit").mapInArrow(hash_all, "label_key long, label string, node long, copies long, unit binary, codes binary, each array<long>")
     hashed = materialize(hashed, "vector-codes")
     keys = hashed.select("label_key", "node", F.posexplode("each").alias("at", "code"))
-    keys = keys.withColumn("tbl", F.floor(F.col("at") / probes).cast("long")).dropDuplicates(["node", "label_key", "tbl", "code"])
+    keys = keys.withColumn("tbl", F.floor(F.col("at") / probes).cast("long")).dropDuplicates(["node", "tbl", "code"])
     group = {"k1": F.col("label_key"), "k2": F.col("tbl") + F.col("code") * tables}
     keys = keys.select(*(c.alias(k) for k, c in group.items()), F.lit(0).alias("lane"), "node", "tbl", "code")
-    met = meet_in_tiles(materialize(keys, "vector-buckets"), tile=tile, payload=hashed.select("node", "copies", "vector", "codes"))
+    met = meet_in_tiles(materialize(keys, "vector-buckets"), tile=tile, payload=hashed.select("node", "label", "copies", "unit", "codes"))
     return met.mapInArrow(lambda batches: whole_groups(batches, lambda t, e: verify_groups(t, e, dim, tables, probes, threshold)), "u long, v long, n long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -12,8 +12,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .workspace import materialize, prepare
+from .workspace import ids_side, materialize, prepare
 
 #: The kinds in their order, and the characters and forms of each.
 KINDS = ("email", "ip", "card", "phone")
@@ -23,7 +24,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]").search
-#: What may be an identifier that the detectors miss: a number of six digits or more, or a name at a host.
+#: Unseen identifiers up to this number are sent to the workers of a masking pass as a set; more are joined.
+SENT_IDENTIFIERS = 200_000
+#: What may be an identifier that the detectors miss: a number of 6 to 19 digits, or a name at a host of up to 64 characters each.
 HINT = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,64}|(?<![A-Za-z0-9])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){5,18}(?![A-Za-z0-9])")
 TOKEN = re.compile(r"\w{1,64}|[^\w\s]{1,64}").findall
 SPACE = " \t\n\r\x0b\x0c"
@@ -118,47 +121,60 @@ def hints(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, i
         a, b = m.span()
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if all(x >= b or y <= a for x, y in taken[k : k + 8]):
+        if all(y <= a for _, y in itertools.takewhile(lambda t: t[0] < b, itertools.islice(taken, k, None))):
             yield a, b, hint_kind(m[0])
 
 
 _PLACE = "struct<start:int,end:int,kind:string,token:string,seed:boolean,patterns:array<string>>"
+_ARROW_PLACE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("token", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
+#: Texts looked at together in a worker.
+ROWS = 512
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, key, places`` of whole texts: ``places`` are the fixed detectors' spans (``seed``) and the hints.
+def _described(text: str) -> list[dict]:
+    """The places of a text with their tokens and patterns, seeds first."""
+    found = places_in(text)
+    if not found:
+        return []
+    tokens, at = tokens_of(text, [x[:2] for x in found])
+    made = [{"start": a, "end": b, "kind": k, "token": text[a:b].lower(), "seed": s, "patterns": patterns_at(tokens, i)} for (a, b, k, s), i in zip(found, at, strict=True)]
+    return sorted(made, key=lambda p: (not p["seed"], p["start"], KINDS.index(p["kind"])))
 
-    ``key`` is the text's digest; a text's places depend on it alone.
-    """
-    prepare(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    place = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("token", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
 
-    def places(text: str) -> list[dict]:
-        found = places_in(text)
-        if not found:
-            return []
-        tokens, at = tokens_of(text, [x[:2] for x in found])
-        rank = KINDS.index
-        made = [{"start": a, "end": b, "kind": k, "token": text[a:b].lower(), "seed": s, "patterns": patterns_at(tokens, i)} for (a, b, k, s), i in zip(found, at, strict=True)]
-        return sorted(made, key=lambda p: (not p["seed"], p["start"], rank(p["kind"])))
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _scanned(src: DataFrame, text_at: int) -> DataFrame:
+    """``src`` and ``places`` of the texts in the column at this position; ``row`` numbers the rows once this is written."""
+    names = src.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
-                texts = [x or "" for x in piece.column(1).to_pylist()]
-                keys = [hashlib.md5(x.encode("utf-8", "surrogatepass")).digest() for x in texts]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(keys, pa.binary()), pa.array([places(x) for x in texts], pa.list_(place))], names=["doc_id", "key", "places"])
+        for piece in _pieces(batches):
+            places = [_described(x or "") for x in piece.column(text_at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(places, pa.list_(_ARROW_PLACE))], names=[*names, "places"])
 
-    return src.mapInArrow(run, f"doc_id long, key binary, places array<{_PLACE}>")
+    schema = T.StructType([*src.schema.fields, T.StructField("places", T._parse_datatype_string(f"array<{_PLACE}>"))])
+    return src.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, places, row`` of whole texts: ``places`` are the fixed detectors' spans (``seed``) and the hints.
+
+    ``row`` is a number of the row's own; write the table before it is joined by it.
+    """
+    prepare(docs.sparkSession)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _scanned(src, 1).drop("text")
 
 
 class _Hashes(dict):
     """Words' 64-bit hashes, remembered for a bounded number of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 16:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -206,14 +222,14 @@ def count_patterns(docs: DataFrame, patterns: DataFrame, text_col: str = "text")
         total: Counter = Counter()
         hashes = _Hashes()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in itertools.chain.from_iterable(x.column(0).to_pylist() for x in _pieces([batch])):
                 words, _ = tokens_of(text or "", [x[:2] for x in places_in(text or "")])
                 h = np.fromiter(map(hashes.__getitem__, words), "<u8", len(words))
                 for form, apart in ((1, 0), (2, 1), (3, 2)):
                     at = _pattern_bits(form, h[: max(0, len(h) - apart)], h[apart:], len(table) * 8)
                     for k in np.flatnonzero(table[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
                         total[f"{form} {words[k]} {words[k + apart]}" if apart else f"1 {words[k]}"] += 1
-                if len(total) > 100_000:
+                if len(total) > 50_000:
                     yield pa.RecordBatch.from_pydict({"pattern": list(total), "n": list(total.values())})
                     total = Counter()
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
@@ -232,7 +248,7 @@ def bootstrap(docs: DataFrame, scanned: DataFrame, *, rounds: int = 3, min_insta
     occurrences plus ``smoothing``; an unseen instance's score is the noisy-or of the confidences of
     its trusted patterns.  Seeds keep the score 1.
     """
-    at = scanned.select("key", F.explode("places").alias("p")).select("p.kind", "p.token", "p.seed", F.explode("p.patterns").alias("pattern"))
+    at = scanned.select(F.explode("places").alias("p")).select("p.kind", "p.token", "p.seed", F.explode("p.patterns").alias("pattern"))
     graph = materialize(at.groupBy("pattern", "kind", "token", "seed").agg(F.count("*").alias("n")), "pattern-graph")
     induced = graph.where("seed").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_instances)
     induced = materialize(induced, "patterns")
@@ -243,29 +259,35 @@ def bootstrap(docs: DataFrame, scanned: DataFrame, *, rounds: int = 3, min_insta
     graph = materialize(graph.join(induced.select("pattern", "kind"), ["pattern", "kind"]).join(totals, "pattern"), "pattern-graph")
     score = graph.select("token", "kind", "seed", F.col("seed").cast("double").alias("score")).distinct()
     for _ in range(rounds):
-        trust = graph.join(score, ["token", "kind", "seed"]).groupBy("pattern", "kind").agg((F.sum(F.col("score") * F.col("n")) / (F.max("total") + smoothing)).alias("confidence"))
+        trust = graph.join(score, ["token", "kind", "seed"]).groupBy("pattern", "kind").agg(F.least(F.sum(F.col("score") * F.col("n")) / (F.max("total") + smoothing), F.lit(1.0)).alias("confidence"))
         trust = trust.where(F.col("confidence") >= min_confidence)
-        new = graph.where("not seed").join(trust, ["pattern", "kind"]).groupBy("token", "kind").agg((1 - F.product(1 - F.least("confidence", F.lit(1.0)))).alias("score"))
+        new = graph.where("not seed").join(trust, ["pattern", "kind"]).groupBy("token", "kind").agg((1 - F.product(1 - F.col("confidence"))).alias("score"))
         seeds = graph.where("seed").select("token", "kind").distinct()
         score = materialize(seeds.select("token", "kind", F.lit(True).alias("seed"), F.lit(1.0).alias("score")).unionByName(new.select("token", "kind", F.lit(False).alias("seed"), "score")), "instance-scores")
     return score.where(~F.col("seed") & (F.col("score") >= min_confidence)).select("token", "kind")
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row for each document: ``doc_id, key, base, spans``, arrays of ``start, rank, end, kind`` in order.
+    """One row for each document: ``doc_id, base, spans``, arrays of ``start, rank, end, kind`` in order.
 
     ``base`` holds the fixed detectors' spans, ``spans`` also what :func:`bootstrap` discovers.
     Offsets are code points of the whole text.  A null or empty text has none; equal texts have equal
     spans; null ids are carried; repeated rows come out as often as they come in; an empty table gives no rows.
+    What is discovered is joined by a number of each row, so copies of a text meet in no task.
     """
     scanned = materialize(scan(docs, id_col=id_col, text_col=text_col), "places")
-    unseen = bootstrap(docs, scanned, text_col=text_col, **options)
-    places = scanned.select("key", F.explode("places").alias("p")).where("not p.seed").select("key", "p.*")
-    more = places.join(unseen, ["token", "kind"]).groupBy("key").agg(F.collect_set(_span(F.struct("start", "end", "kind"))).alias("_more"))
+    unseen = materialize(bootstrap(docs, scanned, text_col=text_col, **options), "unseen")
+    return _with_spans(scanned, unseen).select("doc_id", "base", "spans")
+
+
+def _with_spans(scanned: DataFrame, unseen: DataFrame) -> DataFrame:
+    """A written scan with ``base`` and ``spans`` in the place of ``places``."""
+    places = scanned.select("row", F.explode(F.filter("places", lambda p: ~p["seed"])).alias("p")).select("row", "p.start", "p.end", "p.kind", "p.token")
+    more = places.join(ids_side(unseen, SENT_IDENTIFIERS), ["token", "kind"]).groupBy("row").agg(F.collect_list(_span(F.struct("start", "end", "kind"))).alias("_more"))
     base = F.transform(F.filter("places", lambda p: p["seed"]), _span)
-    out = scanned.select("doc_id", "key", base.alias("base")).join(more, "key", "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    return out.select("doc_id", "key", "base", F.array_sort(F.concat("base", F.coalesce("_more", none))).alias("spans"))
+    out = scanned.withColumn("base", base).join(more, "row", "left")
+    return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("_more", none)))).drop("row", "places", "_more")
 
 
 def _span(p: F.Column) -> F.Column:
@@ -278,26 +300,52 @@ def joined(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with each found span replaced by its kind in brackets; overlapping spans give one replacement."""
-    found = find_personal_data(docs, text_col=text_col, **options).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans"))
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    out = keyed.join(found, F.col("_key") == F.col("key"), "left")
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each span (by start) replaced by its kind; overlapping spans give one replacement."""
+    parts, at = [], 0
+    for start, end, kind in spans:
+        if start >= at:
+            parts += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(parts) + text[at:]
 
-    @F.pandas_udf("string")
-    def masked(texts, spans):  # noqa: ANN001, ANN202
-        def one(text, found):  # noqa: ANN001, ANN202
-            if found is None or text is None:
-                return text
-            parts, at = [], 0
-            for s in found:
-                if s["start"] >= at:
-                    parts += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
-                at = max(at, s["end"])
-            return "".join(parts) + text[at:]
 
-        return texts.combine(spans, one)
+def redact(docs: DataFrame, *, text_col: str = "text", sent: int = SENT_IDENTIFIERS, **options) -> DataFrame:
+    """``docs`` with each found span replaced by its kind in brackets; overlapping spans give one replacement.
 
+    One pass finds places, one counts patterns, and one masks texts where they lie: up to ``sent`` unseen
+    identifiers go to the workers as a set, and texts aren't shuffled.  If there are more, the spans that they give are joined
+    to the written rows by row number.  Null and empty texts stay as they are; rows with null ids and repeated rows are
+    masked like others; other columns are carried, whatever their names; an empty table gives no rows.
+    """
     prepare(docs.sparkSession)
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(masked(F.when(F.col("_spans").isNotNull(), F.col(text_col)), F.col("_spans")))
-    return out.withColumn(text_col, text).select(*docs.columns)
+    text_at = docs.columns.index(text_col)
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    src = docs.toDF(*own).withColumn(own[text_at], F.col(own[text_at]).cast("string"))
+    scanned = materialize(_scanned(src.select(own[text_at]), 0).select("places", "row") if sent else _scanned(src, text_at), "places")
+    unseen = materialize(bootstrap(src, scanned, text_col=own[text_at], **options), "unseen")
+    found = unseen.limit(sent + 1).collect() if sent else []
+    if sent and len(found) <= sent:
+        known = {(r.token, r.kind) for r in found}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in _pieces(batches):
+                columns = list(piece.columns)
+                texts = columns[text_at].to_pylist()
+                spans = [[(a, b, k) for a, b, k, seed in (places_in(x) if known else ((*y, True) for y in base_spans(x))) if seed or (x[a:b].lower(), k) in known] if x else [] for x in texts]
+                columns[text_at] = pa.array([masked(x, y) if y else x for x, y in zip(texts, spans, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=own)
+
+        return src.mapInArrow(run, src.schema).toDF(*docs.columns)
+    if sent:
+        scanned = materialize(_scanned(src, text_at), "places")
+    spanned = _with_spans(scanned, unseen).drop("base")
+
+    def of_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            columns = list(piece.columns)
+            pairs = zip(columns[text_at].to_pylist(), columns[-1].to_pylist(), strict=True)
+            columns[text_at] = pa.array([masked(x, [(s["start"], s["end"], s["kind"]) for s in y]) if x and y else x for x, y in pairs], pa.string())
+            yield pa.RecordBatch.from_arrays(columns[:-1], names=own)
+
+    return spanned.select(*own, "spans").mapInArrow(of_spans, src.schema).toDF(*docs.columns)

@@ -88,8 +88,9 @@ def classify_quality(
     max_train_rows: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each document: ``doc_id, host, path, p_document, p_site, p_quality, kept``.
+    """One row for each document: ``doc_id, host, path, p_document, p_site, p_quality, kept`` and the columns to ``carry``.
 
     1. Evidence of the document: a logistic regression on features of its whole text, fitted on at
        most ``max_train_rows`` labelled documents (those with the smallest hash of their id, so the
@@ -106,8 +107,8 @@ def classify_quality(
     """
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.col("source"), F.col("lang")) if path is None else path
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("_t"))
-    rows = materialize(featurize(src, ["doc_id", "host", "path"], "_t"), "quality-features")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("_t"), *carry)
+    rows = materialize(featurize(src, ["doc_id", "host", "path", *carry], "_t"), "quality-features")
     known = labels.where("quality in (0, 1)").groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min("quality").alias("y"), F.max("quality").alias("_y")).where("y = _y").drop("_y")
     once = rows.where("doc_id is not null").select("doc_id", "x")
     sample = once.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows).select("x", "y").toPandas()
@@ -117,7 +118,7 @@ def classify_quality(
         w, constant = w[1:] / scale, w[0] - (w[1:] / scale) @ mean
         score = F.aggregate(F.zip_with("x", F.array(*(F.lit(float(v)) for v in w)), lambda a, b: a * b), F.lit(float(constant)), lambda a, b: a + b)
         evidence = 1 / (1 + F.exp(-F.greatest(F.least(score, F.lit(30.0)), F.lit(-30.0))))
-    scored = materialize(rows.select("doc_id", "host", "path", evidence.alias("p_document")), "quality-evidence")
+    scored = materialize(rows.select("doc_id", "host", "path", *carry, evidence.alias("p_document")), "quality-evidence")
     paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_document").alias("s")), "quality-paths")
     hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")), "quality-hosts")
     total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
@@ -135,4 +136,4 @@ def classify_quality(
     out = out.withColumn("p_site", bound(of_path))
     odds = _logit(bound(own)) + _logit(F.col("p_site")) - float(np.log(prior / (1 - prior)))
     out = out.withColumn("p_quality", 1 / (1 + F.exp(-odds)))
-    return out.select("doc_id", "host", "path", "p_document", "p_site", "p_quality", (F.col("p_quality") >= threshold - 1e-9).alias("kept"))
+    return out.select("doc_id", "host", "path", "p_document", "p_site", "p_quality", (F.col("p_quality") >= threshold - 1e-9).alias("kept"), *carry)

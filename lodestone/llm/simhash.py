@@ -20,8 +20,12 @@ from .workspace import KEY_ROWS, ids_side, materialize, prepare, spread_join
 SEED = 42
 #: Rows of a band's value that are all candidates of each other, without a look at their sketches.
 FEW = 8
+#: Shared bands (their keys with a count) up to this number are sent to all tasks; more are joined by a shuffle.
+SHARED_BANDS = 1_000_000
 #: Bands of a text's shingle set that candidates may share.
-BANDS = 32
+BANDS = 24
+#: The level of small texts, as a power of two: all its parts are bands.
+LOWEST = 5
 #: Shingles hashed at a time: bounds the memory for a very long text.
 SHINGLES = 1 << 17
 
@@ -183,51 +187,50 @@ def parity_sketch(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def sketch_bands(h: np.ndarray, similarity: float, bands: int = BANDS) -> tuple[list[int], list[int]]:
-    """Keys of a text's bands, as level and value, from its distinct hashes.
+def sketch_bands(h: np.ndarray, similarity: float, bands: int = BANDS) -> np.ndarray:
+    """64-bit keys of a text's bands, from its distinct hashes.
 
-    At a level the hashes are dealt over so many parts (a power of two); a band is one of the first ``bands`` parts, and its value the
-    exclusive-or of the hashes in it: a wide parity sketch.  Sets agree on a band if their hashes in it are the same.
+    At a level the hashes are dealt over so many parts (a power of two, 32 at least); a band is one of the first ``bands`` parts (any of 32), and its key the
+    exclusive-or of the hashes in it, a wide parity sketch, mixed with the level.  Sets agree on a band if their hashes in it are the same.
     Parts hold some 2.5 to 5 hashes, so sets with a Jaccard similarity of 0.8 agree on a band that isn't empty
-    with a probability of 0.37 or more, and miss all 32 in fewer than one of a million cases.  A text has the level of its size and those of the sizes
+    with a probability of 0.37 to 0.53, and miss all 24 in some two of a million cases, 15 at worst.  A text has the level of its size and those of the sizes
     down to the factor ``similarity``, so that texts that may link share one.
     """
-    levels, values = [], []
-    for level in range(_level(len(h) * similarity, bands), _level(len(h), bands) + 1):
+    keys = []
+    for level in range(_level(len(h) * similarity), _level(len(h)) + 1):
         part = (h >> np.uint64(24)) & np.uint64((1 << level) - 1)
-        at = np.flatnonzero(part < bands)
+        at = np.flatnonzero(part < (bands if level > LOWEST else 1 << LOWEST))
         order = at[np.argsort(part[at], kind="stable")]
         if len(order):
             edges = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
-            levels += (level * bands + part[order[edges]].astype(np.int64)).tolist()
-            values += np.bitwise_xor.reduceat(h[order], edges).view(np.int64).tolist()
-    return levels, values
+            keys.append(np.bitwise_xor.reduceat(h[order], edges) + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return np.concatenate(keys).view(np.int64)
 
 
-def _level(size: float, bands: int) -> int:
-    return max((bands - 1).bit_length(), math.ceil(math.log2(max(size, 1.0) / 5 - 1e-9)) if size > 5 else 0)
+def _level(size: float) -> int:
+    """The lowest level with parts of no more than five hashes."""
+    return max(LOWEST, math.ceil(math.log2(size / 5 - 1e-9)) if size > 6 else 0)
 
 
 def _sketches(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, digest`` (of the lowered words), ``sketch``, ``size`` (distinct shingles) and ``levels, values`` of the bands of whole texts."""
+    """``doc_id, digest`` (of the lowered words), ``sketch``, ``size`` (distinct shingles) and ``bands`` (their keys) of whole texts."""
     prepare(docs.sparkSession)
 
-    def sketch(text: str) -> tuple[bytes, bytes, int, list[int], list[int]]:
+    def sketch(text: str) -> tuple[bytes, bytes, int, np.ndarray]:
         w = text.encode("utf-8", "surrogatepass").lower().split()
         h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in w or [b""]), "<u8")
         h = np.unique(_combined(h, words))
-        return hashlib.md5(b" ".join(w)).digest(), parity_sketch(h), len(h), *sketch_bands(h, similarity)
+        return hashlib.md5(b" ".join(w)).digest(), parity_sketch(h), len(h), sketch_bands(h, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 piece = b.slice(at, 512)
-                digests, sketches, sizes, levels, values = zip(*(sketch(x or "") for x in piece.column(1).to_pylist()), strict=True)
-                lists = [pa.array(x, pa.list_(pa.int64())) for x in (levels, values)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "digest", "sketch", "size", "levels", "values"])
+                digests, sketches, sizes, bands = zip(*(sketch(x or "") for x in piece.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "sketch", "size", "bands"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, digest binary, sketch binary, size long, levels array<long>, values array<long>")
+    return src.mapInArrow(run, "doc_id long, digest binary, sketch binary, size long, bands array<long>")
 
 
 def _tasks(table: pa.Table, edges: np.ndarray) -> Iterator[tuple[int, int, int, bool]]:
@@ -295,14 +298,10 @@ def _candidates(table: pa.Table, edges: np.ndarray, similarity: float) -> Iterat
 
 
 def _candidate_links(table: pa.Table, edges: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links ``u, v`` that keep together the nodes that candidates connect within each task key; a key with few rows is linked as a whole."""
-    node, forest, size = table.column("node").to_numpy(), Forest(table.num_rows), np.diff(edges)
-    few = (size <= FEW) & (table.column("ta").to_numpy()[edges[:-1]] < 0)
-    rows = np.flatnonzero(np.repeat(few, size))
-    forest.join(rows, np.repeat(edges[:-1], size)[rows])
-    for k in np.flatnonzero(~few).tolist():
-        for _, i, j in _candidates(table.slice(edges[k], size[k]), np.array([0, size[k]]), similarity):
-            forest.join(edges[k] + i, edges[k] + j)
+    """Links ``u, v`` that keep together the nodes that candidates connect within each task key."""
+    node, forest = table.column("node").to_numpy(), Forest(table.num_rows)
+    for a, i, j in _candidates(table, edges, similarity):
+        forest.join(a + i, a + j)
     i, j = forest.edges()
     yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["u", "v"])
 
@@ -328,8 +327,8 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int =
     Candidates share a band of their shingle sets (:func:`sketch_bands`).  Within a band's value, tiles are compared by exclusive-or
     and bit counts of parity sketches (:func:`parity_sketch`), which bound how far two sets differ; tiles are made by the
     number of distinct shingles on a log scale, only neighbours meet, and pairs of sizes too far apart are skipped.
-    Each link is then verified on the shingles themselves.  Bands miss fewer than one of a million pairs at a
-    similarity of 0.8 and fewer above it; the sketches miss none.  First the
+    A band's value that few texts share makes them candidates as they are.  Each link is then verified on the shingles themselves.  Bands miss some two of a million
+    pairs at a similarity of 0.8 and fewer above it; the sketches miss none.  First the
     components of the candidates are found; no link can leave one.  Then the shingles of texts with candidates are
     fetched and travel once each, to their component (a large one is split into tiles), and pairs are verified
     there; a pair already in one class isn't verified again.
@@ -340,15 +339,17 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int =
     found = materialize(_sketches(docs, words, similarity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     lane = F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
     # A class of equal texts has the number of its first row; its other columns are the same in all rows.
-    firsts = found.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("_rows"))
-    nodes = materialize(firsts, "sketch-nodes")
-    kept = found.join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
-    kept = materialize(kept.select(F.col("row").alias("node"), "doc_id", "size", lane.alias("lane"), "sketch", "levels", "values"), "sketch-firsts")
-    bands = kept.select("node", "lane", F.explode(F.arrays_zip("levels", "values")).alias("b")).select(F.col("b.levels").alias("k1"), F.col("b.values").alias("k2"), "lane", "node")
-    sketches = kept.select("node", "size", "sketch")
-    met = meet_in_tiles(materialize(bands, "sketch-bands"), radius=1, tile=tile, payload=sketches)
-    loose = met.mapInArrow(lambda batches: whole_groups(batches, lambda t, e: _candidate_links(t, e, similarity)), "u long, v long")
-    groups = materialize(connected_components(loose), "sketch-groups")
+    same = [F.first(c).alias(c) for c in ("size", "sketch", "bands")]
+    nodes = found.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("_rows"), *same)
+    nodes = materialize(nodes.withColumn("lane", lane), "sketch-nodes")
+    bands = nodes.select(F.explode("bands").alias("k1"), "lane", "node")
+    shared = bands.groupBy("k1").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+    banded = bands.join(ids_side(materialize(shared, "sketch-bands"), SHARED_BANDS), "k1")
+    few = banded.where((F.col("n") <= FEW) & (F.col("node") != F.col("first"))).select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
+    many = materialize(banded.where(F.col("n") > FEW).select("k1", F.lit(0).cast("long").alias("k2"), "lane", "node"), "sketch-groups")
+    met = meet_in_tiles(many, radius=1, tile=tile, payload=nodes.select("node", "size", "sketch"))
+    loose = few.unionByName(met.mapInArrow(lambda batches: whole_groups(batches, lambda t, e: _candidate_links(t, e, similarity)), "u long, v long"))
+    groups = materialize(connected_components(loose), "sketch-components")
     wanted = materialize(nodes.join(groups.select("node"), "node").select("node", "digest", "least"), "shingles-wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ids = ids_side(wanted.select(F.col("least").alias("_id")).distinct())
@@ -361,11 +362,11 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int =
                 digests, sets = [hashlib.md5(b" ".join(w)).digest() for w in some], [word_shingles(w, words).tobytes() for w in some]
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
-    sets = texts.mapInArrow(shingled, "digest binary, shingles binary").join(wanted, "digest").select("node", "shingles")
-    sets = materialize(sets.dropDuplicates(["node"]), "shingle-sets")
-    some = kept.join(groups, "node").select(F.col("component").alias("k1"), F.lit(0).cast("long").alias("k2"), "lane", "node", "size", "sketch")
+    # Rows that repeat an id and a text give a node's set more than once, which changes no class.
+    sets = texts.mapInArrow(shingled, "digest binary, shingles binary").join(ids_side(wanted), "digest").select("node", "shingles")
+    some = nodes.join(groups, "node").select(F.col("component").alias("k1"), F.lit(0).cast("long").alias("k2"), "lane", "node", "size", "sketch")
     met = meet_in_tiles(materialize(some, "sketch-candidates"), radius=1, tile=verify_tile, payload=sets)
     links = met.mapInArrow(lambda batches: whole_groups(batches, lambda t, e: _verified(t, e, similarity)), "u long, v long")
     classes = materialize(connected_components(links), "similar-classes")
-    by_digest = least_reachable(nodes, classes).select("digest", "_rows", "component_id")
+    by_digest = least_reachable(nodes.select("digest", "node", "least", "_rows"), classes).select("digest", "_rows", "component_id")
     return spread_join(found.select("doc_id", "digest"), by_digest, "digest", heavy).select("doc_id", "component_id")

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,8 +78,18 @@ ROW = "__row"
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once, with a number of each row's own (``ROW``), so that a decision about a row can be joined whatever its id is."""
-    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """``df`` with a number of each row's own (``ROW``), so that a decision about a row can be joined whatever its id is.
+
+    Rows of a file scan are numbered by their file and their place in it, which need no copy; other rows are written once.
+    """
+    try:
+        files = df.select(F.col("_metadata.file_path").alias("__file")).distinct()
+        placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:
+        return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+    # The names of the files, which the driver has listed, meet in one task and get running numbers there.
+    files = ids_side(materialize(files.coalesce(1).select("__file", F.monotonically_increasing_id().alias("__no")), name), 100_000)
+    return placed.join(files, "__file").select(*df.columns, (F.shiftleft("__no", 36) + F.col("__at")).alias(ROW))
 
 
 #: Ids up to this number (some 32 MB as a hash table of longs) are broadcast; more are joined by a shuffle.

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import netloc, normalize_url, resolve_url
+from .graphs import cut_lineage
 
-#: Phrases of pages that stand between a reader and the content.
-STRONG = ("just a moment...", "checking your browser before accessing", "cf-browser-verification", "attention required! | cloudflare", "enable javascript and cookies to continue", "verify you are human")
-WEAK = ("captcha", "access denied", "ddos protection", "ray id")
+#: Markers of pages that stand between a reader and the content.
+STRONG = ("cf-challenge", "cf-mitigated", "cf-please-wait", "/cdn-cgi/challenge-platform/")
+TITLE, CHECKING = "<title>just a moment", "checking your browser"
+WEAK = ("just a moment", "needs to review the security")
 SKIPPED = ("#", "javascript:", "mailto:", "tel:")
 HREF = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"
 
@@ -72,9 +74,9 @@ def robots_rules(text: str, agent: str = "*") -> list[str]:
 def crawl(seeds: DataFrame, edges: DataFrame, *, max_depth: int, max_pages: int | None = None, admit: Callable[[Column], Column] | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``url, depth`` in breadth-first order over a link table: one anti-join for each depth.
 
-    ``keep`` (say, a checkpoint) is applied to each depth's frontier to cut its lineage.
+    ``keep`` is applied to each depth's frontier to cut its lineage: a checkpoint, unless another way is given.
     """
-    keep = keep or (lambda df: df)
+    keep = keep or cut_lineage
     frontier = keep(seeds.select("url", F.lit(0).alias("depth")).distinct())
     seen = frontier
     for depth in range(1, max_depth + 1):
@@ -206,16 +208,19 @@ def as_document(title: Column, url: Column, meta: Column, markdown: Column) -> C
 
 
 def challenge(body: Column) -> Column:
-    """``strong``, ``weak`` or ``none`` by phrases among the first 3000 characters; two weak ones are strong."""
-    head = F.lower(F.substring(body, 1, 3000))
-    strong = functools.reduce(operator.or_, (F.contains(head, F.lit(s)) for s in STRONG))
-    weak = functools.reduce(operator.add, (F.contains(head, F.lit(w)).cast("int") for w in WEAK))
-    return F.when(strong | (weak >= 2), "strong").when(weak == 1, "weak").otherwise("none")
+    """``strong``, ``weak`` or ``none`` by markers among the first 3000 characters.
+
+    A title that asks to wait is strong together with the words about checking the browser; weak markers never add up to strong.
+    """
+    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 3000))
+    has = lambda markers: functools.reduce(operator.or_, (F.contains(head, F.lit(m)) for m in markers))
+    strong = has(STRONG) | (F.contains(head, F.lit(TITLE)) & F.contains(head, F.lit(CHECKING)))
+    return F.when(strong, "strong").when(has(WEAK), "weak").otherwise("none")
 
 
 def raw_verdict(body: Column) -> Column:
-    blank = body.isNull() | ~body.rlike(r"\S")
-    return F.when(blank, "empty").when(challenge(body) == "strong", "challenge").otherwise("ok")
+    """empty (no character at all), challenge or ok."""
+    return F.when(body.isNull() | (body == ""), "empty").when(challenge(body) == "strong", "challenge").otherwise("ok")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -225,7 +230,7 @@ def readable_count(values: pd.Series) -> pd.Series:
 
 
 def text_verdict(text: Column, *, min_length: int = 10, readable: Column | None = None) -> Column:
-    """too_short, challenge, null_bytes, replacement_ratio, control_ratio, unreadable or ok.
+    """empty, too_short, challenge, null_bytes, replacement_ratio, control_ratio, readable_ratio or ok.
 
     Under 200 characters three bad ones are enough; above, their share must also pass its limit.
     Without ``readable`` a character counts as unreadable if it is a control, format, unassigned or private one.
@@ -235,8 +240,8 @@ def text_verdict(text: Column, *, min_length: int = 10, readable: Column | None
     replaced, control = count("�"), count(r"[\x01-\x08\x0b\x0c\x0e-\x1f]")
     bad = n - readable if readable is not None else count(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f￾￿]")
     over = lambda k, limit: (k >= 3) & ((n < 200) | (k / n > limit))
-    out = F.when(text.isNull() | (n < min_length), "too_short").when(challenge(text) == "strong", "challenge").when(F.contains(text, F.lit("\x00")), "null_bytes")
-    return out.when(over(replaced, 0.01), "replacement_ratio").when(over(control, 0.005), "control_ratio").when(over(bad, 0.15), "unreadable").otherwise("ok")
+    out = F.when(text.isNull() | (n == 0), "empty").when(n < min_length, "too_short").when(challenge(text) == "strong", "challenge").when(F.contains(text, F.lit("\x00")), "null_bytes")
+    return out.when(over(replaced, 0.01), "replacement_ratio").when(over(control, 0.005), "control_ratio").when(over(bad, 0.15), "readable_ratio").otherwise("ok")
 
 
 def valid_content(text: Column, min_length: int = 10) -> Column:

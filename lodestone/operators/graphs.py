@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A round's rows as a checkpoint in the session's folder; a folder is made here only where none is set, and only for a local master."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
+    return df.checkpoint()
+
+
 def reachable(edges: DataFrame, start: DataFrame, *, keep: Callable[[DataFrame], DataFrame] | None = None, max_rounds: int = 100) -> DataFrame:
     """``id`` of the nodes on any path from the start nodes; one anti-join for each distance.
 
     ``edges`` has ``source, target``; ``keep`` cuts a round's lineage (a checkpoint or a written table).
     """
-    keep = keep or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache())
+    keep = keep or cut_lineage
     frontier = keep(start.select("id").distinct())
     seen = frontier
     for _ in range(max_rounds):
@@ -38,21 +49,21 @@ def next_nodes(nodes: DataFrame, choices: DataFrame) -> DataFrame:
     return each.where((F.col("kind") == "multi") | ((F.col("kind") == "single") & (F.col("k") == 0)) | ((F.col("kind") == "conditional") & (F.col("condition") == F.col("choice")))).select("id", "next")
 
 
-def plan_problems(steps: DataFrame, *, max_rounds: int = 100) -> DataFrame:
+def plan_problems(steps: DataFrame, *, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``problem, id``: empty plans, repeated ids, unknown dependencies and steps on or behind cycles.
 
-    ``steps`` has ``id`` and ``deps`` (array).  Steps whose dependencies are all resolved are peeled off in rounds.
+    ``steps`` has ``id`` and ``deps`` (array).  Steps whose dependencies are all resolved are peeled off
+    in rounds until none is, however long the chains; ``keep`` cuts a round's lineage, a checkpoint unless another way is given.
     """
+    keep = keep or cut_lineage
     ids = steps.select("id").distinct()
     needs = steps.select("id", F.explode("deps").alias("dep")).distinct()
     out = duplicate_ids(steps).select(F.lit("duplicate").alias("problem"), "id")
     out = out.unionByName(needs.join(ids.withColumnRenamed("id", "dep"), "dep", "left_anti").select(F.lit("unknown dependency").alias("problem"), "id").distinct())
-    left = needs.join(ids.withColumnRenamed("id", "dep"), "dep", "left_semi").select("id", "dep")
+    left = keep(needs.join(ids.withColumnRenamed("id", "dep"), "dep", "left_semi").select("id", "dep"))
     n = left.count()
-    for _ in range(max_rounds):
-        if n == 0:
-            break
-        fewer = left.join(left.select(F.col("id").alias("dep")).distinct(), "dep", "left_semi").select("id", "dep")
+    while n:
+        fewer = keep(left.join(left.select(F.col("id").alias("dep")).distinct(), "dep", "left_semi").select("id", "dep"))
         m = fewer.count()
         if m == n:
             break

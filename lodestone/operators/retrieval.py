@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import dense_score, min_max, sparse_score
+from .graphs import cut_lineage
 
 K1, B = 1.2, 0.75
 
@@ -112,10 +113,15 @@ def linear(dense: DataFrame, sparse: DataFrame, *, key: Sequence[str], weights:
     return both.withColumn("score", min_max(F.col("score"), whole, flat))
 
 
-def hybrid(df: DataFrame, texts: DataFrame, query_vector: Sequence[float], terms: Sequence[str], k: int, *, key: Sequence[str], method: str = "rrf", where: Column | None = None) -> DataFrame:
-    """Both searches at twice k, fused and cut at k, with each list's own score and rank."""
-    dense = ranked(vector_top_k(df, query_vector, min(1000, 2 * k), key=key, where=where).select(*key, "score"), key=key)
-    sparse = ranked(text_top_k(texts, terms, min(1000, 2 * k), key=key).select(*key, "score"), key=key)
+def hybrid(df: DataFrame, texts: DataFrame, query_vector: Sequence[float], terms: Sequence[str], k: int, *, key: Sequence[str], method: str = "rrf", where: Column | None = None, where_texts: Column | None = None) -> DataFrame:
+    """Both searches at twice k, fused and cut at k, with each list's own score and rank.
+
+    ``where`` filters the vectors and ``where_texts`` the texts (a tenant, a collection) before they are ranked.  Each
+    search runs once: its few rows are a checkpoint, which fusion and the lists' own scores read.
+    """
+    texts = texts if where_texts is None else texts.where(where_texts)
+    dense = cut_lineage(ranked(vector_top_k(df, query_vector, min(1000, 2 * k), key=key, where=where).select(*key, "score"), key=key))
+    sparse = cut_lineage(ranked(text_top_k(texts, terms, min(1000, 2 * k), key=key).select(*key, "score"), key=key))
     fused = rrf([dense, sparse], key=key) if method == "rrf" else linear(dense, sparse, key=key)
     own = lambda d, n: d.select(*key, F.col("score").alias(f"{n}_score"), F.col("rank").alias(f"{n}_rank"))
     out = fused.join(own(dense, "vector"), list(key), "left").join(own(sparse, "text"), list(key), "left")

@@ -108,14 +108,25 @@ def restore(current: DataFrame, snapshot: DataFrame, keys: Sequence[str], scope:
 
 
 def unique_name(names: DataFrame, wanted: DataFrame, *, longest: int = 200) -> DataFrame:
-    """``wanted, name``: the wanted name, or the smallest free one of it with 2, 3, ...; case doesn't count."""
+    """``wanted, name``: the wanted name, or the first free one of it with 2, 3, ...; case doesn't count.
+
+    The numbers taken are read off the names themselves, by stem and number of digits (a longer number leaves less
+    room for the stem); the first gap among a stem's numbers is free.
+    """
     taken = names.select(F.lower("name").alias("_l")).distinct()
-    size = taken.count() + 2  # so many names can't all be taken
-    each = wanted.select("wanted", F.explode(F.sequence(F.lit(1), F.lit(min(size, 100_000)))).alias("k"))
-    tail = F.when(F.col("k") == 1, "").otherwise(F.concat(F.lit(" "), F.col("k").cast("string")))
-    each = each.withColumn("name", F.concat(F.substring("wanted", F.lit(1), F.lit(longest) - F.length(tail)), tail))
-    free = each.join(taken, F.lower(each["name"]) == taken["_l"], "left_anti")
-    return free.groupBy("wanted").agg(F.min_by("name", "k").alias("name"))
+    tail = r"(?s)^(.*) ([1-9][0-9]{0,9})$"
+    numbers = taken.where(F.col("_l").rlike(tail)).select(F.regexp_extract("_l", tail, 1).alias("_stem"), F.regexp_extract("_l", tail, 2).alias("_k"))
+    numbers = numbers.select("_stem", F.length("_k").alias("_digits"), F.col("_k").cast("long").alias("_k")).where("_k > 1")
+    wanted = wanted.select("wanted").distinct()
+    stem = lambda digits: F.substring("wanted", F.lit(1), F.lit(longest - 1) - digits)
+    plain = wanted.select("wanted", F.substring("wanted", F.lit(1), F.lit(longest)).alias("_plain")).join(taken, F.lower("_plain") == taken["_l"], "left")
+    each = plain.where("_l is not null").select("wanted", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("_digits")).withColumn("_stem", F.lower(stem(F.col("_digits"))))
+    used = each.join(numbers, ["_stem", "_digits"]).select("wanted", "_k")
+    in_order = Window.partitionBy("wanted").orderBy("_k")
+    run = used.withColumn("_n", F.row_number().over(in_order) + 1).groupBy("wanted").agg((F.count_if(F.col("_k") == F.col("_n")) + 2).alias("_next"))
+    out = plain.join(run, "wanted", "left").withColumn("_next", F.coalesce("_next", F.lit(2)).cast("string"))
+    numbered = F.concat(stem(F.length("_next")), F.lit(" "), F.col("_next"))
+    return out.select("wanted", F.when(F.col("_l").isNull(), F.col("_plain")).otherwise(numbered).alias("name"))
 
 
 def clean_table_name(name: str) -> str:

@@ -59,20 +59,24 @@ def page_markdown(spark, sf_dir):
     return c.select("page_id", "title", K.as_document(F.col("title"), F.col("url"), F.col("meta"), F.col("markdown")).alias("document"))
 
 
-_STRONG = " OR ".join(f"contains(h, '{s}')" for s in K.STRONG)
-_WEAK = " + ".join(f"contains(h, '{w}')::INTEGER" for w in K.WEAK)
-_CHALLENGE = f"CASE WHEN {_STRONG} OR {_WEAK} >= 2 THEN 'strong' WHEN {_WEAK} = 1 THEN 'weak' ELSE 'none' END"
+_IS_STRONG = "contains(h, 'cf-challenge') OR contains(h, 'cf-mitigated') OR contains(h, 'cf-please-wait') OR contains(h, '/cdn-cgi/challenge-platform/') OR (contains(h, '<title>just a moment') AND contains(h, 'checking your browser'))"
+_IS_WEAK = "contains(h, 'just a moment') OR contains(h, 'needs to review the security')"
+_CHALLENGE = f"CASE WHEN {_IS_STRONG} THEN 'strong' WHEN {_IS_WEAK} THEN 'weak' ELSE 'none' END"
+#: Put before pages by their id, so that each rule meets some.
+_HEADS = ("Captcha: access denied. ", "Just a moment... ", "", "<a href='/cdn-cgi/challenge-platform/x'>", "<TITLE>Just a moment</title>Checking your browser ", "CF-Mitigated", "it needs to review the security of your connection")
 
 
-@query("raw_page_verdict", "K11 K12", f"SELECT page_id, challenge, CASE WHEN NOT regexp_matches(html, '\\S') THEN 'empty' WHEN challenge = 'strong' THEN 'challenge' ELSE 'ok' END AS verdict FROM (SELECT *, {_CHALLENGE} AS challenge FROM (SELECT *, lower(substr(html, 1, 3000)) AS h FROM (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'Captcha: ' || html WHEN 1 THEN 'Just a moment...' || html WHEN 2 THEN ' ' ELSE html END AS html FROM pages)))")
+@query("raw_page_verdict", "K11 K12", f"SELECT page_id, challenge, CASE WHEN html = '' THEN 'empty' WHEN challenge = 'strong' THEN 'challenge' ELSE 'ok' END AS verdict FROM (SELECT *, {_CHALLENGE} AS challenge FROM (SELECT *, lower(substr(html, 1, 3000)) AS h FROM (SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'Captcha: access denied. ' || html WHEN 1 THEN 'Just a moment... ' || html WHEN 2 THEN '' WHEN 3 THEN '<a href=''/cdn-cgi/challenge-platform/x''>' || html WHEN 4 THEN '<TITLE>Just a moment</title>Checking your browser ' || html WHEN 5 THEN 'CF-Mitigated' || html WHEN 6 THEN 'it needs to review the security of your connection' || html ELSE html END AS html FROM pages)))")
 def raw_page_verdict(spark, sf_dir):
-    k = F.col("page_id") % 7
-    body = F.when(k == 0, F.concat(F.lit("Captcha: "), "html")).when(k == 1, F.concat(F.lit("Just a moment..."), "html")).when(k == 2, " ").otherwise(F.col("html"))
+    k = F.col("page_id") % 8
+    body = F.col("html")
+    for at, head in enumerate(_HEADS):
+        body = F.when(k == at, F.concat(F.lit(head), F.col("html")) if head else F.lit("")).otherwise(body)
     p = load(spark, sf_dir, "pages").select("page_id", body.alias("html"))
     return p.select("page_id", K.challenge(F.col("html")).alias("challenge"), K.raw_verdict(F.col("html")).alias("verdict"))
 
 
-_BODY = "CASE doc_id % 9 WHEN 0 THEN lang WHEN 1 THEN text || '���' WHEN 2 THEN text || chr(1) || chr(2) || chr(3) WHEN 3 THEN text || chr(127) || chr(127) || chr(127) ELSE text END"
+_BODY = "CASE doc_id % 9 WHEN 0 THEN lang WHEN 4 THEN 'cf-please-wait ' || text WHEN 5 THEN '' WHEN 1 THEN text || '���' WHEN 2 THEN text || chr(1) || chr(2) || chr(3) WHEN 3 THEN text || chr(127) || chr(127) || chr(127) ELSE text END"
 _N = lambda form: f"len(regexp_extract_all(t, '{form}'))"
 
 
@@ -80,14 +84,14 @@ _N = lambda form: f"len(regexp_extract_all(t, '{form}'))"
     "text_quality_verdict",
     "K13 K14",
     f"""WITH b AS (SELECT doc_id, {_BODY} AS t FROM documents), c AS (SELECT doc_id, t, len(t) AS n, {_N(chr(0xFFFD))} AS r, {_N(r"[\x01-\x08\x0b\x0c\x0e-\x1f]")} AS k, {_N(r"[\x01-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]")} AS u, lower(substr(t, 1, 3000)) AS h FROM b)
-    SELECT doc_id, CASE WHEN n < 10 THEN 'too_short' WHEN {_STRONG} OR {_WEAK} >= 2 THEN 'challenge' WHEN r >= 3 AND (n < 200 OR r / n > 0.01) THEN 'replacement_ratio' WHEN k >= 3 AND (n < 200 OR k / n > 0.005) THEN 'control_ratio' WHEN u >= 3 AND (n < 200 OR u / n > 0.15) THEN 'unreadable' ELSE 'ok' END AS verdict,
+    SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN n < 10 THEN 'too_short' WHEN {_IS_STRONG} THEN 'challenge' WHEN r >= 3 AND (n < 200 OR r / n > 0.01) THEN 'replacement_ratio' WHEN k >= 3 AND (n < 200 OR k / n > 0.005) THEN 'control_ratio' WHEN u >= 3 AND (n < 200 OR u / n > 0.15) THEN 'readable_ratio' ELSE 'ok' END AS verdict,
     n >= 10 AND regexp_matches(t, '\\S') AS valid FROM c""",
 )
 def text_quality_verdict(spark, sf_dir):
     t = F.col("text")
     k = F.col("doc_id") % 9
     with_tail = lambda tail: F.concat(t, F.lit(tail))
-    body = F.when(k == 0, F.col("lang")).when(k == 1, with_tail("�" * 3)).when(k == 2, with_tail("\x01\x02\x03")).when(k == 3, with_tail("\x7f" * 3)).otherwise(t)
+    body = F.when(k == 0, F.col("lang")).when(k == 1, with_tail("�" * 3)).when(k == 2, with_tail("\x01\x02\x03")).when(k == 3, with_tail("\x7f" * 3)).when(k == 4, F.concat(F.lit("cf-please-wait "), t)).when(k == 5, "").otherwise(t)
     d = load(spark, sf_dir, "documents").select("doc_id", body.alias("t"))
     return d.select("doc_id", K.text_verdict(F.col("t")).alias("verdict"), K.valid_content(F.col("t")).alias("valid"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,12 @@ from .registry import query
 
 
 def _folder(spark) -> str:
-    """A fresh folder that driver and executors share; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+    """A fresh folder that driver and executors share; a local one only where none is set and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -22,7 +27,7 @@ def _events(spark, sf_dir):
     return S.event_stream(spark, sf_dir)
 
 
-@query("stream_tumbling", "2.14 ST5", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("stream_tumbling", "2.14", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
     out = S.run_to_table(S.tumbling(_events(spark, sf_dir), "1 hour", "10 minutes", by="event_type"), _folder(spark))
     return out.withColumn("total", F.round("total", 4))

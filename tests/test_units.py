@@ -138,7 +138,7 @@ def test_cleaning():
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("nine char", "too_short"), ("contains \x00 null bytes here", "null_bytes"), ("x" * 97 + "�" * 3, "replacement_ratio"), ("x" * 60 + "\x01\x02\x03", "control_ratio"), ("Just a moment... please wait", "challenge"), ("plain and readable text", "ok"), (None, "too_short"), ("x" * 1000 + "�" * 3, "ok")],
+    [("nine char", "too_short"), ("contains \x00 null bytes here", "null_bytes"), ("x" * 97 + "�" * 3, "replacement_ratio"), ("x" * 60 + "\x01\x02\x03", "control_ratio"), ("Just a moment... please wait", "ok"), ("see /CDN-CGI/challenge-platform/ now", "challenge"), ("the captcha says: access denied", "ok"), ("<title>Just a moment</title> checking your browser", "challenge"), ("plain and readable text", "ok"), (None, "empty"), ("", "empty"), ("x" * 1000 + "�" * 3, "ok")],
 )
 def test_text_quality(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
@@ -229,6 +229,21 @@ def test_bad_owner_fails(spark):
         V.cast_owner(spark.createDataFrame([("x",)], "user_id string")).collect()
 
 
+def test_plan_problems_of_long_chains(spark):
+    """No step of a chain is a cycle, however long the chain."""
+    steps = spark.createDataFrame([(k, [k - 1] if k else []) for k in range(12)] + [(100, [101]), (101, [100])], "id long, deps array<long>")
+    got = G.plan_problems(steps)
+    assert {(r.problem, r.id) for r in got.collect()} == {("cycle", 100), ("cycle", 101)}
+
+
+def test_unique_names(spark):
+    taken = ["A", "a 2", "a 3", "a 5", "b 2", "x 02", "x", "Long name!", "Long nam 2", *(f"n {k}" for k in range(2, 12)), "n", "m", *(f"m {k}" for k in range(2, 100_010))]
+    names = spark.createDataFrame([(t,) for t in taken], "name string")
+    wanted = spark.createDataFrame([(w,) for w in ("a", "b", "X", "new", "Long name!!", "N", "m")], "wanted string")
+    got = {r.wanted: r.name for r in V.unique_name(names, wanted, longest=10).collect()}
+    assert got == {"a": "a 4", "b": "b", "X": "X 2", "new": "new", "Long name!!": "Long nam 3", "N": "N 12", "m": "m 100010"}
+
+
 def test_plan_problems(spark):
     schema = "id string, deps array<string>"
     assert {(r.problem, r.id) for r in G.plan_problems(spark.createDataFrame([("a", ["b"]), ("b", ["a"]), ("c", ["a"]), ("d", []), ("d", ["z"])], schema)).collect()} == {("cycle", "a"), ("cycle", "b"), ("cycle", "c"), ("duplicate", "d"), ("unknown dependency", "d")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,22 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
     ("https://", "http://"),
 )
+#: Entire public licence texts, one file for each, named by its identifier.
+TEXTS = Path(__file__).with_name("license_texts")
+#: What follows this line in a licence text tells how to apply it, and is often left out.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """Identifier and text of each file of ``TEXTS``, and its terms alone where an appendix follows them."""
+    found = []
+    for file in sorted(TEXTS.glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        terms, end, _ = text.partition(TERMS_END)
+        found += [(file.stem, text), *([(file.stem, terms + end), (file.stem, terms)] if end else [])]
+    return tuple(found)
+
+
 #: Public licence texts and notices, as identifier and text without copyright lines.
 _MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 _BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
@@ -60,9 +78,10 @@ LICENSES = (
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    *whole_texts(),
 )
-#: A line that states a copyright holder: the word or sign, then a year or a sign.
-COPYRIGHT_LINE = r"(?m)^[^\n]*(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[12][0-9]{3})[^\n]*$"
+#: A line that states a copyright holder: the word or sign, then a year (or a place for one) or a sign.
+COPYRIGHT_LINE = r"(?m)^[^\n]*(?:copyright|\(c\)|©)[ \t:,<({\[]*(?:\(c\)|©|[12][0-9]{3}|year|yyyy)[^\n]*$"
 RESERVED_LINE = r"(?m)^[^\nA-Za-z0-9]*all rights reserved[^\nA-Za-z0-9]*$"
 PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 

@@ -7,6 +7,7 @@ import re
 import sys
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -665,6 +666,22 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs_df(spark).limit(0)).count() == 0
 
 
+def test_entire_licenses(spark, tmp_path):
+    whole = dict(licenses.LICENSES)
+    apache, gpl = ((licenses.TEXTS / f"{k}.txt").read_text() for k in ("Apache-2.0", "GPL-3.0"))
+    assert whole["Apache-2.0"] and len(licenses.whole_texts()) >= 13
+    texts = [apache, gpl, apache.partition(licenses.TERMS_END)[0], "Copyright: 2020 Jane Doe\nCopyright <YEAR> X\n" + gpl.upper(), "  " + gpl.replace("\n", "\n * "), gpl[:-400] + "x", *(t for _, t in licenses.whole_texts())]
+    want = ["Apache-2.0", "GPL-3.0", "Apache-2.0", "GPL-3.0", "GPL-3.0", None, *(k for k, _ in licenses.whole_texts())]
+    df = docs_df(spark, texts)
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert [got[k].license for k in range(len(texts))] == want
+    con = duckdb.connect()
+    df.select("doc_id", "text").write.parquet(f"file://{tmp_path}/d.parquet")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet/*.parquet'")
+    rows = con.execute(f"SELECT doc_id, digest, license, notices FROM ({queries.ORACLES['op5_license_digests']})").fetchall()
+    assert sorted(rows, key=lambda r: r[0]) == sorted((tuple(got[k][c] for c in ("doc_id", "digest", "license", "notices")) for k in got), key=lambda r: r[0])
+
+
 def test_compaction(spark):
     df = docs_df(spark, TEXTS * 20, **{k: v for k, v in CLASHING.items()}).withColumn("shard", F.lit("mine")).repartition(8)
     path = shared_dir(spark, "s")

@@ -135,7 +135,8 @@ def workbook_rows(content: bytes) -> Iterator[tuple[str, int, str]]:
             yield sheet, row, prefix + text
 
 
-def _from_files(spark: SparkSession, path: str, pattern: str, read, schema: str) -> DataFrame:
+def parsed(contents: DataFrame, read, schema: str) -> DataFrame:
+    """The rows that ``read`` finds in each of ``path, content``, after the path."""
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,16 +146,30 @@ def _from_files(spark: SparkSession, path: str, pattern: str, read, schema: str)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInArrow(run, schema)
+    return contents.select("path", "content").mapInArrow(run, schema)
+
+
+def contents_of(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+
+
+def parsed_rows(contents: DataFrame) -> DataFrame:
+    """``path, sheet, row, text`` of workbooks."""
+    return parsed(contents, workbook_rows, "path string, sheet string, row long, text string")
+
+
+def parsed_cells(contents: DataFrame) -> DataFrame:
+    """``path, sheet, row, cell, value`` of workbooks; ``text`` is ``sheet cell: value``."""
+    cells = parsed(contents, workbook_cells, "path string, sheet string, row long, cell string, value string")
+    return cells.withColumn("text", F.concat("sheet", F.lit(" "), "cell", F.lit(": "), "value"))
 
 
 def read_workbook_rows(spark: SparkSession, path: str) -> DataFrame:
-    return _from_files(spark, path, "*.xlsx", workbook_rows, "path string, sheet string, row long, text string")
+    return parsed_rows(contents_of(spark, path, "*.xlsx"))
 
 
 def read_workbook_cells(spark: SparkSession, path: str) -> DataFrame:
-    """``text`` is ``sheet cell: value``."""
-    return _from_files(spark, path, "*.xlsx", workbook_cells, "path string, sheet string, row long, cell string, value string").withColumn("text", F.concat("sheet", F.lit(" "), "cell", F.lit(": "), "value"))
+    return parsed_cells(contents_of(spark, path, "*.xlsx"))
 
 
 def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -166,4 +181,4 @@ def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
         for k, page in enumerate(PdfReader(io.BytesIO(content)).pages):
             yield k + 1, page.extract_text() or ""
 
-    return _from_files(spark, path, "*.pdf", read, "path string, page long, text string")
+    return parsed(contents_of(spark, path, "*.pdf"), read, "path string, page long, text string")

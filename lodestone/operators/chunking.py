@@ -67,9 +67,12 @@ def split_units(text: str, separators: Sequence[str] = SEPARATORS, protect: bool
     if not separators:
         return [text]
     form = re.compile("|".join(re.escape(s) for s in sorted(separators, key=len, reverse=True)))
-    closed, out, start = protected_ranges(text) if protect else [], [], 0
+    closed, out, start, k = protected_ranges(text) if protect else [], [], 0, 0
     for m in form.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in closed):
+        # Both are in order, so ranges that end before this separator are passed for good.
+        while k < len(closed) and closed[k][1] <= m.start():
+            k += 1
+        if k == len(closed) or m.end() <= closed[k][0]:
             out.append(text[start : m.end()])
             start = m.end()
     return [*out, text[start:]] if start < len(text) else out

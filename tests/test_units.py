@@ -71,6 +71,62 @@ def test_splitting_loses_nothing(text, protect):
     assert "".join(C.split_units(text, protect=protect)) == text
 
 
+def plain_units(text, separators=C.SEPARATORS, protect=False):
+    """The splitter one character at a time."""
+    shut = {k for a, b in (C.protected_ranges(text) if protect else []) for k in range(a, b)}
+    units, start, at = [], 0, 0
+    while at < len(text):
+        sep = next((s for s in sorted(separators, key=len, reverse=True) if text.startswith(s, at)), None)
+        at += len(sep or "x")
+        if sep and not shut & set(range(at - len(sep), at)):
+            units.append(text[start:at])
+            start = at
+    return units + [text[start:]] * (start < len(text))
+
+
+def plain_groups(units, size, overlap, length):
+    """Packing from its definition: bounds of each group by sums over slices."""
+    n, out, start, at = [length(u) for u in units], [], 0, 0
+    while at < len(units):
+        end = at + 1
+        while end < len(units) and sum(n[start : end + 1]) <= size:
+            end += 1
+        out.append(units[start:end])
+        carry = next(c for c in range(start, end + 1) if sum(n[c:end]) <= overlap)
+        start = carry if end < len(units) and sum(n[carry : end + 1]) <= size else end
+        at = end
+    return out
+
+
+@given(st.text(alphabet="ab. ,\n$`|", max_size=80), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_splitter_equals_brute_force(text, protect):
+    assert C.split_units(text, protect=protect) == plain_units(text, protect=protect)
+
+
+@given(st.lists(st.integers(0, 15), max_size=30), st.integers(1, 12), st.integers(0, 11))
+@settings(max_examples=300, deadline=None)
+def test_packing_equals_brute_force(units, size, overlap):
+    assert C.pack_units(units, size, min(overlap, size - 1), lambda n: n) == plain_groups(units, size, min(overlap, size - 1), lambda n: n)
+
+
+@pytest.mark.parametrize(("name", "size", "overlap"), [("chunk_recursive", 500, 50), ("chunk_token_packing", 128, 16)])
+def test_chunk_queries_equal_brute_force(spark, sf_dir, name, size, overlap):
+    from lodestone.plans.registry import QUERIES
+
+    want = set()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        if name == "chunk_recursive":
+            whole = [[u] if len(u) <= size or C.protected_ranges(u) else [u[k : k + size] for k in range(0, len(u), size)] for u in plain_units(r.text or "", protect=True)]
+            groups = plain_groups([x for u in whole for x in u], size, overlap, len)
+        else:
+            groups = plain_groups(plain_units(r.text or ""), size, overlap, lambda u: len(u) // 4)
+        chunks = [c for g in groups if (c := "".join(g).strip())]
+        want |= {(r.doc_id, k, c) for k, c in enumerate(chunks)}
+    got = [tuple(r) for r in QUERIES[name](spark, sf_dir).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_token_packing_moves_on():
     assert C.pack_units([8, 2, 9], 10, 3, lambda n: n) == [[8, 2], [9]]
     assert C.pack_units([4, 3, 3, 4], 10, 3, lambda n: n) == [[4, 3, 3], [3, 4]]

@@ -89,6 +89,28 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    digests = sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_top_k": op2_exact_top_k,
@@ -100,6 +122,9 @@ QUERIES = {
     "op6_compact_shards": op6_compact_shards,
     "op7_mix_sources": op7_mix_sources,
     "op8_pack_windows": op8_pack_windows,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_whitening": op12_whitening,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 
@@ -171,4 +196,15 @@ def _op7_sql() -> str:
     SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM c"""
 
 
-ORACLES: dict[str, str] = {"op2_exact_top_k": _op2_sql(), "op5_license_digests": _op5_sql(), "op7_mix_sources": _op7_sql()}
+def _op11_sql() -> str:
+    draw = lambda k: f"('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), {8 * k - 7}, 8))::BIGINT"
+    return f"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens, {draw(1)} AS h1, {draw(2)} AS h2, {draw(3)} AS h3, {draw(4)} AS h4 FROM documents),
+    n AS (SELECT *, len(tokens)::BIGINT AS n FROM t), c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM n),
+    p AS (SELECT *, coalesce(array_to_string(tokens[1:a], ''), '') AS prefix, coalesce(array_to_string(tokens[a + 1:b], ''), '') AS middle, coalesce(array_to_string(tokens[b + 1:n], ''), '') AS suffix,
+          CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
+ORACLES: dict[str, str] = {"op2_exact_top_k": _op2_sql(), "op5_license_digests": _op5_sql(), "op7_mix_sources": _op7_sql(), "op11_fill_in_middle": _op11_sql()}

@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import ROW, ids_side, materialize, numbered, prepare
+from .workspace import ROW, discard, ids_side, latest, materialize, numbered, prepare
 
 #: Bytes of a suffix that its key stands for.  A window of ``length`` bytes holds ``length - HEAD + 1`` such suffixes.
 HEAD = 128
 #: Starts of windows that are looked at together; their numbers fill the low bits of what minima are taken of.
 BLOCK_BITS = 18
 _MULTIPLIERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-_SUFFIX = f"key long, ctx long, n int, {ROW} long, start int, windows int"
+#: Windows of a run whose suffix lies equally far in them, to this many bytes, are compared together first.
+STEP = 32
+#: A run's place in one number: its first window's start, the number of its windows, and how far its suffix is from the start.
+PLACE = "shiftleft(cast(start as long), 32) + shiftleft(cast(windows as long), 16) + cast(ahead as long)"
 
 
 class Rolling:
@@ -86,8 +89,8 @@ class Sampler:
     """
 
     def __init__(self, length: int):
-        if length <= HEAD:
-            raise ValueError(f"repeats must be longer than {HEAD} bytes")
+        if not HEAD + STEP <= length < 1 << 15:
+            raise ValueError(f"repeats have {HEAD + STEP} to {(1 << 15) - 1} bytes")
         self.length, size = length, (1 << BLOCK_BITS) + 2 * length + 1
         self.order, self.check = Rolling(11, size), Rolling(13, size)
         self.mask = np.uint64((1 << BLOCK_BITS + 1) - 1)
@@ -101,7 +104,7 @@ class Sampler:
         return np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
 
     def runs(self, data: np.ndarray, valid: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """``key, ctx, start, windows`` of the runs of each block of starts."""
+        """``key, ctx, start, windows, ahead`` of the runs of each block of starts; the suffix is ``ahead`` of the start."""
         for first in range(0, len(data) - self.length + 1, 1 << BLOCK_BITS):
             end = min(first + (1 << BLOCK_BITS), len(data) - self.length + 1)
             here = np.flatnonzero(valid[first:end])
@@ -119,7 +122,7 @@ class Sampler:
             windows = np.diff(at, append=len(here))
             shape = (windows << 20 | anchor - start).astype(np.uint64)
             ctx = mixed(self.check.ranges(checks, start, start + windows - 1 + self.length) ^ mixed(shape))
-            yield heads[anchor].view(np.int64), ctx.view(np.int64), start + first, windows
+            yield heads[anchor].view(np.int64), ctx.view(np.int64), start + first, windows, anchor - start
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,26 +134,22 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _collapsed(key: np.ndarray, ctx: np.ndarray, start: np.ndarray, windows: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """One row for equal runs of a text, and rows without a key for the spans that these cover: ``keyed, key, ctx, n, start, windows, doc``."""
+def _collapsed(key: np.ndarray, ctx: np.ndarray, start: np.ndarray, windows: np.ndarray, ahead: np.ndarray, doc: np.ndarray, length: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """One row for equal runs of a text (``key, ctx, n, start, windows, ahead, doc``), and the spans that these cover (``start, windows, doc``)."""
     order = np.lexsort((start, ctx, key, doc))
-    key, ctx, start, windows, doc = (x[order] for x in (key, ctx, start, windows, doc))
+    key, ctx, start, windows, ahead, doc = (x[order] for x in (key, ctx, start, windows, ahead, doc))
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     n = np.diff(at, append=len(key))
-    many = np.repeat(n > 1, n)
-    by_place = np.argsort(start[many], kind="stable")
-    s, w, d = (x[many][by_place] for x in (start, windows, doc))
-    s, e, place = merged(s, s + w - 1 + length, d)
-    none = np.zeros(len(s), np.int64)
-    keyed = np.concatenate((np.ones(len(at), bool), np.zeros(len(s), bool)))
-    rows = [(key[at], none), (ctx[at], none), (n, none), (start[at], s), (windows[at], e - s - length + 1), (doc[at], d[place])]
-    return (keyed, *map(np.concatenate, rows))
+    many = np.flatnonzero(np.repeat(n > 1, n))
+    many = many[np.argsort(start[many], kind="stable")]
+    s, e, place = merged(start[many], start[many] + windows[many] - 1 + length, doc[many])
+    return (key[at], ctx[at], n, start[at], windows[at], ahead[at], doc[at]), (s, e - s - length + 1, doc[many][place])
 
 
 def suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """The sparse suffixes of ``texts`` (``ROW, _text`` binary, ``batch``), some 2 for ``length - HEAD`` bytes: ``key, ctx, n, ROW, start, windows, batch``.
+    """The sparse suffixes of ``texts`` (``ROW, _text`` binary, ``batch``), some 2 for ``length - HEAD`` bytes: ``key, ctx, n, ROW, start, windows, ahead, batch``.
 
     Equal runs within a text are one row with their number; what they cover is told by rows with a null key.
     """
@@ -163,90 +162,171 @@ def suffixes(texts: DataFrame, length: int) -> DataFrame:
             if len(data) < length:
                 continue
             rows, batch = b.column(ROW).to_numpy(), b.column("batch").to_numpy()
-            for key, ctx, start, windows in sampler.runs(data, sampler.valid(offsets, len(data))):
+
+            def told(key, ctx, n, start, windows, ahead, doc):  # noqa: ANN001, ANN202, B023
+                small = (pa.array(x.astype(np.int32)) for x in (n, start - offsets[doc], windows, ahead))  # noqa: B023
+                n, start, windows, ahead = small
+                return pa.RecordBatch.from_arrays([key, ctx, n, pa.array(rows[doc]), start, windows, ahead, pa.array(batch[doc])], ["key", "ctx", "n", ROW, "start", "windows", "ahead", "batch"])  # noqa: B023
+
+            for key, ctx, start, windows, ahead in sampler.runs(data, sampler.valid(offsets, len(data))):
                 doc = np.searchsorted(offsets, start, side="right") - 1
-                keyed, key, ctx, n, start, windows, doc = _collapsed(key, ctx, start, windows, doc, length)
-                at = (start - offsets[doc]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, mask=~keyed), pa.array(ctx, mask=~keyed), pa.array(n.astype(np.int32)), pa.array(rows[doc]), pa.array(at), pa.array(windows.astype(np.int32)), pa.array(batch[doc])],
-                    ["key", "ctx", "n", ROW, "start", "windows", "batch"],
-                )
+                (key, ctx, *rest), (start, windows, doc) = _collapsed(key, ctx, start, windows, ahead, doc, length)
+                yield told(pa.array(key), pa.array(ctx), *rest)
+                if len(start):
+                    none, zero = pa.nulls(len(start), pa.int64()), np.zeros(len(start), np.int64)
+                    yield told(none, none, zero, start, windows, zero, doc)
 
-    return texts.mapInArrow(run, f"{_SUFFIX}, batch int")
+    return texts.mapInArrow(run, f"key long, ctx long, n int, {ROW} long, start int, windows int, ahead int, batch int")
 
 
 class SuffixFamily:
     """Suffix arrays of sizes 1, 2, 4, ... batches; each is a table of sorted runs in the shared folder.
 
-    An array holds a row for each distinct run: ``key, ctx``, the number ``n`` of its places and the first of them.  It is sorted by the
+    An array holds a row for each distinct run: ``key, ctx``, the number ``n`` of its places and one of them.  It is sorted by the
     digests of the suffixes' heads and of their runs: equal heads are neighbours in any such order, and matches shorter than a head aren't looked for.
-    :meth:`add` sorts a new batch, scans it with each array for equal heads, and merges arrays of equal size until none are, so a
+    :meth:`add` merges arrays of equal size until none are, sorts the new batch and scans it with each array for equal heads, so a
     suffix is rewritten as often as the logarithm of the number of batches.  Earlier texts aren't read.
     """
 
     def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, DataFrame, str]] = []
         self.spans: list[DataFrame] = []
         self.edges: list[DataFrame] = []
 
-    def _sorted(self, runs: DataFrame, name: str) -> DataFrame:
-        once = runs.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-        return materialize(once.sortWithinPartitions("key", "ctx"), name)
+    def _array(self, runs: DataFrame, size: int) -> tuple[int, DataFrame, str]:
+        # The two parts of a place are taken from one row: both are what the group meets first.
+        once = runs.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.first(ROW).alias(ROW), F.first("place").alias("place"))
+        return size, materialize(once.sortWithinPartitions("key", "ctx"), "suffix-array"), latest()
+
+    def _merge(self) -> None:
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, a, at), (_, b, old) = self.levels.pop(), self.levels.pop()
+            self.levels.append(self._array(a.unionByName(b), 2 * size))
+            discard(a.sparkSession, [at, old])
 
     def add(self, batch: DataFrame) -> None:
         """Take a batch of :func:`suffixes`.  Found spans and the edges of matches join ``spans`` and ``edges``."""
-        place = F.struct(ROW, "start", "windows")
-        runs = batch.where("key is not null")
-        new = self._sorted(runs.select("key", "ctx", F.col("n").cast("long").alias("n"), place.alias("first")), "suffix-array")
-        both = new.withColumn("fresh", F.lit(True))
-        for _, level in self.levels:
-            both = both.unionByName(level.join(new.select("key").distinct(), "key", "left_semi").withColumn("fresh", F.lit(False)))
+        self._merge()
+        runs = batch.where("key is not null").select("key", "ctx", F.col("n").cast("long").alias("n"), ROW, F.expr(PLACE).alias("place"))
+        self.levels.append(self._array(runs, 1))
+        new = self.levels[-1][1]
+        heads = lambda rows: rows.groupBy("key").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high"), F.sum("n").alias("places"))
+        own = heads(new)
+        both, met = new.withColumn("fresh", F.lit(True)), own
+        if len(self.levels) > 1:
+            old = self.levels[0][1]
+            for _, level, _ in self.levels[1:-1]:
+                old = old.unionByName(level)
+            old = materialize(old.join(own.select("key"), "key", "left_semi"), "suffix-scan")
+            both, met = both.unionByName(old.withColumn("fresh", F.lit(False))), own.unionByName(heads(old))
         # Heads with two places or more; an edge is one that is followed or preceded by different bytes.
-        heads = both.groupBy("key").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high"), F.sum("n").alias("places"))
-        heads = heads.where("places > 1").select("key", (F.col("low") != F.col("high")).alias("edge"))
-        met = materialize(both.join(heads, "key"), "suffix-matches")
-        self.edges.append(met.where("edge").select("first.*"))
-        whole = met.groupBy("key", "ctx").agg(F.sum("n").alias("places")).where("places > 1").select("key", "ctx")
-        members = runs.select("key", "ctx", place.alias("first")).unionByName(met.where("not fresh and n = 1").select("key", "ctx", "first"))
-        self.spans.append(materialize(members.join(whole, ["key", "ctx"], "left_semi").select("first.*"), "suffix-spans"))
-        self.spans.append(batch.where("key is null").select(ROW, "start", "windows"))
-        size = 1
-        while self.levels and self.levels[-1][0] == size:
-            new = self._sorted(self.levels.pop()[1].unionByName(new), "suffix-array")
-            size *= 2
-        self.levels.append((size, new))
-
-
-def _edge_windows(texts: DataFrame, edges: DataFrame, length: int) -> DataFrame:
-    """``a, b, ROW, start``: two hashes of each window of the edges' runs; ``texts`` has ``ROW, _text``."""
-    by_row = edges.distinct().groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("start", "windows"))).alias("_runs"))
+        met = met.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("places").alias("places")).where("places > 1")
+        met = ids_side(materialize(met.select("key", (F.col("low") != F.col("high")).alias("edge")), "suffix-heads"))
+        found = materialize(both.join(met, "key"), "suffix-matches")
+        self.edges.append(materialize(found.where("edge").select(ROW, "place"), "suffix-edges"))
+        whole = found.groupBy("key", "ctx").agg(F.sum("n").alias("places"), F.sum(F.when(F.col("fresh"), F.col("n"))).alias("mine")).where("places > 1 and mine > 0")
+        whole = materialize(whole, "suffix-whole")
+        # Runs with one place in this batch, or in an array until now, are told by their row; those with more by their places.
+        single = found.where("n = 1").join(ids_side(whole.select("key", "ctx")), ["key", "ctx"], "left_semi").select(ROW, "place")
+        copies = runs.join(ids_side(whole.where("mine > 1").select("key", "ctx")), ["key", "ctx"], "left_semi").select(ROW, "place")
+        start, windows = F.shiftright("place", 32).cast("int"), F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+        told = single.unionByName(copies).select(ROW, start.alias("start"), windows.alias("windows"))
+        self.spans.append(materialize(told.unionByName(batch.where("key is null").select(ROW, "start", "windows")), "suffix-spans"))
+
+
+def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Pieces of the data laid one after the other, a bounded number of bytes at a time: which, where each begins, and the bytes."""
+    total, low = np.cumsum(size), 0
+    while low < len(begin):
+        high = max(low + 1, int(np.searchsorted(total, total[low] - size[low] + (1 << BLOCK_BITS), side="right")))
+        lead = total[low:high] - size[low:high] - (total[low] - size[low])
+        yield slice(low, high), lead, data[np.repeat(begin[low:high] - lead, size[low:high]) + np.arange(total[high - 1] - total[low] + size[low])]
+        low = high
+
+
+def _hashed(text: np.ndarray, hashes: tuple[Rolling, Rolling], *ranges: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """128 bits, as two longs, for each of some lists of (start, end)."""
+    sums = [h.prefixes(text) for h in hashes]
+    return [mixed(h.ranges(p, s, e)).view(np.int64) for s, e in ranges for h, p in zip(hashes, sums, strict=True)]
+
+
+def _at_texts(texts: DataFrame, places: DataFrame, columns: list[str], work, schema: str) -> DataFrame:  # noqa: ANN001
+    """``work(data, row number of each place, byte where its text begins, *columns)`` for the texts (``ROW, _text``) of places, in batches."""
+    wanted = ids_side(materialize(places.select(ROW).distinct(), "place-rows"))
+    by_row = places.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = (1 << BLOCK_BITS) + 2 * length
-        first, second = Rolling(17, size), Rolling(19, size)
         for b in batches:
             data, offsets = _texts(b.column("_text"))
-            runs = b.column("_runs")
-            start, windows = (runs.flatten().field(k).to_numpy().astype(np.int64) for k in ("start", "windows"))
-            doc = np.repeat(np.arange(b.num_rows), runs.value_lengths().to_numpy())
-            rows, begin = b.column(ROW).to_numpy()[doc], start + offsets[doc]
-            cuts = np.searchsorted(np.cumsum(windows + length), np.arange(1 << BLOCK_BITS, int((windows + length).sum()) + (1 << BLOCK_BITS), 1 << BLOCK_BITS), side="right")
-            low = 0
-            for high in [*np.unique(cuts).tolist(), len(begin)]:
-                if high <= low:
-                    continue
-                s, w, r, at = begin[low:high], windows[low:high], rows[low:high], start[low:high]
-                low = high
-                pieces = w - 1 + length
-                lead = np.cumsum(pieces) - pieces
-                inner = np.arange(pieces.sum()) - np.repeat(lead, pieces)
-                text = data[np.repeat(s, pieces) + inner]
-                keep = np.flatnonzero(inner < np.repeat(w, pieces))
-                run_of = np.repeat(np.arange(len(s)), pieces)[keep]
-                hashed = [mixed(h.ranges(h.prefixes(text), keep, keep + length)).view(np.int64) for h in (first, second)]
-                yield pa.RecordBatch.from_arrays([pa.array(hashed[0]), pa.array(hashed[1]), pa.array(r[run_of]), pa.array((at[run_of] + inner[keep]).astype(np.int32))], ["a", "b", ROW, "start"])
-
-    return texts.join(by_row, ROW).mapInArrow(run, f"a long, b long, {ROW} long, start int")
+            listed = b.column("_places")
+            doc = np.repeat(np.arange(b.num_rows), listed.value_lengths().to_numpy())
+            yield from work(data, b.column(ROW).to_numpy()[doc], offsets[doc], *(listed.flatten().field(k).to_numpy().astype(np.int64) for k in range(len(columns))))
+
+    return texts.join(wanted, ROW, "left_semi").join(by_row, ROW).mapInArrow(run, schema)
+
+
+def _cells(texts: DataFrame, edges: DataFrame, length: int) -> DataFrame:
+    """The windows of the edges' runs by how far their suffix is ahead, ``STEP`` bytes to a cell: ``ROW, start, windows, a, b, c, d``.
+
+    ``a, b`` hash the bytes that all windows of a cell share: if these don't repeat, none of the windows does.  ``c, d`` hash all bytes of a
+    whole cell (null for a part of one): if these repeat, so do all its windows.
+    """
+
+    def work(data, rows, base, place):  # noqa: ANN001, ANN202
+        hashes = Rolling(17, (1 << BLOCK_BITS) + 3 * length), Rolling(19, (1 << BLOCK_BITS) + 3 * length)
+        begin, windows, ahead = place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
+        for part, lead, text in _gathered(data, begin + base, windows - 1 + length):
+            s, w, high, r = begin[part], windows[part], ahead[part], rows[part]
+            low = high - w + 1
+            number = high // STEP - low // STEP + 1
+            run = np.repeat(np.arange(len(s)), number)
+            cell = low[run] // STEP + np.arange(len(run)) - np.repeat(np.cumsum(number) - number, number)
+            near, far = np.maximum(low[run], cell * STEP), np.minimum(high[run], cell * STEP + STEP - 1)
+            anchor = (lead + high)[run]
+            shared = anchor - cell * STEP
+            full = far - near == STEP - 1
+            around = np.where(full, shared - STEP + 1, 0)
+            a, b, c, d = _hashed(text, hashes, (shared, shared + length - STEP + 1), (around, np.where(full, shared + length, 0)))
+            start, n = (s + high)[run] - far, far - near + 1
+            yield pa.RecordBatch.from_arrays([pa.array(r[run]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(a), pa.array(b), pa.array(c, mask=~full), pa.array(d, mask=~full)], [ROW, "start", "windows", "a", "b", "c", "d"])
+
+    return _at_texts(texts, edges, ["place"], work, f"{ROW} long, start int, windows int, a long, b long, c long, d long")
+
+
+def _windows(texts: DataFrame, cells: DataFrame, length: int) -> DataFrame:
+    """``ROW, start, a, b``: each window of the cells with its hashes."""
+
+    def work(data, rows, base, begin, windows):  # noqa: ANN001, ANN202
+        hashes = Rolling(17, (1 << BLOCK_BITS) + 3 * length), Rolling(19, (1 << BLOCK_BITS) + 3 * length)
+        for part, lead, text in _gathered(data, begin + base, windows - 1 + length):
+            w = windows[part]
+            cell = np.repeat(np.arange(len(w)), w)
+            inner = np.arange(len(cell)) - np.repeat(np.cumsum(w) - w, w)
+            at = lead[cell] + inner
+            a, b = _hashed(text, hashes, (at, at + length))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[part][cell]), pa.array((begin[part][cell] + inner).astype(np.int32)), pa.array(a), pa.array(b)], [ROW, "start", "a", "b"])
+
+    return _at_texts(texts, cells, ["start", "windows"], work, f"{ROW} long, start int, a long, b long")
+
+
+def _repeated(rows: DataFrame, *key: str) -> DataFrame:
+    """The keys that two rows or more have."""
+    return rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key)
+
+
+def edge_spans(texts: DataFrame, edges: DataFrame, length: int) -> DataFrame:
+    """``ROW, start, windows``: the windows of the runs in ``edges`` (``ROW, place``) that repeat, first by cells and then, where a match begins or ends within one, each by itself."""
+    cells = materialize(_cells(texts, edges, length), "edge-cells")
+    some = materialize(cells.join(_repeated(cells, "a", "b"), ["a", "b"], "left_semi"), "edge-cells")
+    whole = _repeated(some.where("c is not null"), "c", "d").withColumn("_whole", F.lit(True))
+    some = materialize(some.join(whole, ["c", "d"], "left"), "edge-cells")
+    part = some.where("_whole is null")
+    # Windows of cells that repeat as a whole are looked at for their partners' sake, once for each such cell.
+    partners = some.where("_whole").join(part.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    one = partners.groupBy("c", "d").agg(*(F.first(c).alias(c) for c in (ROW, "start", "windows"))).drop("c", "d")
+    windows = materialize(_windows(texts, materialize(part.select(ROW, "start", "windows").unionByName(one), "edge-parts"), length), "edge-windows")
+    single = windows.join(_repeated(windows, "a", "b"), ["a", "b"], "left_semi").select(ROW, "start", F.lit(1).alias("windows"))
+    return some.where("_whole").select(ROW, "start", "windows").unionByName(single)
 
 
 def find_repeats(rows: DataFrame, *, text_col: str = "text", length: int = 400, batches: int = 4) -> DataFrame:
@@ -254,25 +334,21 @@ def find_repeats(rows: DataFrame, *, text_col: str = "text", length: int = 400,
 
     A passage is repeated where ``length`` bytes start elsewhere too, in the same text or another.  Texts come in
     ``batches`` arrivals, each of which is matched with all before it.  Runs of windows that are equal as a whole are found by their digests;
-    where passages that share a head end or differ, each window of the runs at these edges is compared by 128 bits of hash.
+    where passages that share a head end or differ, the windows of the runs at these edges are compared by 128 bits of hash.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = rows.where(F.octet_length(text_col) >= length).select(ROW, text.alias("_text"))
     arrival = F.pmod(F.xxhash64(ROW), F.lit(batches)).cast("int")
     sampled = materialize(suffixes(texts.withColumn("batch", arrival), length), "suffixes")
-    family = SuffixFamily()
+    family, since = SuffixFamily(), latest()
     for k in range(batches):
         family.add(sampled.where(F.col("batch") == k).drop("batch"))
-    edges = family.edges[0]
-    for e in family.edges[1:]:
-        edges = edges.unionByName(e)
+    edges, spans = family.edges[0], family.spans[0]
+    for e, s in zip(family.edges[1:], family.spans[1:], strict=True):
+        edges, spans = edges.unionByName(e), spans.unionByName(s)
     edges = materialize(edges.distinct(), "suffix-edges")
-    wanted = ids_side(materialize(edges.select(ROW).distinct(), "edge-rows"))
-    windows = materialize(_edge_windows(texts.join(wanted, ROW, "left_semi"), edges, length), "edge-windows")
-    twice = windows.groupBy("a", "b").count().where("count > 1").select("a", "b")
-    spans = windows.join(twice, ["a", "b"], "left_semi").select(ROW, "start", F.lit(1).alias("windows"))
-    for s in family.spans:
-        spans = spans.unionByName(s)
+    discard(rows.sparkSession, [since, *(path for _, _, path in family.levels)])
+    spans = spans.unionByName(edge_spans(texts, edges, length))
     return spans.groupBy(ROW).agg(F.collect_list(F.struct("start", "windows")).alias("_spans"))
 
 

@@ -58,8 +58,13 @@ def latest() -> str:
 
 def sweep(spark: SparkSession, since: int, keep: str | None = None) -> None:
     """Remove the tables written after the mark, but for ``keep``: call it when no result that reads them is needed."""
+    discard(spark, [x for x in _MADE[since:] if x != keep])
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
-    for path in [x for x in _MADE[since:] if x != keep]:
+    for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         _MADE.remove(path)

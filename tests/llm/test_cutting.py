@@ -227,5 +227,5 @@ def test_family_merges_geometrically(spark):
     for k in range(7):
         texts = spark.createDataFrame([(k * 10 + j, words(rng, 100).encode(), k) for j in range(3)], f"{repeats.ROW} long, _text binary, batch int")
         family.add(repeats.suffixes(texts, 400).drop("batch"))
-        sizes.append([size for size, _ in family.levels])
-    assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]]
+        sizes.append([size for size, *_ in family.levels])
+    assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1], [4, 1, 1], [4, 2, 1]]

@@ -318,8 +318,9 @@ def edge_spans(texts: DataFrame, edges: DataFrame, length: int) -> DataFrame:
     """``ROW, start, windows``: the windows of the runs in ``edges`` (``ROW, place``) that repeat, first by cells and then, where a match begins or ends within one, each by itself."""
     cells = materialize(_cells(texts, edges, length), "edge-cells")
     some = materialize(cells.join(_repeated(cells, "a", "b"), ["a", "b"], "left_semi"), "edge-cells")
-    whole = _repeated(some.where("c is not null"), "c", "d").withColumn("_whole", F.lit(True))
-    some = materialize(some.join(whole, ["c", "d"], "left"), "edge-cells")
+    full = some.where("c is not null")  # the others, which match none, stay where they are
+    whole = _repeated(full, "c", "d").withColumn("_whole", F.lit(True))
+    some = materialize(full.join(whole, ["c", "d"], "left").unionByName(some.where("c is null").withColumn("_whole", F.lit(None).cast("boolean"))), "edge-cells")
     part = some.where("_whole is null")
     # Windows of cells that repeat as a whole are looked at for their partners' sake, once for each such cell.
     partners = some.where("_whole").join(part.select("a", "b").distinct(), ["a", "b"], "left_semi")

@@ -6,6 +6,7 @@ import ast
 import json
 import operator
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -76,17 +77,26 @@ def canonical_json(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+_QUOTED = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+
+
 @F.pandas_udf(T.IntegerType())
 def json_depth(values: pd.Series) -> pd.Series:
-    def depth(x) -> int:  # noqa: ANN001
-        parts = x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
-        return max((1 + depth(p) for p in parts), default=1 if isinstance(x, dict | list) else 0)
+    """How deep arrays and objects are nested, 0 for a bare value; null where invalid.
+
+    Brackets outside texts are counted, so no depth is too great; of texts too deep for the parser only the brackets are checked.
+    """
 
     def one(s):  # noqa: ANN001, ANN202
         try:
-            return depth(json.loads(s))
+            json.loads(s)
+        except RecursionError:
+            pass
         except (TypeError, ValueError):
             return None
+        bare = _QUOTED.sub("", s)
+        depth = list(accumulate(1 if c in "[{" else -1 for c in bare if c in "[]{}"))
+        return max(depth, default=0) if not depth or (depth[-1] == 0 and min(depth) >= 0) else None
 
     return values.map(one).astype("Int32")
 
@@ -148,7 +158,8 @@ def seconds_between(a: Column, b: Column) -> Column:
 
 
 def safe_long(c: Column, default: int | None = None) -> Column:
-    return F.coalesce(c.cast("string").try_cast("double").try_cast("long"), F.lit(default).cast("long"))
+    text = c.cast("string")
+    return F.coalesce(text.try_cast("long"), text.try_cast("double").try_cast("long"), F.lit(default).cast("long"))
 
 
 def to_timestamp(c: Column) -> Column:

@@ -28,12 +28,20 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :], 0)
 
 
+def closest(x: np.ndarray, centres: np.ndarray, n: int = 1) -> np.ndarray:
+    """The places of the ``n`` nearest centres of each row, nearest first; a bounded number of distances is held."""
+    step = max(1, (8 << 20) // max(1, len(centres)))
+    parts = (squared(x[k : k + step], centres) for k in range(0, max(1, len(x)), step))
+    pick = (lambda d: d.argmin(1)[:, None]) if n == 1 else (lambda d: np.argsort(d, axis=1, kind="stable")[:, :n])
+    return np.concatenate([pick(d) for d in parts])
+
+
 def lloyd(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Centres of ``x`` by k-means; those that lose all their rows stay where they are."""
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = squared(x, centres).argmin(1)
+        near = closest(x, centres)[:, 0]
         n = np.bincount(near, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
@@ -75,19 +83,20 @@ class VectorIndex:
         sample = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, FIT_ROWS / n))).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
         told = sample.toPandas()
         x = np.stack(told["vector"].to_numpy()).astype(float)
-        self.centres = lloyd(x, lists or max(1, min(4096, round(math.sqrt(n)))))
-        near = squared(x, self.centres).argmin(1)
+        self.centres = lloyd(x, lists or max(1, min(2048, round(math.sqrt(n)))))
+        near = closest(x, self.centres)[:, 0]
         rest = x - self.centres[near]
         bounds = [(a, min(a + section, self.dim)) for a in range(0, self.dim, section)]
-        parts = pd.DataFrame({"part": np.repeat(np.arange(len(bounds)), len(rest)), "piece": [row for a, b in bounds for row in rest[:, a:b].tolist()]})
 
-        def book(part: pd.DataFrame) -> pd.DataFrame:
-            words = lloyd(np.stack(part["piece"].to_numpy()), CODEWORDS)
-            return pd.DataFrame({"part": part["part"].iloc[0], "word": np.arange(len(words)), "piece": words.tolist()})
+        def book(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for p in b.column("id").to_pylist():
+                    words = lloyd(rest[:, bounds[p][0] : bounds[p][1]], CODEWORDS)
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(words)), pa.array(list(words), pa.list_(pa.float64()))], ["part", "piece"])
 
-        # One task fits each section's codebook.
-        fitted = self.spark.createDataFrame(parts).groupBy("part").applyInPandas(book, "part long, word long, piece array<double>").toPandas()
-        self.books = [np.stack(fitted[fitted["part"] == p].sort_values("word")["piece"].to_numpy()) for p in range(len(bounds))]
+        # One task fits each section's codebook, from the sample that goes with it.
+        fitted = self.spark.range(0, len(bounds), 1, len(bounds)).mapInArrow(book, "part long, piece array<double>").toPandas()
+        self.books = [np.stack(fitted[fitted["part"] == p]["piece"].to_numpy()) for p in range(len(bounds))]
         self.probes = self._needed_probes(good, x[:TRIALS], k)
         return self
 
@@ -103,7 +112,7 @@ class VectorIndex:
             held = np.zeros((len(trials), 0)), np.zeros((len(trials), 0), np.int64)
             for b in batches:
                 x = _matrix(b.column("vector"))
-                d, at = np.hstack((held[0], squared(trials, x))), np.hstack((held[1], np.tile(squared(x, centres).argmin(1), (len(trials), 1))))
+                d, at = np.hstack((held[0], squared(trials, x))), np.hstack((held[1], np.tile(closest(x, centres)[:, 0], (len(trials), 1))))
                 top = np.argsort(d, axis=1, kind="stable")[:, :k]
                 held = np.take_along_axis(d, top, 1), np.take_along_axis(at, top, 1)
             width = held[0].shape[1]
@@ -126,10 +135,10 @@ class VectorIndex:
                 if set(b.column("vector").value_lengths().to_numpy()) != {dim}:
                     raise ValueError(f"vectors of this index have {dim} entries")
                 x = _matrix(b.column("vector"))
-                near = squared(x, centres).argmin(1)
+                near = closest(x, centres)[:, 0]
                 rest, at, codes = x - centres[near], 0, []
                 for words in books:
-                    codes.append(squared(rest[:, at : at + words.shape[1]], words).argmin(1).astype(np.uint8))
+                    codes.append(closest(rest[:, at : at + words.shape[1]], words)[:, 0].astype(np.uint8))
                     at += words.shape[1]
                 packed = np.stack(codes, 1).tobytes()
                 code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(books)), b.num_rows, [None, pa.py_buffer(packed)]).cast(pa.binary())
@@ -157,7 +166,7 @@ class VectorIndex:
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    near = np.argsort(squared(_matrix(b.column("vector")), centres), axis=1, kind="stable")[:, :wanted]
+                    near = closest(_matrix(b.column("vector")), centres, wanted)
                     at = pa.array(np.repeat(np.arange(b.num_rows), wanted))
                     yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("vector").take(at), pa.array(near.ravel().astype(np.int32))], ["query_id", "query", "list"])
 

@@ -1,16 +1,21 @@
-"""Queries over indexes that they build from the whole tables."""
+"""Queries over indexes, tables of files and sinks that they fill from the whole tables."""
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sparse_score
+from ..operators.filetable import FileTable
 from ..operators.textindex import TextIndex, prefix_terms
 from ..operators.vectorindex import VectorIndex
-from ..sources.tables import kb_documents, kb_embeddings
+from ..sources.tables import SQL_DOCS, kb_documents, kb_embeddings, load
+from ..streaming import streams as S
+from ..streaming.sinks import OnceSink, drain
 from .registry import query
 from .retrieval import TERMS
 from .streams import _folder
+from .versions import _LAST, BASE, CHANGES, _base, _changes
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
@@ -61,3 +66,34 @@ def vector_index_top_k(spark, sf_dir):
     index.add(rows.where(~first))
     asked = rows.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
     return index.search(asked, 10)
+
+
+@query("dml_merge_files", "M1 M2 M3 M4 M6 M22 M23", f"WITH {SQL_DOCS}, {BASE}, {CHANGES}, {_LAST} SELECT * FROM b WHERE doc_id NOT IN (SELECT doc_id FROM l) UNION ALL SELECT * FROM l")
+def dml_merge_files(spark, sf_dir):
+    """The merge of ``dml_merge_latest`` on a table of files, of which those without a changed key aren't touched."""
+    table = FileTable(spark, _folder(spark), ["doc_id"], file_rows=20_000)
+    table.create(_base(spark, sf_dir))
+    table.merge(_changes(spark, sf_dir), ordinal="o")
+    return table.read()
+
+
+@query("stream_exactly_once", "ST1 ST2 ST5", "SELECT event_id, user_id, event_type, round(value, 4) AS value FROM events")
+def stream_exactly_once(spark, sf_dir):
+    """Events that are delivered twice, over several batches of which the second dies after its write and is run again."""
+    events, folder = load(spark, sf_dir, "events"), _folder(spark)
+    wide = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    wide.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).repartitionByRange(6, "ts", "copy").write.parquet(f"{folder}/delivered")
+    stream = spark.readStream.schema(wide.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/delivered")
+    once = S.once(stream.select("event_id", "user_id", "event_type", "value", "ts"), ["event_id"], "365 days")
+
+    def die(batch: int) -> None:
+        if batch == 1:
+            raise RuntimeError("lost between write and commit")
+
+    try:
+        drain(once, OnceSink(spark, f"{folder}/sink", fail=die), f"{folder}/checkpoint")
+    except StreamingQueryException:
+        pass
+    sink = OnceSink(spark, f"{folder}/sink")
+    drain(once, sink, f"{folder}/checkpoint")
+    return sink.read(once.schema).select("event_id", "user_id", "event_type", F.round("value", 4).alias("value"))

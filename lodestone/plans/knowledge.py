@@ -363,9 +363,15 @@ def canonical_hashes(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", S.step_hash("step", F.col("props")).alias("digest"))
 
 
-@query("json_depths", "C21", "SELECT event_id, 1::INTEGER AS depth FROM events")
+_OPENED = "length(regexp_replace(regexp_replace(nested, '\"[^\"]*\"', '', 'g'), '[^\\[{]', '', 'g'))"
+
+
+@query("json_depths", "C21", f"WITH n AS (SELECT event_id, repeat('[', event_id::INTEGER % 7) || props || repeat(']', event_id::INTEGER % 7) AS nested FROM events) SELECT event_id, {_OPENED}::INTEGER AS depth FROM n")
 def json_depths(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", S.json_depth("props").alias("depth"))
+    """Each event's properties within none to six arrays; the twin counts the brackets that open, of which each is within the one before."""
+    k = (F.col("event_id") % 7).cast("int")
+    nested = F.concat(F.repeat(F.lit("["), k), "props", F.repeat(F.lit("]"), k))
+    return load(spark, sf_dir, "events").select("event_id", S.json_depth(nested).alias("depth"))
 
 
 @query("utf8_prefixes", "2.11 utf8", None)

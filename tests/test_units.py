@@ -257,6 +257,13 @@ def test_canonical_json(spark):
     df = spark.createDataFrame([('{"b": 1, "a": "é"}',), ("{",), (None,), ('{"a":{"b":[1,{"c":2}]}}',)], "j string")
     assert [r[0] for r in df.select(S.canonical_json("j")).collect()][:3] == ['{"a":"\\u00e9","b":1}', None, None]
     assert [r[0] for r in df.select(S.json_depth("j")).collect()] == [1, None, None, 4]
+    deep = spark.createDataFrame([("[" * 5000 + "]" * 5000,), ("[" * 5000 + "}" * 4999,), ('"[[" ',), ('["\\"[{", {"a]": [[]]}, "\\\\"]',), ("7",)], "j string")
+    assert [r[0] for r in deep.select(S.json_depth("j")).collect()] == [5000, None, 0, 4, 0]
+
+
+def test_safe_long_is_exact(spark):
+    df = spark.createDataFrame([("9007199254740993",), ("-9223372036854775808",), ("1e3",), ("12.7",), ("x",), (None,)], "s string")
+    assert [r[0] for r in df.select(S.safe_long(F.col("s"))).collect()] == [9007199254740993, -9223372036854775808, 1000, 12, None, None]
 
 
 @pytest.mark.parametrize(("text", "n", "want"), [("héllo", 2, "h"), ("héllo", 3, "hé"), ("abc", 9, "abc"), ("😀x", 3, "")])

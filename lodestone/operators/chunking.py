@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 
 #: Where a text may be split, coarse to fine.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", ". ", ", ", " ")
-#: What is never split.
-PROTECTED = (r"```.*?```", r"\$\$.*?\$\$", r"\$[^$\n]+\$", r"!\[[^\]]*\]\([^)]*\)", r"\[[^\]]*\]\([^)]*\)", r"(?m)^\|.*\|[ \t]*$")
+#: Patterns of what is never split (code, displayed and inline formulas, images, links).  Table rows may be split.
+PROTECTED = (
+    r"```[\s\S]*?```",
+    r"\$\$[\s\S]*?\$\$",
+    r"\$[^$\n]+\$",
+    r"!\[.*?\]\(.*?\)",
+    r"\[.*?\]\(.*?\)",
+)
 
 
 def check_chunk_params(size: int | None, overlap: int, by_tokens: bool = False) -> None:
@@ -49,11 +55,11 @@ def token_windows(df: DataFrame, tokens: int, overlap: int = 0, *, text: str = "
 
 
 def protected_ranges(text: str, patterns: Sequence[str] = PROTECTED) -> list[tuple[int, int]]:
-    """Merged ranges of code, formulas, images, links and table rows."""
-    found = sorted(m.span() for p in patterns for m in re.finditer(p, text, re.DOTALL if p.startswith(("```", r"\$\$")) else 0))
+    """Merged ranges of code, formulas, images and links; ranges that touch are one."""
+    found = sorted(m.span() for p in patterns for m in re.finditer(p, text, re.MULTILINE | re.DOTALL))
     out: list[tuple[int, int]] = []
     for a, b in found:
-        if out and a < out[-1][1]:
+        if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))

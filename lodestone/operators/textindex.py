@@ -22,7 +22,7 @@ from .retrieval import K1, B, check_top_k
 #: Words are runs of letters and digits, in lower case.
 WORD = r"[\p{L}\p{N}]+"
 #: Postings of a block, folders that terms are dealt to by their hash, and words that a task inverts at a time.
-BLOCK, BUCKETS, SLICE_WORDS = 128, 64, 2_000_000
+BLOCK, BUCKETS, SLICE_WORDS = 128, 64, 1_000_000
 #: Slices that are read for a first threshold before the others.
 FIRST_SLICES = 4
 #: Scores that are nearer than this count as equal, so that no order of additions decides.

@@ -182,15 +182,17 @@ class VectorIndex:
             if not len(asked) or not len(held):
                 return pd.DataFrame({"query_id": [], "id": [], "rough": [], "list": []})
             codes = np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(held), -1)
-            ids, at = held["id"].to_numpy(), int(held["list"].iloc[0])
-            out = []
-            for number, q in zip(asked["query_id"], asked["query"], strict=True):
-                rest, place, d = np.asarray(q, float) - centres[at], 0, np.zeros(len(held))
+            ids, at, numbers = held["id"].to_numpy(), int(held["list"].iloc[0]), asked["query_id"].to_numpy()
+            rest, n = np.stack(asked["query"].to_numpy()).astype(float) - centres[at], min(many, len(held))
+            out, step = [], max(1, (4 << 20) // len(held))
+            for k in range(0, len(rest), step):
+                some, place = rest[k : k + step], 0
+                d = np.zeros((len(some), len(held)))
                 for p, words in enumerate(books):
-                    d += squared(rest[None, place : place + words.shape[1]], words)[0][codes[:, p]]
+                    d += squared(some[:, place : place + words.shape[1]], words)[:, codes[:, p]]
                     place += words.shape[1]
-                top = np.lexsort((ids, d))[:many] if len(d) <= 4 * many else (some := np.argpartition(d, many)[:many])[np.lexsort((ids[some], d[some]))]
-                out.append(pd.DataFrame({"query_id": number, "id": ids[top], "rough": d[top], "list": at}))
+                top = np.argpartition(d, n - 1, axis=1)[:, :n]
+                out.append(pd.DataFrame({"query_id": np.repeat(numbers[k : k + step], n), "id": ids[top].ravel(), "rough": np.take_along_axis(d, top, 1).ravel(), "list": at}))
             return pd.concat(out)
 
         rough = probed.groupBy("list", "chunk").cogroup(dealt.groupBy("list", "chunk")).applyInPandas(near_codes, "query_id long, id long, rough double, list int")

@@ -11,6 +11,7 @@ from ..operators.textindex import TextIndex, prefix_terms
 from ..operators.vectorindex import VectorIndex
 from ..sources.tables import SQL_DOCS, kb_documents, kb_embeddings, load
 from ..streaming import streams as S
+from ..streaming.leases import leases, rocksdb
 from ..streaming.sinks import OnceSink, drain
 from .registry import query
 from .retrieval import TERMS
@@ -97,3 +98,30 @@ def stream_exactly_once(spark, sf_dir):
     sink = OnceSink(spark, f"{folder}/sink")
     drain(once, sink, f"{folder}/checkpoint")
     return sink.read(once.schema).select("event_id", "user_id", "event_type", F.round("value", 4).alias("value"))
+
+
+_LEASES = """WITH w AS (SELECT max(epoch_us(ts)) AS w FROM events), e AS (SELECT user_id AS job, epoch_us(ts) AS us FROM events),
+    g AS (SELECT *, us - lag(us) OVER (PARTITION BY job ORDER BY us) AS gap FROM e),
+    s AS (SELECT *, sum(CASE WHEN gap <= 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY job ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM g),
+    l AS (SELECT job, s, min(us) AS first, max(us) + 21600000000 AS ends, count(*)::INTEGER AS beats FROM s GROUP BY 1, 2),
+    n AS (SELECT *, lead(first) OVER (PARTITION BY job ORDER BY s) AS next, CASE WHEN first <= lag(ends) OVER (PARTITION BY job ORDER BY s) + 7200000000 THEN 0 ELSE 1 END AS new FROM l),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY job ORDER BY s ROWS UNBOUNDED PRECEDING) AS r FROM n),
+    a AS (SELECT *, row_number() OVER (PARTITION BY job, r ORDER BY s)::INTEGER AS attempt FROM r)
+    SELECT job, 'acquired' AS kind, first AS at, attempt, 1::INTEGER AS beats FROM a
+    UNION ALL SELECT job, 'expired', ends, attempt, beats FROM a, w WHERE next IS NOT NULL OR ends < w
+    UNION ALL SELECT job, 'evicted', ends + 7200000000, attempt, beats FROM a, w WHERE coalesce(next > ends + 7200000000, ends + 7200000000 < w)"""
+
+
+@query("stream_leases", "M15 ST9 ST4", _LEASES)
+def stream_leases(spark, sf_dir):
+    """Each user's events as heartbeats of a lease of six hours, forgotten two hours after its end, in six batches by time."""
+    folder = _folder(spark)
+    beats = load(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"))
+    low, high = beats.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    part = F.floor((F.unix_micros("ts") - F.lit(low)) * 6 / F.lit(high - low + 1))
+    # One batch for each part: files come in the order of their writes, and a part has as many as a batch takes.
+    for k in range(6):
+        beats.where(part == k).repartition(4).write.mode("append").parquet(f"{folder}/beats")
+    stream = spark.readStream.schema(beats.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/beats")
+    with rocksdb(spark):
+        return S.run_to_table(leases(stream, ttl_s=21_600, evict_s=7200), folder + "-out", mode="append")

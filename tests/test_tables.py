@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lodestone.operators import filetable
 from lodestone.operators.filetable import FileTable
 from lodestone.operators.versions import merge
+from lodestone.streaming.leases import leases, rocksdb
 from lodestone.streaming.sinks import OnceSink, drain
+from lodestone.streaming.streams import run_to_table
 
 from .test_indexes import files_of, rows_read
 
@@ -162,3 +164,48 @@ def test_old_messages_are_left_out(spark, stream, tmp_path):
     replay = OnceSink(spark, f"file://{tmp_path}/sink", clock="ts")
     stream.writeStream.foreachBatch(lambda rows, b: replay.write(rows, b + 10)).option("checkpointLocation", f"file://{tmp_path}/other").trigger(availableNow=True).start().awaitTermination()
     assert replay.read(stream.schema).count() == n
+
+
+# ---- leases
+
+
+def told(beats, ttl, evict, end):
+    """By walking through each job's heartbeats (seconds)."""
+    out = []
+    for job in sorted({j for j, _ in beats}):
+        last = attempt = n = None
+        for t in [*sorted(t for j, t in beats if j == job), None]:
+            now = end if t is None else t
+            if last is not None and now > last + ttl:
+                out.append((job, "expired", last + ttl, attempt, n))
+                if now > last + ttl + evict:
+                    out.append((job, "evicted", last + ttl + evict, attempt, n))
+            if t is None:
+                continue
+            if last is not None and t <= last + ttl:
+                n += 1
+            else:
+                attempt = 1 if last is None or t > last + ttl + evict else attempt + 1
+                n = 1
+                out.append((job, "acquired", t, attempt, 1))
+            last = t
+    return sorted(out)
+
+
+def test_leases_expire_and_are_forgotten(spark, tmp_path):
+    """Heartbeats each few seconds, leases of 30 s, eviction 60 s later; the query is stopped and goes on from its checkpoint."""
+    rng, t0 = np.random.default_rng(2), 1_700_000_000
+    beats = [(int(j), int(t)) for j in range(6) for t in np.unique(np.cumsum(rng.choice([1, 5, 29, 30, 31, 60, 89, 90, 91, 95, 200], 40)))]
+    beats = [(j, t) for j, t in beats if t < 2400] + [(9, 5), (9, 2399)]
+    rows = spark.createDataFrame([(j, t) for j, t in beats], "job long, t long").select("job", F.timestamp_seconds(F.col("t") + t0).alias("ts"))
+    path = f"{tmp_path}/beats"
+    for k in range(4):
+        part = rows.where(F.unix_seconds("ts").between(t0 + 600 * k, t0 + 600 * k + 599)).coalesce(1)
+        part.write.mode("append").parquet(path)
+        if k in (1, 3):
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            with rocksdb(spark):
+                got = run_to_table(leases(stream, ttl_s=30, evict_s=60), f"file://{tmp_path}/out", mode="append")
+    rows = sorted((r["job"], r["kind"], r["at"] // 1_000_000 - t0, r["attempt"], r["beats"]) for r in got.collect())
+    assert rows == told(beats, 30, 60, max(t for _, t in beats))
+    assert {r[3] for r in rows} > {1, 2} and {r[1] for r in rows} == {"acquired", "expired", "evicted"}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sparse_score
 from ..operators.filetable import FileTable
+from ..operators.sketches import SketchStore
 from ..operators.textindex import TextIndex, prefix_terms
 from ..operators.vectorindex import VectorIndex
 from ..sources.tables import SQL_DOCS, kb_documents, kb_embeddings, load
@@ -125,3 +128,23 @@ def stream_leases(spark, sf_dir):
     stream = spark.readStream.schema(beats.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/beats")
     with rocksdb(spark):
         return S.run_to_table(leases(stream, ttl_s=21_600, evict_s=7200), folder + "-out", mode="append")
+
+
+_DAYS = " UNION ALL ".join(
+    f"SELECT {a} AS since, {b} AS until, event_type, count(*) AS n, count(DISTINCT user_id) AS items, round(min(value), 4) AS least, round(max(value), 4) AS greatest FROM events WHERE ts::DATE BETWEEN DATE '2024-01-01' + {a} AND DATE '2024-01-01' + {b} GROUP BY event_type" for a, b in ((0, 6), (3, 20), (0, 400))
+)
+
+
+@query("sketches_by_range", "A12 A13 A14 A21", _DAYS)
+def sketches_by_range(spark, sf_dir):
+    """Users and values by type of event over three ranges of days, from sketches of days that came in two loads."""
+    store, ranges = SketchStore(spark, _folder(spark), ["event_type"]), ((0, 6), (3, 20), (0, 400))
+    events = load(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type", F.col("user_id").alias("item"), "value")
+    store.add(events.where("day < DATE '2024-01-15'"))
+    store.add(events.where("day >= DATE '2024-01-15'"))
+    parts = []
+    for a, b in ranges:
+        first = datetime.date(2024, 1, 1)
+        told = store.between(first + datetime.timedelta(a), first + datetime.timedelta(b))
+        parts.append(told.select(F.lit(a).alias("since"), F.lit(b).alias("until"), "event_type", "n", "items", F.round("least", 4).alias("least"), F.round("greatest", 4).alias("greatest")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

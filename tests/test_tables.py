@@ -1,5 +1,7 @@
 """Tables of files that rewrite what changes, and a sink that takes each batch once."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import filetable
 from lodestone.operators.filetable import FileTable
+from lodestone.operators.sketches import SketchStore
 from lodestone.operators.versions import merge
 from lodestone.streaming.leases import leases, rocksdb
 from lodestone.streaming.sinks import OnceSink, drain
@@ -209,3 +212,37 @@ def test_leases_expire_and_are_forgotten(spark, tmp_path):
     rows = sorted((r["job"], r["kind"], r["at"] // 1_000_000 - t0, r["attempt"], r["beats"]) for r in got.collect())
     assert rows == told(beats, 30, 60, max(t for _, t in beats))
     assert {r[3] for r in rows} > {1, 2} and {r[1] for r in rows} == {"acquired", "expired", "evicted"}
+
+
+# ---- sketches
+
+
+def test_sketches_of_any_range(spark, tmp_path):
+    """Within the stated errors at every range; a new day neither reads nor writes the old ones, and a repeated load counts once."""
+    day = F.expr("date_add(DATE '2024-03-01', cast(id % 10 as int))")
+    rows = spark.range(200_000).select(day.alias("day"), (F.col("id") % 3).alias("key"), (F.col("id") * 7919 % 60_000).alias("item"), F.pow(F.rand(5), 3).alias("value"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows").unionByName(spark.createDataFrame([(datetime.date(2024, 3, 10), 7, None, None)], "day date, key long, item long, value double"))
+    store = SketchStore(spark, f"file://{tmp_path}/store", ["key"])
+    store.add(rows.where("day < DATE '2024-03-08'"))
+    before = files_of(spark, store.path)
+    for _ in range(2):
+        store.add(rows.where("day >= DATE '2024-03-08'"))
+    assert before.items() <= files_of(spark, store.path).items()
+    known = rows.toPandas()
+    for a, b in ((1, 1), (1, 10), (3, 8), (9, 10)):
+        low, high = datetime.date(2024, 3, a), datetime.date(2024, 3, b)
+        some = known[(known["day"] >= low) & (known["day"] <= high)]
+        for by in (["key"], []):
+            for r in store.between(low, high, by=by, quantiles=(0.1, 0.5, 0.95)).collect():
+                mine = some[some["key"] == r["key"]] if by else some
+                values = mine["value"].dropna().sort_values().to_numpy()
+                assert r["n"] == len(mine)
+                if not len(values):
+                    assert r["items"] == 0 and r["q50"] is None
+                    continue
+                assert r["items"] == pytest.approx(mine["item"].nunique(), rel=0.03) and (r["least"], r["greatest"]) == (values[0], values[-1])
+                for q in (0.1, 0.5, 0.95):
+                    assert abs(np.searchsorted(values, r[f"q{round(100 * q)}"]) / len(values) - q) < 0.02
+    _, read = rows_read(spark, lambda: store.between(datetime.date(2024, 3, 2), datetime.date(2024, 3, 2)).collect())
+    assert read == 3

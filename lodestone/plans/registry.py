@@ -26,4 +26,4 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[QueryFn],
     return add
 
 
-from . import crawl, flows, graph, indexes, knowledge, relational, retrieval, sqlsurface, streams, text, trace, versions  # noqa: E402, F401
+from . import crawl, external, flows, graph, indexes, knowledge, relational, retrieval, sqlsurface, streams, text, trace, versions  # noqa: E402, F401

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -49,28 +51,153 @@ def next_nodes(nodes: DataFrame, choices: DataFrame) -> DataFrame:
     return each.where((F.col("kind") == "multi") | ((F.col("kind") == "single") & (F.col("k") == 0)) | ((F.col("kind") == "conditional") & (F.col("condition") == F.col("choice")))).select("id", "next")
 
 
-def plan_problems(steps: DataFrame, *, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``problem, id``: empty plans, repeated ids, unknown dependencies and steps on or behind cycles.
-
-    ``steps`` has ``id`` and ``deps`` (array).  Steps whose dependencies are all resolved are peeled off
-    in rounds until none is, however long the chains; ``keep`` cuts a round's lineage, a checkpoint unless another way is given.
-    """
-    keep = keep or cut_lineage
-    ids = steps.select("id").distinct()
-    needs = steps.select("id", F.explode("deps").alias("dep")).distinct()
-    out = duplicate_ids(steps).select(F.lit("duplicate").alias("problem"), "id")
-    out = out.unionByName(needs.join(ids.withColumnRenamed("id", "dep"), "dep", "left_anti").select(F.lit("unknown dependency").alias("problem"), "id").distinct())
-    left = keep(needs.join(ids.withColumnRenamed("id", "dep"), "dep", "left_semi").select("id", "dep"))
+def _peeled(edges: DataFrame, by: list[str], keep: Callable[[DataFrame], DataFrame], *, both: bool) -> DataFrame:
+    """``by, id, dep`` without the edges to nodes that need nothing and, with ``both``, those of nodes that nothing needs, in rounds."""
+    left = keep(edges)
     n = left.count()
     while n:
-        fewer = keep(left.join(left.select(F.col("id").alias("dep")).distinct(), "dep", "left_semi").select("id", "dep"))
+        fewer = left.join(left.select(*by, F.col("id").alias("dep")).distinct(), [*by, "dep"], "left_semi")
+        if both:
+            fewer = fewer.join(left.select(*by, F.col("dep").alias("id")).distinct(), [*by, "id"], "left_semi")
+        fewer = keep(fewer.select(*by, "id", "dep"))
         m = fewer.count()
         if m == n:
             break
         left, n = fewer, m
-    out = out.unionByName(left.select(F.lit("cycle").alias("problem"), "id").distinct())
-    if steps.isEmpty():
-        out = out.unionByName(steps.sparkSession.createDataFrame([("empty", None)], f"problem string, id {dict(steps.dtypes)['id']}"))
+    return left
+
+
+def _coloured(edges: DataFrame, by: list[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``by, id, colour``: the greatest node that a node needs, itself included; only risen colours are sent on."""
+    ends = edges.select(*by, "id").union(edges.select(*by, "dep")).distinct()
+    seen = keep(ends.withColumn("colour", F.col("id")))
+    risen = seen
+    while not risen.isEmpty():
+        sent = edges.join(risen.withColumnRenamed("id", "dep"), [*by, "dep"]).groupBy(*by, "id").agg(F.max("colour").alias("sent"))
+        risen = keep(sent.join(seen, [*by, "id"]).where("sent > colour").select(*by, "id", F.col("sent").alias("colour")))
+        seen = keep(seen.unionByName(risen).groupBy(*by, "id").agg(F.max("colour").alias("colour")))
+    return seen
+
+
+def _large_cycles(edges: DataFrame, by: list[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``by, id, cycle`` of the components of several nodes, in rounds.
+
+    Each node takes the greatest node that it needs by any path as its colour.  Those of a colour that its greatest
+    node needs in turn, by paths of the colour, are a component.  The rest, without edges between colours, goes round again.
+    """
+    left = _peeled(edges, by, keep, both=True)
+    found = left.select(*by, "id", F.col("id").alias("cycle")).where("false")
+    within = [*by, "colour"]
+    while not left.isEmpty():
+        colours = _coloured(left, by, keep)
+        ends = colours.withColumnRenamed("id", "dep")
+        same = keep(left.join(colours, [*by, "id"]).join(ends, [*by, "dep", "colour"]).select(*within, "id", "dep"))
+        members = frontier = keep(same.where("id = colour").select(*within, "id").distinct())
+        while not frontier.isEmpty():
+            after = same.join(frontier, [*within, "id"]).select(*within, F.col("dep").alias("id")).distinct()
+            frontier = keep(after.join(members, [*within, "id"], "left_anti"))
+            members = keep(members.unionByName(frontier))
+        least = members.groupBy(*within).agg(F.min("id").alias("cycle"), F.count("*").alias("n")).where("n > 1")
+        found = keep(found.unionByName(members.join(least, within).select(*by, "id", "cycle")))
+        gone = members.select(*by, "id")
+        rest = same.join(gone, [*by, "id"], "left_anti").join(gone.withColumnRenamed("id", "dep"), [*by, "dep"], "left_anti")
+        left = _peeled(rest.select(*by, "id", "dep"), by, keep, both=True)
+    return found
+
+
+def stuck_nodes(ids: list, deps: list) -> dict:
+    """``{node: smallest node of its cycles, or None behind them}`` for the nodes on or behind cycles, by one depth-first search."""
+    needs: dict = {}
+    for i, d in zip(ids, deps, strict=True):
+        needs.setdefault(i, []).append(d)
+    told, order, low, done = {}, {}, {}, set()
+    for start in needs:
+        if start in order:
+            continue
+        order[start] = low[start] = len(order)
+        open_nodes, path = [start], [(start, iter(needs[start]))]
+        while path:
+            node, rest = path[-1]
+            for d in rest:
+                if d not in order:
+                    order[d] = low[d] = len(order)
+                    open_nodes.append(d)
+                    path.append((d, iter(needs.get(d, ()))))
+                    break
+                if d not in done:
+                    low[node] = min(low[node], order[d])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == order[node]:
+                    # A component is closed after all that it needs.
+                    members = [open_nodes.pop()]
+                    while members[-1] != node:
+                        members.append(open_nodes.pop())
+                    done.update(members)
+                    if len(members) > 1 or node in needs.get(node, ()):
+                        least = min(members)
+                        told |= dict.fromkeys(members, least)
+                    elif any(d in told for d in needs.get(node, ())):
+                        told[node] = None
+    return told
+
+
+def stuck(edges: DataFrame, *, by: Sequence[str] = (), small: int = 100_000, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``by, id, cycle``: nodes on cycles, with the smallest node of their strongly connected component, and with null those behind cycles.
+
+    ``edges`` has ``id, dep`` (a node and one that it needs) and the columns ``by`` of the graph that they belong to, so
+    that many graphs are searched at once.  Repeated edges count once, edges with a null take no part, a node that
+    needs itself is on a cycle.  A graph of at most ``small`` edges is searched by the task that has it.  In larger ones all
+    nodes take part in rounds, whose number grows with the longest path, and no graph is gathered; ``keep`` cuts a
+    round's lineage, a checkpoint unless another way is given.
+    """
+    keep = keep or cut_lineage
+    known = edges.select(*by, "id", "dep").dropna().distinct()
+    groups = [*by] or ["_graph"]
+    known = keep(known if by else known.withColumn("_graph", F.lit(0)))
+    large = keep(known.groupBy(*groups).agg(F.count("*").alias("n")).where(F.col("n") > small).select(*groups))
+    schema = T.StructType([*(known.schema[g] for g in groups), known.schema["id"], T.StructField("cycle", known.schema["id"].dataType)])
+
+    def search(graph: pa.Table) -> pa.Table:
+        told = stuck_nodes(graph.column("id").to_pylist(), graph.column("dep").to_pylist())
+        same = [pa.chunked_array([pa.repeat(graph.column(g)[0], len(told))]) for g in groups]
+        kind = graph.column("id").type
+        return pa.table([*same, pa.array(list(told), kind), pa.array(list(told.values()), kind)], names=[*groups, "id", "cycle"])
+
+    if large.isEmpty():
+        return known.groupBy(*groups).applyInArrow(search, schema).select(*by, "id", "cycle")
+    rest = known.join(large, groups, "left_anti").select(*groups, "id", "dep").groupBy(*groups).applyInArrow(search, schema)
+    wide = keep(known.join(large, groups, "left_semi").select(*groups, "id", "dep"))
+    held = _peeled(wide, groups, keep, both=False)
+    own = held.where("id = dep").select(*groups, "id", F.col("id").alias("cycle"))
+    named = own.unionByName(_large_cycles(held.where("id <> dep"), groups, keep)).groupBy(*groups, "id").agg(F.min("cycle").alias("cycle"))
+    return rest.unionByName(held.select(*groups, "id").distinct().join(named, [*groups, "id"], "left").select(*groups, "id", "cycle")).select(*by, "id", "cycle")
+
+
+def cycles(edges: DataFrame, *, by: Sequence[str] = (), small: int = 100_000, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``by, id, cycle`` of ``stuck`` for the nodes on cycles alone."""
+    return stuck(edges, by=by, small=small, keep=keep).where("cycle is not null")
+
+
+def plan_problems(steps: DataFrame, *, by: Sequence[str] = (), small: int = 100_000, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``by, problem, id, cycle``: empty plans, repeated ids, unknown dependencies and steps on or behind cycles.
+
+    ``steps`` has ``id``, ``deps`` (array) and the columns ``by`` of the plan; without ``by`` there is one plan, which may be
+    empty.  ``cycle`` is the smallest step of the cycles that a step is on, null for one that is only behind them.
+    """
+    by = [*by]
+    kind = dict(steps.dtypes)["id"]
+    ids = steps.select(*by, F.col("id").alias("dep")).distinct()
+    needs = steps.select(*by, "id", F.explode("deps").alias("dep")).distinct()
+    none = F.lit(None).cast(kind).alias("cycle")
+    out = steps.groupBy(*by, "id").agg(F.count("*").alias("n")).where("n > 1").select(*by, F.lit("duplicate").alias("problem"), "id", none)
+    out = out.unionByName(needs.join(ids, [*by, "dep"], "left_anti").select(*by, F.lit("unknown dependency").alias("problem"), "id", none).distinct())
+    held = stuck(needs.join(ids, [*by, "dep"], "left_semi"), by=by, small=small, keep=keep)
+    out = out.unionByName(held.select(*by, F.lit("cycle").alias("problem"), "id", "cycle"))
+    if not by and steps.isEmpty():
+        out = out.unionByName(steps.sparkSession.createDataFrame([("empty", None, None)], f"problem string, id {kind}, cycle {kind}"))
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graphs as G
@@ -51,10 +52,42 @@ def _steps(spark, sf_dir):
 _NEEDS = "needs AS (SELECT p_partkey AS id, unnest([p_partkey // 2, p_partkey // 3]) AS dep FROM part WHERE p_partkey > 1), done AS (SELECT p_partkey AS id FROM part WHERE p_size <= 40)"
 
 
-@query("plan_problems", "G4", "SELECT * FROM (VALUES ('unknown dependency', 3::BIGINT), ('duplicate', 7::BIGINT), ('cycle', 10::BIGINT), ('cycle', 11::BIGINT), ('cycle', 12::BIGINT)) v(problem, id)")
+# The orders of a customer are a plan in which each needs the one before.  Every fifth customer's first order needs the
+# third, every seventh one's last but one needs the last; some orders need what isn't there, and some come twice.
+_ORDERS = """o AS (SELECT o_custkey AS plan, o_orderkey AS id, row_number() OVER w AS r, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS next, count(*) OVER (PARTITION BY o_custkey) AS m,
+    nth_value(o_orderkey, 3) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS third FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    needs AS (SELECT plan, id, before AS dep FROM o WHERE before IS NOT NULL UNION SELECT plan, id, third FROM o WHERE r = 1 AND plan % 5 = 0 AND third IS NOT NULL
+        UNION SELECT plan, id, next FROM o WHERE r = m - 1 AND plan % 7 = 0 UNION SELECT plan, id, -1 - id FROM o WHERE id % 50 = 0)"""
+
+
+def _orders(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plan"), F.col("o_orderkey").alias("id"))
+    plan = Window.partitionBy("plan")
+    inner, whole = plan.orderBy("id"), plan.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    r, m, third = F.row_number().over(inner), F.count("*").over(plan), F.nth_value("id", 3).over(whole)
+    placed = o.select("plan", "id", F.lag("id").over(inner).alias("before"), F.lead("id").over(inner).alias("next"), r.alias("r"), m.alias("m"), third.alias("third"))
+    deps = F.array("before", F.when((F.col("r") == 1) & (F.col("plan") % 5 == 0), F.col("third")), F.when((F.col("r") == F.col("m") - 1) & (F.col("plan") % 7 == 0), F.col("next")), F.when(F.col("id") % 50 == 0, -1 - F.col("id")))
+    steps = placed.select("plan", "id", F.array_compact(deps).alias("deps"))
+    return steps.unionByName(steps.where("id % 97 = 0"))
+
+
+@query(
+    "plan_problems",
+    "G4",
+    f"""WITH RECURSIVE {_ORDERS}, r(plan, a, b) AS (SELECT plan, id, dep FROM needs WHERE dep >= 0 UNION SELECT r.plan, r.a, n.dep FROM r JOIN needs n ON n.plan = r.plan AND n.id = r.b AND n.dep >= 0),
+    on_cycle AS (SELECT r.plan, r.a AS id, min(r.b) AS cycle FROM r JOIN r q ON q.plan = r.plan AND q.a = r.b AND q.b = r.a GROUP BY ALL),
+    stuck AS (SELECT DISTINCT r.plan, r.a AS id FROM r JOIN on_cycle c ON c.plan = r.plan AND c.id = r.b)
+    SELECT plan, 'duplicate' AS problem, id, NULL::BIGINT AS cycle FROM o WHERE id % 97 = 0 UNION ALL SELECT plan, 'unknown dependency', id, NULL FROM needs WHERE dep < 0
+    UNION ALL SELECT s.plan, 'cycle', s.id, c.cycle FROM stuck s LEFT JOIN on_cycle c USING (plan, id)""",
+)
 def plan_problems(spark, sf_dir):
-    rows = [(1, []), (2, [1]), (3, [99]), (7, []), (7, [1]), (10, [11]), (11, [10]), (12, [11, 1])]
-    return G.plan_problems(spark.createDataFrame(rows, "id long, deps array<long>"))
+    """What is wrong with the plans of all customers, found at once."""
+    return G.plan_problems(_orders(spark, sf_dir), by=["plan"])
+
+
+@query("graph_cycles", "G4 G1", f"WITH RECURSIVE {_EDGES}, r(a, b) AS (SELECT source, target FROM edges UNION SELECT a, target FROM r JOIN edges ON source = b) SELECT r.a AS id, min(r.b) AS cycle FROM r JOIN r q ON q.a = r.b AND q.b = r.a GROUP BY 1")
+def graph_cycles(spark, sf_dir):
+    return G.cycles(_edges(spark, sf_dir).select(F.col("source").alias("id"), F.col("target").alias("dep")))
 
 
 @query("plan_ready", "G5", f"WITH {_NEEDS} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT id FROM done) AND p_partkey NOT IN (SELECT id FROM needs WHERE dep NOT IN (SELECT id FROM done))")

@@ -1,4 +1,4 @@
-"""Queries over databases and archives that are filled from the given tables and read back."""
+"""Queries over databases and laid-out tables that are filled from the given tables and read back."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources.databases import Database, database_url
-from ..sources.tables import load
+from ..sources.layout import KeyedTable
+from ..sources.tables import SQL_DOCS, SQL_EMB, kb_documents, kb_embeddings, load
 from .registry import query
 from .streams import _folder
 
@@ -45,3 +46,27 @@ def jdbc_catalog_totals(spark, sf_dir):
     customers, nations = load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
     joined = counts.join(customers, F.col("c_custkey") == F.col("o_custkey")).join(nations, F.col("n_nationkey") == F.col("c_nationkey"))
     return joined.groupBy("n_name", "o_orderstatus").agg(F.sum("n").alias("n"))
+
+
+def _laid_out(spark, sf_dir) -> tuple[KeyedTable, KeyedTable]:
+    """All documents by their number, and all vectors by model and number of their document."""
+    folder, name = _folder(spark), uuid.uuid4().hex
+    docs = KeyedTable(spark, f"docs_{name}", f"{folder}/docs", key="doc_id", buckets=16)
+    docs.append(kb_documents(spark, sf_dir).select("doc_id", "collection", "lang"))
+    vectors = KeyedTable(spark, f"vectors_{name}", f"{folder}/vectors", key="doc_id", buckets=16, tag="model_tag")
+    vectors.append(kb_embeddings(spark, sf_dir).select("doc_id", "vector", "model_tag"))
+    return docs, vectors
+
+
+@query("layout_pending", "J1 S5", f"WITH {SQL_DOCS}, {SQL_EMB} SELECT doc_id, collection, lang FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM emb WHERE model_tag = 'm1')")
+def layout_pending(spark, sf_dir):
+    """Documents without a vector of one model, bucket by bucket."""
+    docs, vectors = _laid_out(spark, sf_dir)
+    return vectors.missing(docs, "m1")
+
+
+@query("layout_tags", "S4 S5", f"WITH {SQL_EMB} SELECT model_tag, doc_id, len(vector)::INTEGER AS dim, (SELECT count(DISTINCT model_tag) FROM emb)::INTEGER AS models FROM emb WHERE model_tag = 'm2'")
+def layout_tags(spark, sf_dir):
+    """The vectors of a model that is still under its former name, with the number of models that the catalog lists."""
+    _, vectors = _laid_out(spark, sf_dir)
+    return vectors.read_first("m2-large", "m2").select("model_tag", "doc_id", F.size("vector").alias("dim"), F.lit(len(vectors.tags())).alias("models"))

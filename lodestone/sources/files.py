@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pdf import page_texts
+
 
 def read_csv_strings(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
     """A delimited file with a header; every column is text."""
@@ -172,13 +174,10 @@ def read_workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     return parsed_cells(contents_of(spark, path, "*.xlsx"))
 
 
-def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``path, page, text`` of PDF files; needs the optional package pypdf."""
-
-    def read(content: bytes) -> Iterator[tuple[int, str]]:
-        from pypdf import PdfReader
+def parsed_pages(contents: DataFrame) -> DataFrame:
+    """``path, page, text`` of PDF files."""
+    return parsed(contents, page_texts, "path string, page long, text string")
 
-        for k, page in enumerate(PdfReader(io.BytesIO(content)).pages):
-            yield k + 1, page.extract_text() or ""
 
-    return parsed(contents_of(spark, path, "*.pdf"), read, "path string, page long, text string")
+def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
+    return parsed_pages(contents_of(spark, path, "*.pdf"))

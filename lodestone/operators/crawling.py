@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import operator
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import netloc, normalize_url, resolve_url
 from .graphs import cut_lineage
+from .selectors import Automaton, Selection
 
 #: Markers of pages that stand between a reader and the content.
 STRONG = ("cf-challenge", "cf-mitigated", "cf-please-wait", "/cdn-cgi/challenge-platform/")
@@ -91,24 +93,37 @@ def crawl(seeds: DataFrame, edges: DataFrame, *, max_depth: int, max_pages: int
 class _Cleaner(HTMLParser):
     """Collects title, meta content and Markdown text."""
 
-    DROP = frozenset(("script", "style", "noscript", "iframe", "svg"))
+    DROP = ("script", "style", "noscript", "iframe", "svg")
     BLOCK = frozenset(("p", "div", "section", "article", "main", "header", "footer", "nav", "ul", "ol", "table", "tr", "blockquote", "pre", "br", "hr"))
     VOID = frozenset(("br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"))
 
-    def __init__(self, drop: frozenset[str] = frozenset()):
+    def __init__(self, drop: Automaton, content: Automaton | None = None):
         super().__init__(convert_charrefs=True)
-        self.drop_tags = self.DROP | {d for d in drop if not d.startswith((".", "#"))}
-        self.drop_marks = {d for d in drop if d.startswith((".", "#"))}
+        self.drop = Selection(drop)
+        self.content = Selection(content) if content else None
+        #: Where the first selected element begins and ends in ``out``, and the depth that it opened at.
+        self.begin: int | None = None
+        self.finish: int | None = None
+        self.depth = 0
         self.skip, self.stack = 0, []
+        #: How many elements of each tag are open, so that a step doesn't cost the depth.
+        self.inside: Counter[str] = Counter()
         self.out: list[str] = []
         self.title: list[str] = []
         self.h1: list[str] = []
         self.meta: dict[str, str] = {}
         self.href: list[str] = []
 
-    def _dropped(self, tag: str, attrs: dict) -> bool:
-        marks = {f".{c}" for c in (attrs.get("class") or "").split()} | {f"#{attrs.get('id')}"}
-        return tag in self.drop_tags or bool(marks & self.drop_marks)
+    def _opened(self, tag: str, attrs: dict, void: bool) -> bool:
+        """Follow both automata; whether the element is dropped.  The first selected one outside dropped ones is the content."""
+        dropped = self.drop.start(tag, attrs, void=void)
+        if self.content is not None:
+            selected = self.content.start(tag, attrs, void=void)
+            if selected and self.begin is None and not self.skip and not dropped:
+                self.begin, self.depth = len(self.out), len(self.stack)
+                if void:
+                    self.finish = self.begin + 1
+        return dropped
 
     def handle_starttag(self, tag, attrs):  # noqa: ANN001
         a = dict(attrs)
@@ -116,12 +131,13 @@ class _Cleaner(HTMLParser):
             name = (a.get("name") or a.get("property") or "").lower()
             if name:
                 self.meta.setdefault(name, a.get("content") or "")
+        dropped = self._opened(tag, a, tag in self.VOID)
         if tag in self.VOID:
-            if not self.skip:
+            if not self.skip and not dropped:
                 self.out.append({"br": "\n", "hr": "\n---\n", "img": f"![{a.get('alt') or ''}]({a.get('src') or ''})"}.get(tag, ""))
             return
-        dropped = self._dropped(tag, a)
         self.stack.append((tag, dropped))
+        self.inside[tag] += 1
         self.skip += dropped
         if self.skip:
             return
@@ -144,10 +160,12 @@ class _Cleaner(HTMLParser):
             self.out.append("[")
 
     def handle_endtag(self, tag):  # noqa: ANN001
-        if not any(t == tag for t, _ in self.stack):
-            return
-        while self.stack:
+        while self.inside[tag]:
             t, dropped = self.stack.pop()
+            self.inside[t] -= 1
+            self.drop.end()
+            if self.content is not None:
+                self.content.end()
             if not self.skip:
                 if t in ("b", "strong"):
                     self.out.append("**")
@@ -160,48 +178,124 @@ class _Cleaner(HTMLParser):
                 elif t in self.BLOCK or re.fullmatch("h[1-6]", t):
                     self.out.append("\n\n" if t != "tr" else " |")
             self.skip -= dropped
+            if self.begin is not None and self.finish is None and len(self.stack) == self.depth:
+                self.finish = len(self.out)
             if t == tag:
                 return
 
     def handle_data(self, data):  # noqa: ANN001
-        tags = [t for t, _ in self.stack]
-        if "title" in tags:
+        if self.inside["title"]:
             self.title.append(data)
             return
-        if "h1" in tags:
+        if self.inside["h1"]:
             self.h1.append(data)
-        if not self.skip and "head" not in tags:
-            self.out.append(data if "pre" in tags else re.sub(r"\s+", " ", data))
+        if not self.skip and not self.inside["head"]:
+            self.out.append(data if self.inside["pre"] else re.sub(r"\s+", " ", data))
+
+
+def _rules(drop: Sequence[str], content: str | None) -> tuple[Automaton, Automaton | None]:
+    return Automaton([*_Cleaner.DROP, *drop]), Automaton([content]) if content else None
+
 
+def clean_html(html: str | None, drop: Sequence[str] = (), content: str | None = None) -> dict[str, str]:
+    """``title, meta, markdown`` of a page: title, else first heading, else og:title; description and keywords.
 
-def clean_html(html: str | None, drop: Sequence[str] = ()) -> dict[str, str]:
-    """``title, meta, markdown`` of a page: title, else first heading, else og:title; description and keywords."""
-    p = _Cleaner(frozenset(drop))
+    ``drop`` are CSS selectors of elements to leave out, besides scripts, styles and the like.  ``content`` selects what
+    the Markdown is made of: the first such element outside dropped ones, or the whole page if there is none.  Both
+    see the page as it stands, dropped elements included.
+    """
+    return _cleaned(html, *_rules(drop, content))
+
+
+def _cleaned(html: str | None, drop: Automaton, content: Automaton | None) -> dict[str, str]:
+    p = _Cleaner(drop, content)
     p.feed(html or "")
     p.close()
     squeeze = lambda parts: re.sub(r"\s+", " ", "".join(parts)).strip()
-    markdown = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(p.out))).strip()
+    markdown = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(p.out[p.begin : p.finish]))).strip()
     meta = [p.meta.get("description", p.meta.get("og:description", "")).strip()]
     if p.meta.get("keywords"):
         meta.append(f"Keywords: {p.meta['keywords'].strip()}")
     return {"title": squeeze(p.title) or squeeze(p.h1) or p.meta.get("og:title", "").strip(), "meta": "\n".join(x for x in meta if x), "markdown": markdown}
 
 
-def clean_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", drop: Sequence[str] = ()) -> DataFrame:
-    """``key, url, title, meta, markdown``, over Arrow batches."""
-    drop = tuple(drop)
+def clean_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", drop: Sequence[str] = (), content: str | None = None) -> DataFrame:
+    """``key, url, title, meta, markdown`` as :func:`clean_html` gives them, over Arrow batches; a bad selector fails here, not in a task."""
+    rules = _rules(drop, content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 piece = b.slice(at, 256)
-                got = [clean_html(x, drop) for x in piece.column(2).to_pylist()]
+                got = [_cleaned(x, *rules) for x in piece.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array([g[c] for g in got], pa.string()) for c in ("title", "meta", "markdown"))], names=[key, url, "title", "meta", "markdown"])
 
     kind = dict(pages.dtypes)[key]
     return pages.select(key, url, html).mapInArrow(run, f"`{key}` {kind}, `{url}` string, title string, meta string, markdown string")
 
 
+class _Selected(HTMLParser):
+    """The elements of a page that an automaton selects, in the order of their start tags, with all text within each."""
+
+    def __init__(self, rules: Automaton):
+        super().__init__(convert_charrefs=True)
+        self.rules = Selection(rules)
+        self.open: list[tuple[str, int | None]] = []
+        self.inside: Counter[str] = Counter()
+        self.pieces: list[str] = []
+        self.found: list[dict] = []
+
+    def handle_starttag(self, tag, attrs):  # noqa: ANN001
+        void = tag in _Cleaner.VOID
+        at = None
+        if self.rules.start(tag, dict(attrs), void=void):
+            at = len(self.found)
+            self.found.append({"tag": tag, "depth": len(self.open), "begin": len(self.pieces), "end": len(self.pieces) if void else None})
+        if not void:
+            self.open.append((tag, at))
+            self.inside[tag] += 1
+
+    def handle_endtag(self, tag):  # noqa: ANN001
+        while self.inside[tag]:
+            t, at = self.open.pop()
+            self.inside[t] -= 1
+            self.rules.end()
+            if at is not None:
+                self.found[at]["end"] = len(self.pieces)
+            if t == tag:
+                return
+
+    def handle_data(self, data):  # noqa: ANN001
+        self.pieces.append(data)
+
+
+def _selected(html: str | None, rules: Automaton) -> list[dict]:
+    p = _Selected(rules)
+    p.feed(html or "")
+    p.close()
+    return [{"position": k, "tag": f["tag"], "depth": f["depth"], "text": "".join(p.pieces[f["begin"] : f["end"]])} for k, f in enumerate(p.found)]
+
+
+def select_elements(pages: DataFrame, selectors: str, *, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``key, position, tag, depth, text`` of each element that a list of CSS selectors selects, in page order from 0.
+
+    ``text`` is all text within the element, ``depth`` the number of elements around it.  An element that is never closed
+    ends with its parent, or with the page.  Null and empty pages give no rows.
+    """
+    rules = Automaton([selectors])
+    element = pa.struct([("position", pa.int32()), ("tag", pa.string()), ("depth", pa.int32()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                piece = b.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([_selected(x, rules) for x in piece.column(1).to_pylist()], pa.list_(element))], names=[key, "_elements"])
+
+    kind = dict(pages.dtypes)[key]
+    found = pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, _elements array<struct<position:int,tag:string,depth:int,text:string>>")
+    return found.select(key, F.inline("_elements"))
+
+
 def as_document(title: Column, url: Column, meta: Column, markdown: Column) -> Column:
     """A page as a Markdown document with a header block."""
     return F.concat(F.format_string("# %s\n\nSource: %s\n", title, url), F.when(meta != "", F.concat(F.lit("\n"), meta, F.lit("\n"))).otherwise(""), F.lit("\n"), markdown)

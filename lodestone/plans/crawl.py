@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..operators import crawling as K
@@ -59,6 +61,46 @@ def page_markdown(spark, sf_dir):
     return c.select("page_id", "title", K.as_document(F.col("title"), F.col("url"), F.col("meta"), F.col("markdown")).alias("document"))
 
 
+#: Entities that the pages use, as their characters; the ampersand last.
+_PLAIN = lambda x: functools.reduce(lambda s, e: f"replace({s}, '{e[0]}', '{e[1]}')", (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")), x)
+_LINKS = """SELECT page_id, html, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)">', 1) AS hrefs,
+    regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">([^<]*)</a>', 1) AS names FROM pages"""
+
+
+@query(
+    "page_elements",
+    "K9",
+    f"""WITH l AS ({_LINKS}),
+    e AS (SELECT page_id, list_transform(list_filter(list_zip(hrefs, names, range(1, len(names) + 1)), lambda x: x[3] > 1 AND starts_with(lower(x[1]), '/t')), lambda x: {{'tag': 'a', 'depth': 5, 'text': x[2]}})
+          || [{{'tag': 'div', 'depth': 2, 'text': regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1)}}, {{'tag': 'h1', 'depth': 3, 'text': regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)}}, {{'tag': 'footer', 'depth': 2, 'text': regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)}}] AS found FROM l),
+    u AS (SELECT page_id, unnest(found) AS f, (unnest(range(0, len(found))))::INTEGER AS position FROM e)
+    SELECT page_id, position, f.tag AS tag, f.depth AS depth, {_PLAIN("f.text")} AS text FROM u""",
+)
+def page_elements(spark, sf_dir):
+    return K.select_elements(load(spark, sf_dir, "pages"), 'nav li + li > a[href^="/T" i], nav ~ div.ad, body > article > h1, article + footer, h1 footer')
+
+
+_SPACED = "regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '\\s+', ' ', 'g')"
+_MARKS = functools.reduce(lambda s, e: f"replace({s}, '{e[0]}', {e[1]})", (("<h1>", "chr(10) || chr(10) || '# '"), ("</h1>", "chr(10) || chr(10)"), ("<p>", "chr(10) || chr(10)"), ("</p>", "chr(10) || chr(10)"), ("<b>", "'**'"), ("<br>", "chr(10)")), _SPACED)
+#: Elements that a page leaves open end with the article: each bold run, then its paragraph.
+_ENDED = f"{_MARKS} || repeat('**' || chr(10) || chr(10), len(regexp_extract_all(html, '<b>')))"
+_TIDY = f"trim(regexp_replace(regexp_replace({_ENDED}, '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+@query(
+    "page_article",
+    "K9 K10 K17",
+    f"""WITH l AS ({_LINKS}) SELECT page_id, '# ' || t || chr(10) || chr(10) || 'Source: ' || url || chr(10) || chr(10) || {_PLAIN("body")} AS document, {_PLAIN("kept")} AS menu
+    FROM (SELECT p.page_id, url, {_PLAIN("trim(regexp_extract(p.html, '(?s)<title>(.*?)</title>', 1))")} AS t, {_TIDY.replace("html", "p.html")} AS body,
+          array_to_string(list_transform(list_zip(hrefs, names)[1:3], lambda x: '- [' || x[2] || '](' || x[1] || ')'), chr(10)) AS kept FROM pages p JOIN l USING (page_id))""",
+)
+def page_article(spark, sf_dir):
+    p = load(spark, sf_dir, "pages")
+    article = K.clean_pages(p, content="nav + div ~ article").select("page_id", K.as_document(F.col("title"), F.col("url"), F.col("meta"), F.col("markdown")).alias("document"))
+    menu = K.clean_pages(p, content="nav > ul", drop=["nav li + li + li + li"]).select("page_id", F.col("markdown").alias("menu"))
+    return article.join(menu, "page_id")
+
+
 _IS_STRONG = "contains(h, 'cf-challenge') OR contains(h, 'cf-mitigated') OR contains(h, 'cf-please-wait') OR contains(h, '/cdn-cgi/challenge-platform/') OR (contains(h, '<title>just a moment') AND contains(h, 'checking your browser'))"
 _IS_WEAK = "contains(h, 'just a moment') OR contains(h, 'needs to review the security')"
 _CHALLENGE = f"CASE WHEN {_IS_STRONG} THEN 'strong' WHEN {_IS_WEAK} THEN 'weak' ELSE 'none' END"

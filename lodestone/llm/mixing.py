@@ -10,9 +10,6 @@ from .workspace import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rank buckets of a source: prefix sums run over these, and only one bucket is ever put in order.
 BUCKETS = 16_384
-#: So many single documents may follow the sample to close the gap that it leaves.
-FILLS = 3
-
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0) -> DataFrame:
     """``source, source_size, target`` from ``source, source_size``.
@@ -81,26 +78,92 @@ def sampling_plan(sized: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), s
     inside = rows.where("_bucket = _edge").withColumn("_cum", F.col("_before") + F.sum("size").over(in_order))
     last = inside.groupBy("source").agg(F.max(F.when(F.col("_cum") <= F.col("_rest"), F.struct("_rank", "_cum"))).alias("_l"), F.first("_before").alias("_b"), F.first("_rest").alias("_r"))
     last = last.select("source", F.coalesce(F.col("_l._rank"), F.lit(-1.0)).alias("_last"), (F.col("_r") - F.coalesce(F.col("_l._cum"), F.col("_b"))).alias("_gap"))
-    # Documents outside the sample that come closest to the gap, one after another, while they narrow it.
-    rows = materialize(rows.join(last.withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src")), "inner").where(((F.col("_bucket") >= F.col("_edge")) & (F.col("_rank") > F.col("_last"))) & (F.col("size") > 0)).select("source", "size", "_rank"), "mix-outside")
-    gaps = last.select("source", "_last", "_gap", F.array().cast("array<double>").alias("_fill"))
-    for _ in range(FILLS):
-        gaps = materialize(gaps, "mix-gaps")
-        off = F.abs(F.col("size") - F.col("_gap"))
-        fits = _with_plan(rows, gaps).where((off < F.col("_gap")) & ~F.array_contains("_fill", F.col("_rank")))
-        best = fits.groupBy("source").agg(F.min(F.struct(off.alias("_off"), F.col("_rank").alias("_r"), F.col("size").alias("_size"))).alias("_f"))
-        gaps = _with_plan(gaps, best).select("source", "_last", (F.col("_gap") - F.coalesce(F.col("_f._size"), F.lit(0))).alias("_gap"), F.when(F.col("_f").isNull(), F.col("_fill")).otherwise(F.array_append("_fill", F.col("_f._r"))).alias("_fill"))
-    plan = _with_plan(_with_plan(plan, edge), gaps)
-    return materialize(plan.select("source", "source_size", "target", "_sure", "_p", "_edge", "_last", "_fill"), "mix-plan")
+    # What is outside the sample, in rank order: whatever fits; then the one exchange that comes closest.
+    outside = rows.join(last.withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src")), "inner").where((F.col("_bucket") >= F.col("_edge")) & (F.col("_rank") > F.col("_last")) & (F.col("size") > 0))
+    outside = materialize(outside.select("source", "size", "_rank", _class(F.col("size")).alias("_class")), "mix-outside")
+    gaps = _close_gaps(outside, last)
+    sampled = _with_plan(rows, gaps).where((F.col("size") > 0) & ((F.col("_bucket") < F.col("_edge")) | (F.col("_rank") <= F.col("_last")) | _in_steps()))
+    swaps = _exchange(sampled, _with_plan(outside, gaps).where(~_in_steps()), gaps)
+    plan = _with_plan(_with_plan(_with_plan(plan, edge), gaps), swaps)
+    return materialize(plan.select("source", "source_size", "target", "_sure", "_p", "_edge", "_last", "_steps", "_leaves", "_comes"), "mix-plan")
+
+
+def _exchange(sampled: DataFrame, outside: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``source, _leaves, _comes``: ranks of the sampled document that leaves and of the one that comes for it, either of which may be none (-1).
+
+    Of all such pairs it is the one that brings the words closest to the target; sources where none does
+    better than nothing have no row.  Each size stands for its documents (the first rank), and the sizes of a source
+    are put in order in one task: for a size that leaves, the best to come are the next ones below and above it plus the gap.
+    """
+    nothing = gaps.select("source", F.lit(0).cast("long").alias("size"), F.lit(-1.0).alias("_rank"))
+    sizes = lambda rows: rows.select("source", "size", "_rank").unionByName(nothing).groupBy("source", "size").agg(F.min("_rank").alias("_rank"))
+    gap = gaps.select("source", "_gap")
+    leave = _with_plan(sizes(sampled), gap).select("source", (F.col("size") + F.col("_gap")).alias("_v"), F.col("_rank").alias("_out"), F.lit(None).cast("struct<size:long,rank:double>").alias("_in"))
+    come = sizes(outside).select("source", F.col("size").cast("double").alias("_v"), F.lit(None).cast("double").alias("_out"), F.struct("size", F.col("_rank").alias("rank")).alias("_in"))
+    by_size = Window.partitionBy("source").orderBy("_v", F.col("_out").isNotNull())
+    below, above = by_size.rowsBetween(Window.unboundedPreceding, 0), by_size.rowsBetween(0, Window.unboundedFollowing)
+    pairs = leave.unionByName(come).withColumn("_near", F.array(F.last("_in", True).over(below), F.first("_in", True).over(above))).where("_out is not null")
+    pairs = pairs.select("source", "_v", "_out", F.explode("_near").alias("_in")).where("_in is not null")
+    best = pairs.groupBy("source").agg(F.min(F.struct(F.abs(F.col("_in.size") - F.col("_v")).alias("off"), F.col("_out").alias("leaves"), F.col("_in.rank").alias("comes"))).alias("_b"))
+    return _with_plan(best, gap).where(F.col("_b.off") < F.abs("_gap")).select("source", F.col("_b.leaves").alias("_leaves"), F.col("_b.comes").alias("_comes"))
+
+
+def _close_gaps(outside: DataFrame, last: DataFrame) -> DataFrame:
+    """``source, _last, _gap, _steps``: what else of ``source, size, _rank, _class`` is taken, for each row of ``source, _last, _gap``.
+
+    A step goes on in rank order over documents of the classes below the gap's own, as long as they
+    fit.  They are smaller than the gap, and the one that ends the step is larger than what is left of it,
+    so the gap's class falls with each step: there are at most as many steps as the gap has bits, and then
+    no document of a lower class is left.  Sums by bucket find where a step ends, as for the sample itself.
+    """
+    state = last.select("source", "_last", "_gap", F.col("_last").alias("_lo"), F.lit(True).alias("_open"), F.array().cast(_STEPS).alias("_steps"))
+    while True:
+        state = materialize(state, "mix-steps")
+        fits = _with_plan(outside, state.where("_open").select("source", "_gap", "_lo")).where((F.col("_rank") > F.col("_lo")) & (F.col("_class") < _class(F.floor("_gap"))))
+        fits = fits.withColumn("_bucket", F.floor(F.col("_rank") * BUCKETS))
+        sums = fits.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"), F.max("_rank").alias("_top"), F.first("_gap").alias("_gap"))
+        upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_below", F.max("_top").over(before))
+        ends = sums.groupBy("source").agg(F.min(F.when(F.col("_upto") > F.col("_gap"), F.struct("_bucket", "_before", "_below"))).alias("_e"), F.max("_upto").alias("_all"), F.max("_top").alias("_top"))
+        ends = materialize(ends, "mix-ends")
+        if ends.isEmpty():
+            return state.select("source", "_last", "_gap", "_steps")
+        in_order = Window.partitionBy("source").orderBy("_rank").rangeBetween(Window.unboundedPreceding, 0)
+        inside = _with_plan(fits, ends.select("source", "_e")).where("_bucket = _e._bucket").withColumn("_cum", F.col("_e._before") + F.sum("size").over(in_order))
+        inside = inside.groupBy("source").agg(F.max(F.when(F.col("_cum") <= F.col("_gap"), F.struct("_rank", "_cum"))).alias("_l"))
+        ends = _with_plan(ends, inside)
+        hi = F.when(F.col("_e").isNull(), F.col("_top")).otherwise(F.coalesce("_l._rank", "_e._below"))
+        taken = F.when(F.col("_e").isNull(), F.col("_all")).otherwise(F.coalesce("_l._cum", "_e._before"))
+        step = F.struct((_class(F.floor("_gap")) - 1).alias("most"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+        state = _with_plan(state, ends.select("source", hi.alias("_hi"), taken.alias("_taken")))
+        found = F.col("_hi").isNotNull()
+        state = state.select(
+            "source", "_last", (F.col("_gap") - F.when(found, F.col("_taken")).otherwise(0)).alias("_gap"), F.coalesce("_hi", "_lo").alias("_lo"), found.alias("_open"), F.when(found, F.array_append("_steps", step)).otherwise(F.col("_steps")).alias("_steps")
+        )
+
+
+#: What a step takes: documents of classes up to ``most``, with ranks over ``lo`` and up to ``hi``.
+_STEPS = "array<struct<most:int,lo:double,hi:double>>"
+
+
+def _class(size: F.Column) -> F.Column:
+    """The size's highest bit; that of 0 is 0."""
+    return F.length(F.bin(size)) - 1
+
+
+def _in_steps() -> F.Column:
+    return F.exists("_steps", lambda s: (_class(F.col("size")) <= s["most"]) & (F.col("_rank") > s["lo"]) & (F.col("_rank") <= s["hi"]) & (F.col("size") > 0))
 
 
 def apply_plan(rows: DataFrame, plan: DataFrame, seed: str = "mix") -> DataFrame:
     """Add ``source_size, target, copies, taken`` to rows with ``doc_id, source, size``; joins one row for each source."""
     rows = _with_plan(rows, plan).withColumn("_rank", _rank(seed))
-    sampled = F.col("_rank").isNotNull() & (F.col("_edge").isNull() | (F.floor(F.col("_rank") * BUCKETS) < F.col("_edge")) | (F.col("_rank") <= F.col("_last")) | F.array_contains("_fill", F.col("_rank")))
+    sampled = F.col("_rank").isNotNull() & (F.col("_edge").isNull() | (F.floor(F.col("_rank") * BUCKETS) < F.col("_edge")) | (F.col("_rank") <= F.col("_last")) | F.coalesce(_in_steps(), F.lit(False)))
+    sampled = (sampled & (F.coalesce(F.col("_leaves"), F.lit(-1.0)) != F.col("_rank"))) | (F.col("_comes") == F.col("_rank"))
     copies = (F.col("_sure") + F.coalesce(sampled, F.lit(False)).cast("long")).cast("int")
     rows = rows.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    return rows.drop("_rank", "_sure", "_p", "_edge", "_last", "_fill")
+    return rows.drop("_rank", "_sure", "_p", "_edge", "_last", "_steps", "_leaves", "_comes")
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: str = "mix") -> DataFrame:
@@ -109,13 +172,15 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), shar
     A document of a source with target/size ratio r gets floor(r) copies for certain.  The rest of
     the target is sampled without replacement: documents rank by u/(1-u) divided by p/(1-p), with
     p = r - floor(r) and u drawn from the id, the source and the seed, and are taken in that order
-    while their sizes fit.  Up to three documents that come closest to the remaining gap follow while
-    they narrow it.  Whole documents are taken: ``taken = copies * size``.
+    while their sizes fit.  Those after the first that doesn't fit follow in the same order if they fit, by falling
+    classes of size, until none is left that does.  At last one sampled document (or none) is exchanged for one outside
+    (or none), if that comes closer to the target: the pair that comes closest.  Whole documents are taken:
+    ``taken = copies * size``.
 
     The texts are read to count words and to be returned, and are never shuffled but for the join
     with one row for each source.  A null text has size 0; a source without words has the target 0;
     the null source is a source of its own; rows with equal id and source rank alike and are taken
-    or left together; an empty table gives no rows.
+    or left together, and if such rows don't fit, no step follows; an empty table gives no rows.
     """
     made = {"size", "source_size", "target", "copies", "taken"}
     base = docs.select(*(c for c in docs.columns if c.lower() not in made)).withColumn("size", word_count(F.col("text")))

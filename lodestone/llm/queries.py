@@ -161,9 +161,10 @@ def _op5_sql() -> str:
 
 
 def _op7_sql() -> str:
-    from .mixing import BUCKETS, FILLS
+    from .mixing import BUCKETS
 
     same = "IS NOT DISTINCT FROM"
+    outside = lambda of: f"len(list_filter(steps, lambda x: length(bin({of}size)) - 1 <= x.most AND {of}rnk > x.lo AND {of}rnk <= x.hi AND {of}size > 0)) = 0"
     steps = [
         r"sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)",
         "sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1)",
@@ -182,17 +183,24 @@ def _op7_sql() -> str:
         "ed AS (SELECT source, min(bucket) AS edge, arg_min(upto - n, bucket) AS before FROM bu WHERE upto > rest GROUP BY 1)",
         f"ins AS (SELECT rr.source, rnk, rest, before, before + sum(size) OVER (PARTITION BY rr.source ORDER BY rnk, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM rr JOIN ed ON rr.source {same} ed.source AND bucket = edge)",
         "la AS (SELECT source, coalesce(max(rnk) FILTER (cum <= rest), -1) AS last, first(rest) - coalesce(max(cum) FILTER (cum <= rest), first(before)) AS gap FROM ins GROUP BY 1)",
-        f"ot AS (SELECT rr.source, size, rnk FROM rr JOIN ed ON rr.source {same} ed.source JOIN la ON rr.source {same} la.source WHERE rnk IS NOT NULL AND bucket >= edge AND rnk > last AND size > 0)",
-        "g0 AS (SELECT source, last, gap::DOUBLE AS gap, []::DOUBLE[] AS fill FROM la)",
+        f"ot AS MATERIALIZED (SELECT rr.source, size, rnk, length(bin(size)) - 1 AS cls FROM rr JOIN ed ON rr.source {same} ed.source JOIN la ON rr.source {same} la.source WHERE rnk IS NOT NULL AND bucket >= edge AND rnk > last AND size > 0)",
+        f"""st AS (SELECT source, gap::DOUBLE AS gap, last::DOUBLE AS lo, []::STRUCT(most BIGINT, lo DOUBLE, hi DOUBLE)[] AS steps, 0 AS turn FROM la
+        UNION ALL SELECT source, gap - got, hi, list_append(steps, {{'most': (length(bin(floor(gap)::BIGINT)) - 2)::BIGINT, 'lo': lo, 'hi': hi}}), turn + 1
+        FROM (SELECT source, any_value(gap) AS gap, any_value(lo) AS lo, any_value(steps) AS steps, any_value(turn) AS turn, max(rnk) FILTER (cum <= gap) AS hi, max(cum) FILTER (cum <= gap) AS got
+              FROM (SELECT st.*, rnk, sum(size) OVER (PARTITION BY st.source ORDER BY rnk RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+                    FROM ot JOIN st ON ot.source {same} st.source WHERE rnk > lo AND cls < length(bin(floor(gap)::BIGINT)) - 1) GROUP BY source) WHERE hi IS NOT NULL)""",
+        f"g0 AS (SELECT la.source, last, s.gap, s.steps FROM la JOIN (SELECT source, max(turn) AS turn, arg_max(gap, turn) AS gap, arg_max(steps, turn) AS steps FROM st GROUP BY 1) s ON la.source {same} s.source)",
     ]
-    for k in range(FILLS):
-        steps += [
-            f"f{k} AS (SELECT ot.source, ot.size, ot.rnk, row_number() OVER (PARTITION BY ot.source ORDER BY abs(ot.size - gap), rnk) AS o FROM ot JOIN g{k} g ON ot.source {same} g.source WHERE abs(ot.size - gap) < gap AND NOT list_contains(fill, rnk))",
-            f"g{k + 1} AS (SELECT g.source, last, gap - coalesce(f.size, 0) AS gap, CASE WHEN f.rnk IS NULL THEN fill ELSE list_append(fill, f.rnk) END AS fill FROM g{k} g LEFT JOIN f{k} f ON g.source {same} f.source AND o = 1)",
-        ]
-    return f"""WITH {", ".join(steps)},
-    c AS (SELECT rr.*, sure + CASE WHEN rnk IS NOT NULL AND (edge IS NULL OR bucket < edge OR rnk <= last OR list_contains(fill, rnk)) THEN 1 ELSE 0 END AS copies
-          FROM rr LEFT JOIN ed ON rr.source {same} ed.source LEFT JOIN g{FILLS} g ON rr.source {same} g.source)
+    taken = f"(bucket < edge OR rnk <= last OR NOT {outside('rr.')})"
+    none = "UNION ALL SELECT source, 0, -1.0 FROM g0"
+    steps += [
+        f"ls AS (SELECT source, size, min(rnk) AS rnk FROM (SELECT rr.source, size, rnk FROM rr JOIN ed ON rr.source {same} ed.source JOIN g0 ON rr.source {same} g0.source WHERE rnk IS NOT NULL AND size > 0 AND {taken} {none}) GROUP BY 1, 2)",
+        f"cs AS (SELECT source, size, min(rnk) AS rnk FROM (SELECT ot.source, size, rnk FROM ot JOIN g0 ON ot.source {same} g0.source WHERE {outside('ot.')} {none}) GROUP BY 1, 2)",
+        f"sw AS (SELECT g0.source, ls.rnk AS leaves, cs.rnk AS comes FROM g0 JOIN ls ON g0.source {same} ls.source JOIN cs ON g0.source {same} cs.source WHERE abs(cs.size - (ls.size + gap)) < abs(gap) QUALIFY row_number() OVER (PARTITION BY g0.source ORDER BY abs(cs.size - (ls.size + gap)), ls.rnk, cs.rnk) = 1)",
+    ]
+    return f"""WITH RECURSIVE {", ".join(steps)},
+    c AS (SELECT rr.*, sure + CASE WHEN rnk IS NOT NULL AND ((edge IS NULL OR {taken}) AND coalesce(leaves, -1) <> rnk OR comes IS NOT NULL AND comes = rnk) THEN 1 ELSE 0 END AS copies
+          FROM rr LEFT JOIN ed ON rr.source {same} ed.source LEFT JOIN g0 ON rr.source {same} g0.source LEFT JOIN sw ON rr.source {same} sw.source)
     SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM c"""
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import re
 import sys
 import zlib
@@ -768,6 +769,31 @@ def test_mixing(spark, sf_dir):
     assert (got.taken <= 3 * got["size"]).all()
 
 
+@pytest.mark.parametrize("seed", ["mix", "a", "b"])
+def test_mixing_comes_near_its_targets(spark, sf_dir, seed):
+    huge = [(k, "w " * (100 + k * 7919 % 500), f"s{k % 2}") for k in range(2000)] + [(2000, "w " * 300_000, "s0"), (2001, "v " * 40_000, "s1"), (2002, None, "s1"), (2003, "", None)]
+    docs = spark.createDataFrame(huge, "doc_id long, text string, source string")
+    for df, limit in ((docs, 0.001), (queries.table(spark, sf_dir.replace("0.001", "0.01"), "documents"), 0.001)):
+        got = mixing.mix_sources(df, seed=seed).groupBy("source", "target").agg(F.sum("taken").alias("taken"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()
+        for r in got:
+            # The huge document is half of s0, and comes or doesn't as its rank has it; the short ones make up for it.
+            assert abs(r.taken - r.target) <= max(1, limit * r.target) and r.over <= 0, r
+
+
+def test_exchange_is_the_best_pair(spark):
+    rng = random.Random(5)
+    rows = [(s, rng.randrange(1, 40), rng.random(), inside) for s in ("a", "b", None) for inside in (True, False) for _ in range(12)]
+    df = spark.createDataFrame(rows, "source string, size long, _rank double, inside boolean")
+    gaps = spark.createDataFrame([("a", 3.5), ("b", -20.25), (None, 0.0)], "source string, _gap double")
+    got = {r.source: (r._leaves, r._comes) for r in mixing._exchange(df.where("inside"), df.where("not inside"), gaps).collect()}
+    for s, gap in (("a", 3.5), ("b", -20.25)):
+        leave, come = ([(0, -1.0), *((n, r) for x, n, r, i in rows if x == s and i == w)] for w in (True, False))
+        best = min((abs(c - (n + gap)), r, t) for n, r in leave for c, t in come)
+        chosen = dict((r, n) for n, r in come)[got[s][1]] - dict((r, n) for n, r in leave)[got[s][0]]
+        assert abs(chosen - gap) == best[0]
+    assert set(got) == {"a", "b"}
+
+
 def truth_targets(sizes, weights=(5, 2, 1)):
     """Reshare the excess by weight until no source is above its cap."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])

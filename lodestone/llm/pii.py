@@ -26,8 +26,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]").search
 #: Unseen identifiers up to this number are sent to the workers of a masking pass as a set; more are joined.
 SENT_IDENTIFIERS = 200_000
-#: What may be an identifier that the detectors miss: a number of 6 to 19 digits, or a name at a host of up to 64 characters each.
-HINT = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,64}|(?<![A-Za-z0-9])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){5,18}(?![A-Za-z0-9])")
+#: What may be an identifier that the detectors miss: a number of 6 to 19 digits, or a name at a host.
+NUMBER = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){5,18}(?![A-Za-z0-9])").search
+HOST = re.compile(r"[A-Za-z0-9-]+").match
 TOKEN = re.compile(r"\w{1,64}|[^\w\s]{1,64}").findall
 SPACE = " \t\n\r\x0b\x0c"
 WORD_LENGTH = 64
@@ -112,17 +113,45 @@ def places_in(text: str) -> list[tuple[int, int, str, bool]]:
     return sorted([(a, b, k, True) for a, b, k in spans] + [(a, b, k, False) for a, b, k in hints(text, spans)], key=lambda x: x[:2])
 
 
+def hint_places(text: str) -> Iterator[tuple[int, int]]:
+    """Where unseen identifiers may be, from left to right and without overlaps: whole names at whole hosts, however long, and numbers."""
+    at = free = 0
+    named: tuple[int, int] | None = None
+    number = NUMBER(text) if DIGIT(text) else None
+    while True:
+        while named is None and (at := text.find("@", max(at, free))) >= 0:
+            host, start = HOST(text, at + 1), at
+            while start > free and text[start - 1] in LOCAL:
+                start -= 1
+            if host and start < at:
+                named = (start, host.end())
+            at += 1
+        at = len(text) if at < 0 else at
+        if named is None and number is None:
+            return
+        if number is None or (named is not None and named[0] <= number.start()):
+            found = named
+        else:
+            found = number.span()
+        yield found
+        free = found[1]
+        if named is not None and named[0] < free:
+            # A name that the number took the start of begins anew after it.
+            at, named = (max(at - 1, free), None) if found != named else (free, None)
+        if number is not None and number.start() < free:
+            number = NUMBER(text, free)
+
+
 def hints(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
     """Places that look like identifiers and overlap no span."""
     taken, k = sorted((a, b) for a, b, _ in spans), 0
     if "@" not in text and not DIGIT(text):
         return
-    for m in HINT.finditer(text):
-        a, b = m.span()
+    for a, b in hint_places(text):
         while k < len(taken) and taken[k][1] <= a:
             k += 1
         if all(y <= a for _, y in itertools.takewhile(lambda t: t[0] < b, itertools.islice(taken, k, None))):
-            yield a, b, hint_kind(m[0])
+            yield a, b, hint_kind(text[a:b])
 
 
 _PLACE = "struct<start:int,end:int,kind:string,token:string,seed:boolean,patterns:array<string>>"

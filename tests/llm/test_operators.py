@@ -794,6 +794,26 @@ def test_exchange_is_the_best_pair(spark):
     assert set(got) == {"a", "b"}
 
 
+#: What may be an unseen identifier, as one plain pattern.
+HINTED = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+|(?<![A-Za-z0-9])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){5,18}(?![A-Za-z0-9])")
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(("a", "b.", "@", "1", "12345", "678", " ", "-", "+", "(", "_", ".", "x@y", "é", "q" * 80)), max_size=20).map("".join))
+def test_hints_equal_to_one_pattern(text):
+    assert list(pii.hint_places(text)) == [m.span() for m in HINTED.finditer(text)]
+
+
+def test_long_names_are_masked_whole(spark):
+    long = ["z@" + "h" * 90, "n" * 90 + "@box", "n" * 300 + "@" + "h" * 300]
+    rows = [(k, f"write to user{k}@mail{k}.example today", "en", "s", 0) for k in range(30)] + [(100 + k, f"write to {x} today", "en", "s", 0) for k, x in enumerate(long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    found = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in pii.find_personal_data(df).collect()}
+    assert [found[100 + k] for k in range(3)] == [[(9, 9 + len(x), "email")] for x in long]
+    masked = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert {masked[k] for k in (*range(30), 100, 101, 102)} == {"write to [EMAIL] today"}
+
+
 def truth_targets(sizes, weights=(5, 2, 1)):
     """Reshare the excess by weight until no source is above its cap."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])

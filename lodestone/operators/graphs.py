@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Callable, Sequence
 
@@ -79,29 +80,67 @@ def _coloured(edges: DataFrame, by: list[str], keep: Callable[[DataFrame], DataF
     return seen
 
 
-def _large_cycles(edges: DataFrame, by: list[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``by, id, cycle`` of the components of several nodes, in rounds.
+def _around_pivot(left: DataFrame, by: list[str], keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The component of each graph's busiest node, and the edges that are left.
+
+    It has the nodes that are reached from that node both along the edges and against them.  Other components lie
+    within the nodes that are reached one way alone, or not at all, so edges between those kinds go.
+    """
+    ways = keep(left.select(*by, F.lit(1).alias("way"), F.col("id").alias("a"), F.col("dep").alias("b")).union(left.select(*by, F.lit(2), "dep", "id")))
+    degrees = ways.groupBy(*by, "a").agg((F.count_if(F.col("way") == 1) * F.count_if(F.col("way") == 2)).alias("n"))
+    pivots = degrees.groupBy(*by).agg(F.max_by("a", F.struct("n", "a")).alias("id"))
+    seen = frontier = keep(pivots.select(*by, F.explode(F.array(F.lit(1), F.lit(2))).alias("way"), "id"))
+    while not frontier.isEmpty():
+        after = ways.join(frontier.withColumnRenamed("id", "a"), [*by, "way", "a"]).select(*by, "way", F.col("b").alias("id")).distinct()
+        frontier = keep(after.join(seen, [*by, "way", "id"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    kinds = keep(seen.groupBy(*by, "id").agg(F.sum("way").alias("kind")))
+    ends = kinds.select(*by, F.col("id").alias("dep"), F.col("kind").alias("other"))
+    kind, other = (F.coalesce(c, F.lit(0)) for c in ("kind", "other"))
+    rest = left.join(kinds, [*by, "id"], "left").join(ends, [*by, "dep"], "left").where((kind == other) & (kind != 3))
+    return kinds.where("kind = 3").select(*by, "id", F.lit(0).alias("colour")), rest.select(*by, "id", "dep")
+
+
+def _by_colours(left: DataFrame, by: list[str], keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """One component for each colour, and the edges that are left.
 
     Each node takes the greatest node that it needs by any path as its colour.  Those of a colour that its greatest
     node needs in turn, by paths of the colour, are a component.  The rest, without edges between colours, goes round again.
     """
-    left = _peeled(edges, by, keep, both=True)
-    found = left.select(*by, "id", F.col("id").alias("cycle")).where("false")
     within = [*by, "colour"]
-    while not left.isEmpty():
-        colours = _coloured(left, by, keep)
-        ends = colours.withColumnRenamed("id", "dep")
-        same = keep(left.join(colours, [*by, "id"]).join(ends, [*by, "dep", "colour"]).select(*within, "id", "dep"))
-        members = frontier = keep(same.where("id = colour").select(*within, "id").distinct())
-        while not frontier.isEmpty():
-            after = same.join(frontier, [*within, "id"]).select(*within, F.col("dep").alias("id")).distinct()
-            frontier = keep(after.join(members, [*within, "id"], "left_anti"))
-            members = keep(members.unionByName(frontier))
-        least = members.groupBy(*within).agg(F.min("id").alias("cycle"), F.count("*").alias("n")).where("n > 1")
-        found = keep(found.unionByName(members.join(least, within).select(*by, "id", "cycle")))
-        gone = members.select(*by, "id")
-        rest = same.join(gone, [*by, "id"], "left_anti").join(gone.withColumnRenamed("id", "dep"), [*by, "dep"], "left_anti")
-        left = _peeled(rest.select(*by, "id", "dep"), by, keep, both=True)
+    colours = _coloured(left, by, keep)
+    ends = colours.withColumnRenamed("id", "dep")
+    same = keep(left.join(colours, [*by, "id"]).join(ends, [*by, "dep", "colour"]).select(*within, "id", "dep"))
+    members = frontier = keep(same.where("id = colour").select(*within, "id").distinct())
+    while not frontier.isEmpty():
+        after = same.join(frontier, [*within, "id"]).select(*within, F.col("dep").alias("id")).distinct()
+        frontier = keep(after.join(members, [*within, "id"], "left_anti"))
+        members = keep(members.unionByName(frontier))
+    gone = members.select(*by, "id")
+    rest = same.join(gone, [*by, "id"], "left_anti").join(gone.withColumnRenamed("id", "dep"), [*by, "dep"], "left_anti")
+    return members.select(*by, "id", "colour"), rest.select(*by, "id", "dep")
+
+
+def _large_cycles(edges: DataFrame, by: list[str], keep: Callable[[DataFrame], DataFrame], search: Callable[[DataFrame], DataFrame], small: int) -> DataFrame:
+    """``by, id, cycle`` of the components of several nodes, in rounds.
+
+    Most graphs have one component that is far larger than the others, so that is looked for first; many that are left are then
+    found at once by colours, in turns.  What is left of a graph is searched by one task as soon as it has at most ``small`` edges.
+    """
+    found = edges.select(*by, "id", F.col("id").alias("cycle")).where("false")
+    left = edges
+    for taken in itertools.cycle((_around_pivot, _by_colours)):
+        left = _peeled(left, by, keep, both=True)
+        large = keep(left.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > small).select(*by))
+        few = search(left.join(large, by, "left_anti")).where("cycle is not null")
+        found = keep(found.unionByName(few.select(*by, "id", "cycle")))
+        left = keep(left.join(large, by, "left_semi").select(*by, "id", "dep"))
+        if left.isEmpty():
+            return found
+        members, left = taken(left, by, keep)
+        least = members.groupBy(*by, "colour").agg(F.min("id").alias("cycle"), F.count("*").alias("n")).where("n > 1")
+        told = members.join(least, [*by, "colour"])
+        found = keep(found.unionByName(told.select(*by, "id", "cycle")))
     return found
 
 
@@ -166,13 +205,14 @@ def stuck(edges: DataFrame, *, by: Sequence[str] = (), small: int = 100_000, kee
         kind = graph.column("id").type
         return pa.table([*same, pa.array(list(told), kind), pa.array(list(told.values()), kind)], names=[*groups, "id", "cycle"])
 
+    searched = lambda rows: rows.select(*groups, "id", "dep").groupBy(*groups).applyInArrow(search, schema)
     if large.isEmpty():
-        return known.groupBy(*groups).applyInArrow(search, schema).select(*by, "id", "cycle")
-    rest = known.join(large, groups, "left_anti").select(*groups, "id", "dep").groupBy(*groups).applyInArrow(search, schema)
+        return searched(known).select(*by, "id", "cycle")
+    rest = searched(known.join(large, groups, "left_anti"))
     wide = keep(known.join(large, groups, "left_semi").select(*groups, "id", "dep"))
     held = _peeled(wide, groups, keep, both=False)
     own = held.where("id = dep").select(*groups, "id", F.col("id").alias("cycle"))
-    named = own.unionByName(_large_cycles(held.where("id <> dep"), groups, keep)).groupBy(*groups, "id").agg(F.min("cycle").alias("cycle"))
+    named = own.unionByName(_large_cycles(held.where("id <> dep"), groups, keep, searched, small)).groupBy(*groups, "id").agg(F.min("cycle").alias("cycle"))
     return rest.unionByName(held.select(*groups, "id").distinct().join(named, [*groups, "id"], "left").select(*groups, "id", "cycle")).select(*by, "id", "cycle")
 
 

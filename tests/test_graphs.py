@@ -65,3 +65,28 @@ def test_problems_of_many_plans(spark, small):
     steps = [(1, "a", ["b"]), (1, "b", ["a"]), (1, "c", ["a"]), (2, "a", ["b"]), (2, "b", ["x"]), (2, "d", []), (2, "d", []), (3, "a", ["a"])]
     got = G.plan_problems(spark.createDataFrame(steps, "plan int, id string, deps array<string>"), by=["plan"], small=small)
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "cycle", "a", "a"), (1, "cycle", "b", "a"), (1, "cycle", "c", None), (2, "duplicate", "d", None), (2, "unknown dependency", "b", None), (3, "cycle", "a", "a")]
+
+
+def test_one_large_component_with_small_ones_around(spark):
+    """A ring of 60 with cords, rings that it needs and that need it, and a tail; cut by its pivot and by colours."""
+    ring = [(1, k, (k + 1) % 60) for k in range(60)] + [(1, k, k * 7 % 60) for k in range(1, 60, 4)]
+    small = [(1, 100 + 3 * r + k, 100 + 3 * r + (k + 1) % 3) for r in range(8) for k in range(3)]
+    bridges = [(1, 5, 100), (1, 103, 6), (1, 100, 106), (1, 900, 901), (1, 901, 0)]
+    edges = [*ring, *small, *bridges, *((2, a + 1, b + 1) for _, a, b in ring)]
+    want = brute_force(edges)
+    for limit in (0, 10, 30):
+        assert found(spark, edges, small=limit) == want
+
+
+def test_cycles_take_few_rounds(spark):
+    """One component of 2,000 nodes with short paths and 100 rings behind it: rounds follow the paths, not the components."""
+    edges = [(1, k, (2 * k + 1) % 2001) for k in range(2001)] + [(1, k, 3 * k % 2001) for k in range(2001)]
+    edges += [(1, 5000 + 2 * k, 5001 + 2 * k) for k in range(100)] + [(1, 5001 + 2 * k, 5000 + 2 * k) for k in range(100)]
+    kept = []
+
+    def keep(df):
+        kept.append(1)
+        return G.cut_lineage(df)
+
+    rows = G.cycles(spark.createDataFrame(edges, "g int, id long, dep long"), by=["g"], small=1000, keep=keep).collect()
+    assert len(rows) > 2000 and len(kept) < 45

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,34 @@ def graph_reachable(spark, sf_dir):
 
 @query("graph_reachable_sql", "G1 2.16 recursive", f"WITH RECURSIVE {_EDGES}, r(id) AS (SELECT 3::BIGINT UNION SELECT target FROM r JOIN edges ON source = id) SELECT id FROM r")
 def graph_reachable_sql(spark, sf_dir):
-    _edges(spark, sf_dir).createOrReplaceTempView("graph_edges")
-    return spark.sql("WITH RECURSIVE r(id, depth) AS (SELECT 3L, 0 UNION ALL SELECT target, depth + 1 FROM r JOIN graph_edges ON source = id WHERE depth < 14) SELECT DISTINCT id FROM r")
+    """Rounds of a recursive statement of a few steps each, from the nodes that the last one reached in its last step, until there are none."""
+    G.cut_lineage(_edges(spark, sf_dir)).createOrReplaceTempView("graph_edges")
+    seen = frontier = G.cut_lineage(spark.sql("SELECT 3L AS id"))
+    with _all_rows(spark):
+        while not frontier.isEmpty():
+            frontier.createOrReplaceTempView("graph_frontier")
+            seen.createOrReplaceTempView("graph_seen")
+            steps = f"WITH RECURSIVE r(id, depth) AS (SELECT id, 0 FROM graph_frontier UNION ALL SELECT target, depth + 1 FROM r JOIN graph_edges ON source = id WHERE depth < {_STEPS}) SELECT id, min(depth) AS depth FROM r GROUP BY id"
+            new = G.cut_lineage(spark.sql(f"SELECT * FROM ({steps}) LEFT ANTI JOIN graph_seen USING (id)"))
+            seen = seen.union(new.select("id"))
+            frontier = new.where(F.col("depth") == _STEPS).select("id")
+    return seen
+
+
+#: Steps of one recursive statement, which follows each path by itself.
+_STEPS = 3
+
+
+@contextlib.contextmanager
+def _all_rows(spark):
+    """Recursive statements without Spark's limit of rows."""
+    name = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 @query("graph_duplicates", "G2", "SELECT c_nationkey::BIGINT AS id, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import graphs as G
 
@@ -90,3 +91,16 @@ def test_cycles_take_few_rounds(spark):
 
     rows = G.cycles(spark.createDataFrame(edges, "g int, id long, dep long"), by=["g"], small=1000, keep=keep).collect()
     assert len(rows) > 2000 and len(kept) < 45
+
+
+def test_recursive_statement_reaches_whatever_the_depth(spark, tmp_path):
+    """Each supplier leads to one other, and the start's line is longer than 14 steps."""
+    from lodestone.plans import graph as plan
+
+    n = 1001
+    spark.range(1, n + 1).select(F.col("id").alias("s_suppkey"), F.lit(-1.0).alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
+    want, at = {3}, 3
+    while at and (at := (2 * at + 1) % n) not in want:
+        want.add(at)
+    assert len(want) > 15
+    assert sorted(r[0] for r in plan.graph_reachable_sql(spark, str(tmp_path)).collect()) == sorted(want)

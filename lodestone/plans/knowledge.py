@@ -339,7 +339,7 @@ def date_functions(spark, sf_dir):
 
 @query("safe_casts", "2.11 conversion", "SELECT doc_id, TRY_CAST(substr(text, 1, 2) AS BIGINT) AS maybe, CASE WHEN lang = 'en' THEN 1 ELSE 0 END::INTEGER AS english FROM documents")
 def safe_casts(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 2).try_cast("long").alias("maybe"), F.when(F.col("lang") == "en", 1).otherwise(0).alias("english"))
+    return load(spark, sf_dir, "documents").select("doc_id", S.strict_long(F.substring("text", 1, 2)).alias("maybe"), F.when(F.col("lang") == "en", 1).otherwise(0).alias("english"))
 
 
 @query("formulas", "2.11 math", "SELECT f AS formula, v::DOUBLE AS value FROM (VALUES ('1 + 2 * 3', 7.0), ('2 ** 10 / 4', 256.0), ('sqrt(16) + abs(-3)', 7.0), ('10 % 4', 2.0)) t(f, v)")

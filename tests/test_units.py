@@ -266,6 +266,12 @@ def test_safe_long_is_exact(spark):
     assert [r[0] for r in df.select(S.safe_long(F.col("s"))).collect()] == [9007199254740993, -9223372036854775808, 1000, 12, None, None]
 
 
+def test_strict_long_takes_decimals_and_no_control_characters(spark):
+    told = {"5.": 5, ".5": 1, ".4": 0, "7\x01": None, "\x1f7": None, " 7\t": 7, "+1": 1, "-2.5": -3, "9223372036854775807": (1 << 63) - 1, "9223372036854775808": None, ".": None, "1e": None, "": None}
+    df = spark.createDataFrame([(t,) for t in [*told, None]], "s string")
+    assert {r[0]: r[1] for r in df.select("s", S.strict_long(F.col("s"))).collect()} == {**told, None: None}
+
+
 @pytest.mark.parametrize(("text", "n", "want"), [("héllo", 2, "h"), ("héllo", 3, "hé"), ("abc", 9, "abc"), ("😀x", 3, "")])
 def test_utf8_prefix(spark, text, n, want):
     assert one(spark, S.utf8_prefix(F.lit(text), n)) == want

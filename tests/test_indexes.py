@@ -202,3 +202,17 @@ def test_search_terms_of_whole_table(spark, sf_dir):
     common = Counter(w for _, t in docs for w in set(re.findall(r"[^\W_]+", (t or "").lower()))).most_common(3)
     terms = [w for w, _ in common]
     assert [r["id"] for r in made.search(terms, 25).collect()] == [i for i, _ in brute_bm25(docs, terms, 25)]
+
+
+def test_exact_store_counts_items_that_a_sketch_estimates(spark, tmp_path):
+    """Two days share half of 40,000 items; a day that comes anew, with null items alone, counts no more."""
+    from lodestone.operators.sketches import SketchStore
+
+    rows = spark.range(60_000).select(F.when(F.col("id") < 30_000, 1).otherwise(2).alias("day"), F.when(F.col("id") % 2 == 0, "a").alias("kind"), (F.col("id") % 40_000).alias("item"), F.lit(1.0).alias("value"))
+    store = SketchStore(spark, f"{tmp_path}/s", ["kind"], exact=True)
+    store.add(rows)
+    assert {(r["kind"], r["n"], r["items"]) for r in store.between(1, 2).collect()} == {("a", 30_000, 20_000), (None, 30_000, 20_000)}
+    assert store.between(1, 2, by=[]).first()["items"] == 40_000
+    store.add(rows.where("day = 2").withColumn("item", F.lit(None).cast("long")))
+    assert {(r["kind"], r["items"]) for r in store.between(1, 2).collect()} == {("a", 15_000), (None, 15_000)}
+    assert {r["items"] for r in store.between(2, 2).collect()} == {0}

@@ -7,6 +7,7 @@ import operator
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -193,6 +194,15 @@ class _Cleaner(HTMLParser):
             self.out.append(data if self.inside["pre"] else re.sub(r"\s+", " ", data))
 
 
+#: Elements that hold text without references, and an ampersand with the reference that it may begin.
+_AMPERSAND = re.compile(rf"<({'|'.join(HTMLParser.CDATA_CONTENT_ELEMENTS)})\b.*?(?:</\1\s*>|\Z)|&(#[0-9]+;|#x[0-9a-f]+;|[a-z][a-z0-9]*;)?", re.IGNORECASE | re.DOTALL)
+
+
+def _closed_references(page: str) -> str:
+    """The page with ampersands escaped that begin no reference with a semicolon at its end."""
+    return _AMPERSAND.sub(lambda m: m[0] if m[1] or (m[2] and (m[2][0] == "#" or m[2] in html5)) else f"&amp;{m[0][1:]}", page)
+
+
 def _rules(drop: Sequence[str], content: str | None) -> tuple[Automaton, Automaton | None]:
     return Automaton([*_Cleaner.DROP, *drop]), Automaton([content]) if content else None
 
@@ -219,15 +229,18 @@ def _cleaned(html: str | None, drop: Automaton, content: Automaton | None) -> di
     return {"title": squeeze(p.title) or squeeze(p.h1) or p.meta.get("og:title", "").strip(), "meta": "\n".join(x for x in meta if x), "markdown": markdown}
 
 
-def clean_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", drop: Sequence[str] = (), content: str | None = None) -> DataFrame:
-    """``key, url, title, meta, markdown`` as :func:`clean_html` gives them, over Arrow batches; a bad selector fails here, not in a task."""
+def clean_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", drop: Sequence[str] = (), content: str | None = None, closed: bool = False) -> DataFrame:
+    """``key, url, title, meta, markdown`` as :func:`clean_html` gives them, over Arrow batches; a bad selector fails here, not in a task.
+
+    Browsers take some references without their semicolon, ``&amp`` at the end of a cut text say; with ``closed`` those stay as they stand.
+    """
     rules = _rules(drop, content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 piece = b.slice(at, 256)
-                got = [_cleaned(x, *rules) for x in piece.column(2).to_pylist()]
+                got = [_cleaned(_closed_references(x or "") if closed else x, *rules) for x in piece.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array([g[c] for g in got], pa.string()) for c in ("title", "meta", "markdown"))], names=[key, url, "title", "meta", "markdown"])
 
     kind = dict(pages.dtypes)[key]
@@ -276,11 +289,11 @@ def _selected(html: str | None, rules: Automaton) -> list[dict]:
     return [{"position": k, "tag": f["tag"], "depth": f["depth"], "text": "".join(p.pieces[f["begin"] : f["end"]])} for k, f in enumerate(p.found)]
 
 
-def select_elements(pages: DataFrame, selectors: str, *, key: str = "page_id", html: str = "html") -> DataFrame:
+def select_elements(pages: DataFrame, selectors: str, *, key: str = "page_id", html: str = "html", closed: bool = False) -> DataFrame:
     """``key, position, tag, depth, text`` of each element that a list of CSS selectors selects, in page order from 0.
 
     ``text`` is all text within the element, ``depth`` the number of elements around it.  An element that is never closed
-    ends with its parent, or with the page.  Null and empty pages give no rows.
+    ends with its parent, or with the page.  Null and empty pages give no rows.  ``closed`` is that of :func:`clean_pages`.
     """
     rules = Automaton([selectors])
     element = pa.struct([("position", pa.int32()), ("tag", pa.string()), ("depth", pa.int32()), ("text", pa.string())])
@@ -289,7 +302,7 @@ def select_elements(pages: DataFrame, selectors: str, *, key: str = "page_id", h
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 piece = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([_selected(x, rules) for x in piece.column(1).to_pylist()], pa.list_(element))], names=[key, "_elements"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([_selected(_closed_references(x or "") if closed else x, rules) for x in piece.column(1).to_pylist()], pa.list_(element))], names=[key, "_elements"])
 
     kind = dict(pages.dtypes)[key]
     found = pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, _elements array<struct<position:int,tag:string,depth:int,text:string>>")

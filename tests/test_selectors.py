@@ -153,3 +153,12 @@ def test_deep_page_takes_linear_time():
     t = time.monotonic()
     K.clean_html("<p>x</i>" * 100_000, ["div p"], "b")
     assert time.monotonic() - t < 20
+
+
+def test_references_without_semicolon_stay_when_only_closed_ones_count(spark):
+    page = '<title>a &amp b</title><h1 title="x&amp">cut &amp</h1><p>&lt;b&gt; &copy &#x27; &#39 &nosuch; A&B</p><style>h1 > p::after { content: "&amp" }</style>'
+    pages = spark.createDataFrame([(1, "u", page), (2, "u", None)], "page_id long, url string, html string")
+    told = {(r["tag"], r["text"]) for r in K.select_elements(pages, "h1, p, style", closed=True).collect()}
+    assert told == {("h1", "cut &amp"), ("p", "<b> &copy ' &#39 &nosuch; A&B"), ("style", 'h1 > p::after { content: "&amp" }')}
+    assert {r["text"] for r in K.select_elements(pages, "h1").collect()} == {"cut &"}
+    assert K.clean_pages(pages, closed=True).where("page_id = 1").first()["title"] == "a &amp b"

@@ -355,33 +355,49 @@ def valid_content(text: Column, min_length: int = 10) -> Column:
     return F.coalesce((F.length(text) >= min_length) & text.rlike(r"\S"), F.lit(False))
 
 
+class _Rows(HTMLParser):
+    """The rows of a table, each a list of its cells' texts."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.rows: list[list[str]] = []
+        self.cell: list[str] | None = None
+
+    def handle_starttag(self, tag, attrs):  # noqa: ANN001
+        if tag == "tr":
+            self.rows.append([])
+        elif tag in ("td", "th"):
+            self.cell = []
+
+    def handle_endtag(self, tag):  # noqa: ANN001
+        if tag in ("td", "th") and self.cell is not None and self.rows:
+            self.rows[-1].append(_cell("".join(self.cell)))
+            self.cell = None
+
+    def handle_data(self, data):  # noqa: ANN001
+        if self.cell is not None:
+            self.cell.append(data)
+
+
+def _cell(text: str) -> str:
+    return re.sub(r"\s+", " ", text).strip().replace("|", r"\|")
+
+
+_PLAIN_CELL = r"<t[dh]>[^<>&]*</t[dh]>"
+#: A table of bare rows and cells, without attributes, references or other tags: its rows can be read off without a parser.
+_PLAIN_TABLE = re.compile(rf"\s*<table>\s*(?:<tr>\s*(?:{_PLAIN_CELL}\s*)*+</tr>\s*)*+</table>\s*")
+_CELLS = re.compile(r"<t[dh]>([^<>&]*)</t[dh]>")
+
+
 def table_to_markdown(html: str) -> str:
     """An HTML table's rows as Markdown; the first row is the header."""
-
-    class Rows(HTMLParser):
-        def __init__(self) -> None:
-            super().__init__()
-            self.rows: list[list[str]] = []
-            self.cell: list[str] | None = None
-
-        def handle_starttag(self, tag, attrs):  # noqa: ANN001
-            if tag == "tr":
-                self.rows.append([])
-            elif tag in ("td", "th"):
-                self.cell = []
-
-        def handle_endtag(self, tag):  # noqa: ANN001
-            if tag in ("td", "th") and self.cell is not None and self.rows:
-                self.rows[-1].append(re.sub(r"\s+", " ", "".join(self.cell)).strip().replace("|", r"\|"))
-                self.cell = None
-
-        def handle_data(self, data):  # noqa: ANN001
-            if self.cell is not None:
-                self.cell.append(data)
-
-    p = Rows()
-    p.feed(html)
-    rows = [r for r in p.rows if r]
+    if _PLAIN_TABLE.fullmatch(html):
+        found = [[_cell(c) for c in _CELLS.findall(row)] for row in html.split("<tr>")[1:]]
+    else:
+        p = _Rows()
+        p.feed(html)
+        found = p.rows
+    rows = [r for r in found if r]
     if not rows:
         return ""
     width = max(map(len, rows))

@@ -183,6 +183,30 @@ def test_robots():
     assert K.robots_rules("User-agent: *\nDisallow: /y", "c") == ["/y"]
 
 
+PIECES = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", "a|b", " x  y\n", "&amp;", "<b>", "<TD>", ">"]
+ROW = st.lists(st.sampled_from(["<td>a|b</td>", "<th> x  y\n</th>", "<td></td>", "<td>1</th>", " "]), max_size=3).map("".join)
+TABLES = st.lists(ROW, max_size=3).map(lambda rows: "<table>" + "".join(f"<tr>{r}</tr> " for r in rows) + "</table>") | st.lists(st.sampled_from(PIECES), max_size=12).map("".join)
+
+
+@settings(max_examples=300)
+@given(TABLES)
+def test_plain_tables_are_read_as_the_parser_reads_them(html):
+    p = K._Rows()
+    p.feed(html)
+    rows = [r for r in p.rows if r]
+    got = K.table_to_markdown(html)
+    assert bool(got) == bool(rows)
+    if rows:
+        cells = [[c.strip() for c in line[1:-1].replace("\\|", "\0").split("|")] for line in got.split("\n")]
+        width = max(map(len, rows))
+        assert [[c.replace("\0", "\\|") for c in r] for r in (cells[:1] + cells[2:])] == [r + [""] * (width - len(r)) for r in rows]
+
+
+def test_plain_tables_need_no_parser(monkeypatch):
+    monkeypatch.setattr(K, "_Rows", None)
+    assert K.table_to_markdown("<table><tr><th>k</th></tr><tr><td>a|b</td><td>2</td></tr></table>") == "| k |  |\n| --- | --- |\n| a\\|b | 2 |"
+
+
 def test_cleaning():
     html = "<html><head><title> T  1 </title><meta name=description content='d'><meta name=keywords content='k, l'><style>p{}</style></head><body><nav>skip</nav><h1>H</h1><p>a <b>b</b> <a href='/c'>c</a><br>d</p><ul><li>e</li></ul><script>x</script><div class='ad big'>ad</div></body></html>"
     got = K.clean_html(html, ["nav", ".ad"])

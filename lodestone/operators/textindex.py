@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.batches import PIECE_ROWS, bound_batches
 from .retrieval import K1, B, check_top_k
 
 #: Words are runs of letters and digits, in lower case.
@@ -112,15 +113,16 @@ class TextIndex:
                 yield from _inverted(table.column("id").to_numpy(), words.flatten(), words.value_lengths().to_numpy().astype(np.int64), task << 24 | number, grams)
 
             for b in batches:
-                if b.num_rows:
-                    held.append(b)
-                    n += len(b.column("words").flatten())
-                if n >= slice_words:
-                    yield from done()
-                    held, number, n = [], number + 1, 0
+                for at in range(0, b.num_rows, PIECE_ROWS):
+                    held.append(b.slice(at, PIECE_ROWS))
+                    n += len(held[-1].column("words").flatten())
+                    if n >= slice_words:
+                        yield from done()
+                        held, number, n = [], number + 1, 0
             if held:
                 yield from done()
 
+        bound_batches(self.spark)
         blocks = rows.mapInArrow(run, _BLOCKS).withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).cast("int"))
         # Rebalanced rather than hashed: the blocks of a very frequent term may go to several tasks.
         sorted_blocks = blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "kind", "term", "first")

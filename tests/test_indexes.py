@@ -216,3 +216,12 @@ def test_exact_store_counts_items_that_a_sketch_estimates(spark, tmp_path):
     store.add(rows.where("day = 2").withColumn("item", F.lit(None).cast("long")))
     assert {(r["kind"], r["items"]) for r in store.between(1, 2).collect()} == {("a", 15_000), (None, 15_000)}
     assert {r["items"] for r in store.between(2, 2).collect()} == {0}
+
+
+def test_a_batch_of_many_texts_is_cut_into_slices(spark, tmp_path):
+    """A batch of 2,000 texts of 10 words, of which a slice has 1,000 and what comes with its last few texts."""
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 10).alias("text"))
+    index = TextIndex(spark, f"{tmp_path}/index", slice_words=1000)
+    index.add(docs)
+    lengths = [r["last"] for r in spark.read.parquet(f"{tmp_path}/index/postings").where("kind = 'word' and term is null").collect()]
+    assert sum(lengths) == 20_000 and max(lengths) <= 1000 + 64 * 10

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.batches import PIECE_ROWS, bound_batches
+
 #: Where a text may be split, coarse to fine.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", ". ", ", ", " ")
 #: Patterns of what is never split (code, displayed and inline formulas, images, links).  Table rows may be split.
@@ -124,18 +126,26 @@ def token_chunks(text: str, size: int, overlap: int = 0) -> list[str]:
     return [c for g in pack_units(split_units(text), size, overlap) if (c := "".join(g).strip())]
 
 
+def _chunk_batches(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
+    """``key, index, chunk`` of batches of keys and texts, for a few texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, PIECE_ROWS):
+            piece = b.slice(at, PIECE_ROWS)
+            rows = [(k, n, c) for k, t in zip(piece.column(0).to_pylist(), piece.column(1), strict=True) for n, c in enumerate(split(t.as_py() or ""))]
+            if rows:
+                ks, ns, cs = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ks, b.column(0).type), pa.array(ns, pa.int32()), pa.array(cs, pa.string())], names=["key", "index", "chunk"])
+
+
 def chunk_documents(df: DataFrame, size: int, overlap: int = 0, *, strategy: str = "recursive", key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, index, chunk`` by a Python splitter over Arrow batches; rows stay in their partitions."""
     check_chunk_params(size, overlap)
     split = {"recursive": recursive_chunks, "token": token_chunks}[strategy]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(k, n, c) for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for n, c in enumerate(split(t.as_py() or "", size, overlap))]
-            if rows:
-                ks, ns, cs = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ks, b.column(0).type), pa.array(ns, pa.int32()), pa.array(cs, pa.string())], names=["key", "index", "chunk"])
+        return _chunk_batches(batches, lambda t: split(t, size, overlap))
 
+    bound_batches(df.sparkSession)
     kind = dict(df.dtypes)[key]
     return df.select(key, text).mapInArrow(run, f"key {kind}, index int, chunk string").withColumnRenamed("key", key)
 

@@ -403,3 +403,13 @@ def test_top_k_plans_stay_narrow(spark, sf_dir):
     top = R.vector_top_k(kb_embeddings(spark, sf_dir), [0.0] * 64, 5, key=["chunk_id"], where=F.col("model_tag") == "m1")
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan and "Python" not in plan
+
+
+def test_chunks_of_a_few_texts_at_a_time():
+    import pyarrow as pa
+
+    texts = ["one two three. " * 30] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["k", "t"])
+    got = list(C._chunk_batches(iter([batch]), lambda t: C.token_chunks(t, 8)))
+    assert len(got) == 5 and all(len(set(b.column(0).to_pylist())) <= 64 for b in got)
+    assert [c for b in got for c in b.column(2).to_pylist()] == C.token_chunks(texts[0], 8) * 300

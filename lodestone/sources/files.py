@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import PIECE_ROWS, bound_batches
 from .pdf import page_texts
 
 
@@ -140,14 +141,22 @@ def workbook_rows(content: bytes) -> Iterator[tuple[str, int, str]]:
 def parsed(contents: DataFrame, read, schema: str) -> DataFrame:
     """The rows that ``read`` finds in each of ``path, content``, after the path."""
     names = [f.split(" ")[0] for f in schema.split(", ")]
+    kinds = [{"string": pa.string(), "long": pa.int64()}[f.split(" ")[1]] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for b in batches:
+            rows: list[tuple] = []
             for p, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                rows = [(p, *r) for r in read(content.as_py())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
-
+                for r in read(content.as_py()):
+                    rows.append((p, *r))
+                    if len(rows) == PIECE_ROWS:
+                        yield told(rows)
+                        rows = []
+            if rows:
+                yield told(rows)
+
+    bound_batches(contents.sparkSession)
     return contents.select("path", "content").mapInArrow(run, schema)
 
 

@@ -76,3 +76,16 @@ def test_folder_of_files(spark, tmp_path):
     (tmp_path / "other.txt").write_bytes(b"x")
     got = sorted((r.path.rpartition("/")[2], r.page, r.text) for r in files.pdf_pages(spark, f"file://{tmp_path}").collect())
     assert got == [(f"f{k}.pdf", p, t) for k in range(3) for p, t in ((1, f"file {k}"), (2, ""), (3, "end"))]
+
+
+def test_objects_are_read_once_and_streams_inflated_once(monkeypatch):
+    from lodestone.plans.external import _pdf
+    from lodestone.sources import pdf
+
+    read = []
+    inflate = zlib.decompressobj
+    monkeypatch.setattr(pdf.zlib, "decompressobj", lambda: (read.append(1), inflate())[1])
+    text = " ".join(f"wörd{k}😀" for k in range(700))
+    pages = list(page_texts(_pdf(text)))
+    assert " ".join(t for _, t in pages) == text and len(pages) == 3
+    assert len(read) == 4  # The pages and the font's map.

@@ -246,3 +246,48 @@ def test_sketches_of_any_range(spark, tmp_path):
                     assert abs(np.searchsorted(values, r[f"q{round(100 * q)}"]) / len(values) - q) < 0.02
     _, read = rows_read(spark, lambda: store.between(datetime.date(2024, 3, 2), datetime.date(2024, 3, 2)).collect())
     assert read == 3
+
+
+def test_a_lease_moves_its_timer_without_asking_for_timers():
+    """A state and timers as the stream keeps them: one timer at a time, moved in two calls, none asked for."""
+    import pandas as pd
+
+    from lodestone.streaming.leases import Lease
+
+    class Handle:
+        state, timers, calls = None, set(), 0
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            return self.state
+
+        def update(self, state):
+            self.state = state
+
+        def clear(self):
+            self.state = None
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.calls += 1
+            self.timers.remove(at)
+
+        def registerTimer(self, at):  # noqa: N802
+            self.calls += 1
+            self.timers.add(at)
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.now
+
+    lease, handle = Lease(30_000_000, 60_000_000), Handle()
+    lease.init(handle)
+    told = lambda parts: [tuple(r) for p in parts for r in p[["kind", "at"]].itertuples(index=False)]
+    beat = lambda *s: told(lease.handleInputRows((1,), iter([pd.DataFrame({"us": [x * 1_000_000 for x in s]})]), None))
+    assert beat(10, 0) == [("acquired", 0)] and handle.timers == {40_001} and handle.calls == 1
+    assert beat(5) == [] and handle.timers == {40_001} and handle.calls == 1
+    assert beat(20) == [] and handle.timers == {50_001} and handle.calls == 3
+    for handle.now, want, timers in ((50_001, [("expired", 50_000_000)], {110_001}), (110_001, [("evicted", 110_000_000)], set())):
+        handle.timers.clear()
+        assert told(lease.handleExpiredTimer((1,), handle, None)) == want and handle.timers == timers
+    assert handle.state is None

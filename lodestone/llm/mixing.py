@@ -65,25 +65,25 @@ def sampling_plan(sized: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), s
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("_sure", F.floor(ratio).cast("long")).withColumn("_p", ratio - F.col("_sure"))
     plan = materialize(plan.withColumn("_rest", F.col("target") - F.col("_sure") * F.col("source_size")), "mix-targets")
-    rows = _with_plan(sized, plan).withColumn("_rank", _rank(seed)).where("_rank is not null")
-    rows = rows.withColumn("_bucket", F.floor(F.col("_rank") * BUCKETS))
+    # Ranks are written once, so that the plans below hold a column where they held its digests again and again.
+    ranked = _with_plan(sized, plan).where("_p > 0").select("source", "doc_id", "size", "_rest", _rank(seed).alias("_rank"))
+    rows = materialize(ranked.withColumn("_bucket", F.floor(F.col("_rank") * BUCKETS)), "mix-ranks")
     by_bucket = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"), F.first("_rest").alias("_rest"))
     upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     by_bucket = by_bucket.withColumn("_upto", F.sum("_n").over(upto))
     edge = by_bucket.where(F.col("_upto") > F.col("_rest")).groupBy("source").agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_n")).alias("_before"))).alias("_e"))
     edge = materialize(edge.select("source", F.col("_e._bucket").alias("_edge"), F.col("_e._before").alias("_before")), "mix-edges")
-    rows = _with_plan(rows, edge)
     # In the last bucket: the last rank that fits, and the gap that it leaves.
     in_order = Window.partitionBy("source").orderBy("_rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.where("_bucket = _edge").withColumn("_cum", F.col("_before") + F.sum("size").over(in_order))
-    last = inside.groupBy("source").agg(F.max(F.when(F.col("_cum") <= F.col("_rest"), F.struct("_rank", "_cum"))).alias("_l"), F.first("_before").alias("_b"), F.first("_rest").alias("_r"))
-    last = last.select("source", F.coalesce(F.col("_l._rank"), F.lit(-1.0)).alias("_last"), (F.col("_r") - F.coalesce(F.col("_l._cum"), F.col("_b"))).alias("_gap"))
+    inside = _with_plan(rows, edge).where("_bucket = _edge").withColumn("_cum", F.col("_before") + F.sum("size").over(in_order))
+    last = inside.groupBy("source").agg(F.max(F.when(F.col("_cum") <= F.col("_rest"), F.struct("_rank", "_cum"))).alias("_l"), F.first("_before").alias("_b"), F.first("_rest").alias("_r"), F.first("_edge").alias("_edge"))
+    last = materialize(last.select("source", "_edge", F.coalesce(F.col("_l._rank"), F.lit(-1.0)).alias("_last"), (F.col("_r") - F.coalesce(F.col("_l._cum"), F.col("_b"))).alias("_gap")), "mix-last")
     # What is outside the sample, in rank order: whatever fits; then the one exchange that comes closest.
-    outside = rows.join(last.withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src")), "inner").where((F.col("_bucket") >= F.col("_edge")) & (F.col("_rank") > F.col("_last")) & (F.col("size") > 0))
+    outside = _with_plan(rows.where("size > 0"), last).where((F.col("_bucket") >= F.col("_edge")) & (F.col("_rank") > F.col("_last")))
     outside = materialize(outside.select("source", "size", "_rank", _class(F.col("size")).alias("_class")), "mix-outside")
     gaps = _close_gaps(outside, last)
-    sampled = _with_plan(rows, gaps).where((F.col("size") > 0) & ((F.col("_bucket") < F.col("_edge")) | (F.col("_rank") <= F.col("_last")) | _in_steps()))
-    swaps = _exchange(sampled, _with_plan(outside, gaps).where(~_in_steps()), gaps)
+    sampled = _with_plan(_with_plan(rows.where("size > 0"), edge.select("source", "_edge")), gaps).where((F.col("_bucket") < F.col("_edge")) | (F.col("_rank") <= F.col("_last")) | _in_steps())
+    swaps = materialize(_exchange(sampled, _with_plan(outside, gaps).where(~_in_steps()), gaps), "mix-swaps")
     plan = _with_plan(_with_plan(_with_plan(plan, edge), gaps), swaps)
     return materialize(plan.select("source", "source_size", "target", "_sure", "_p", "_edge", "_last", "_steps", "_leaves", "_comes"), "mix-plan")
 
@@ -117,30 +117,37 @@ def _close_gaps(outside: DataFrame, last: DataFrame) -> DataFrame:
     no document of a lower class is left.  Sums by bucket find where a step ends, as for the sample itself.
     """
     state = last.select("source", "_last", "_gap", F.col("_last").alias("_lo"), F.lit(True).alias("_open"), F.array().cast(_STEPS).alias("_steps"))
+    outside = outside.withColumn("_bucket", F.floor(F.col("_rank") * BUCKETS))
     while True:
-        state = materialize(state, "mix-steps")
-        fits = _with_plan(outside, state.where("_open").select("source", "_gap", "_lo")).where((F.col("_rank") > F.col("_lo")) & (F.col("_class") < _class(F.floor("_gap"))))
-        fits = fits.withColumn("_bucket", F.floor(F.col("_rank") * BUCKETS))
+        state = state.withColumn("_most", _class(F.floor("_gap")) - 1)
+        fits = _fitting(outside, state.where("_open"))
         sums = fits.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"), F.max("_rank").alias("_top"), F.first("_gap").alias("_gap"))
         upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
         before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_below", F.max("_top").over(before))
         ends = sums.groupBy("source").agg(F.min(F.when(F.col("_upto") > F.col("_gap"), F.struct("_bucket", "_before", "_below"))).alias("_e"), F.max("_upto").alias("_all"), F.max("_top").alias("_top"))
-        ends = materialize(ends, "mix-ends")
-        if ends.isEmpty():
+        state = materialize(_with_plan(state, ends), "mix-ends")
+        found = F.col("_all").isNotNull()
+        if state.where(found).isEmpty():
             return state.select("source", "_last", "_gap", "_steps")
         in_order = Window.partitionBy("source").orderBy("_rank").rangeBetween(Window.unboundedPreceding, 0)
-        inside = _with_plan(fits, ends.select("source", "_e")).where("_bucket = _e._bucket").withColumn("_cum", F.col("_e._before") + F.sum("size").over(in_order))
+        inside = _fitting(outside, state.where("_e is not null")).where("_bucket = _e._bucket").withColumn("_cum", F.col("_e._before") + F.sum("size").over(in_order))
         inside = inside.groupBy("source").agg(F.max(F.when(F.col("_cum") <= F.col("_gap"), F.struct("_rank", "_cum"))).alias("_l"))
-        ends = _with_plan(ends, inside)
         hi = F.when(F.col("_e").isNull(), F.col("_top")).otherwise(F.coalesce("_l._rank", "_e._below"))
         taken = F.when(F.col("_e").isNull(), F.col("_all")).otherwise(F.coalesce("_l._cum", "_e._before"))
-        step = F.struct((_class(F.floor("_gap")) - 1).alias("most"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
-        state = _with_plan(state, ends.select("source", hi.alias("_hi"), taken.alias("_taken")))
+        step = F.struct(F.col("_most").alias("most"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+        state = _with_plan(state, inside).withColumns({"_hi": hi, "_taken": taken})
+        # A step that takes nothing has no end, and is the last of its source.
         found = F.col("_hi").isNotNull()
         state = state.select(
             "source", "_last", (F.col("_gap") - F.when(found, F.col("_taken")).otherwise(0)).alias("_gap"), F.coalesce("_hi", "_lo").alias("_lo"), found.alias("_open"), F.when(found, F.array_append("_steps", step)).otherwise(F.col("_steps")).alias("_steps")
         )
+        state = materialize(state, "mix-steps")
+
+
+def _fitting(outside: DataFrame, state: DataFrame) -> DataFrame:
+    """The documents that a step goes over, with the columns of its source's state."""
+    return _with_plan(outside, state.drop("_last", "_open", "_steps")).where((F.col("_rank") > F.col("_lo")) & (F.col("_class") <= F.col("_most")))
 
 
 #: What a step takes: documents of classes up to ``most``, with ranks over ``lo`` and up to ``hi``.

@@ -838,6 +838,18 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(truth_targets(sizes))
 
 
+def test_ranks_are_computed_once(spark, sf_dir, monkeypatch):
+    digests, written = {}, mixing.materialize
+
+    def told(df, name):
+        digests[name] = max(digests.get(name, 0), df._jdf.queryExecution().optimizedPlan().toString().count("md5("))
+        return written(df, name)
+
+    monkeypatch.setattr(mixing, "materialize", told)
+    mixing.mix_sources(queries.table(spark, sf_dir, "documents"))
+    assert digests.pop("mix-ranks") and not any(digests.values()), digests
+
+
 def test_mixing_edges(spark):
     df = docs_df(spark, **CLASHING)
     rows = mixing.mix_sources(df).collect()

@@ -5,7 +5,8 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.sources.databases import Database, database_url
+from lodestone.plans import external
+from lodestone.sources.databases import Database, SqliteDatabases, database_url
 
 
 @pytest.fixture
@@ -81,3 +82,31 @@ def test_addresses_by_name(monkeypatch):
     assert database_url("sALES") == "jdbc:derby:memory:sales"
     with pytest.raises(KeyError):
         database_url("other")
+
+
+@pytest.mark.parametrize("case", sorted(KEYS))
+def test_sqlite_databases_hold_each_row_once(spark, case):
+    asked = []
+    databases = SqliteDatabases(lambda df, name: asked.append(name) or df.localCheckpoint(), rows=700)
+    df = spark.createDataFrame(KEYS[case], "k long, t long")
+    databases.write(df, "t", by=["k", "t"])
+    back = databases.read("t", "k", 400, tie="t")
+    assert rows_of(back) == rows_of(df) and asked == ["sqlite-t"]
+    counted = databases.query("t", "SELECT count(*) AS n FROM t", {"n": "bigint"})
+    assert sum(r.n for r in counted.collect()) == df.count() and max((r.n for r in counted.collect()), default=0) <= 5000
+
+
+def test_sqlite_databases_keep_values(spark):
+    databases = SqliteDatabases(lambda df, name: df.localCheckpoint())
+    values = "SELECT * FROM VALUES (1L, double('NaN'), 'a\"b', timestamp'2020-01-02 03:04:05.678901', 1.50BD, true, float(0.1)), (2L, double('-Infinity'), NULL, NULL, NULL, NULL, NULL), (-9223372036854775808L, 0.1D, '', timestamp'1960-01-01', 0.01BD, false, float(3)) AS v(`k`, `d \"q`, s, ts, m, b, f)"
+    df = spark.sql(values)
+    databases.write(df, "odd", by=["k"])
+    back = databases.read("odd", "k", 1)
+    assert back.dtypes == df.dtypes and repr(rows_of(back)) == repr(rows_of(df))
+
+
+def test_queries_need_no_server_on_a_cluster(spark, sf_dir, monkeypatch):
+    found = [external.jdbc_orders_in_ranges, external.jdbc_catalog_totals]
+    local = [rows_of(q(spark, sf_dir)) for q in found]
+    monkeypatch.setattr(external, "_LOCAL", external.re.compile("no such master"))
+    assert [rows_of(q(spark, sf_dir)) for q in found] == local
